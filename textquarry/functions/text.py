@@ -142,37 +142,39 @@ def flatten_json(docs: pd.Series) -> pd.Series:
 # --- rows ---------------------------------------------------------------------------------------------------------
 
 
-def value_text(df: DataFrame, name: str) -> Column:
-    """A column's value as text; doubles print in plain notation from 1e-4 up to 1e16."""
-    dtype = df.schema[name].dataType
-    col = F.col(f"`{name}`")
-    if not isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return col.cast("string")
-    plain = F.regexp_replace(
-        F.regexp_replace(F.expr(f"try_cast(`{name}` AS DECIMAL(38,21))").cast("string"), "0+$", ""), r"\.$", ".0"
-    )
-    size = F.abs(col)
-    java = col.cast("string")
-    mantissa = F.regexp_replace(F.regexp_extract(java, r"^(.*)E", 1), r"\.0$", "")
+def _plain_number(java: Column) -> Column:
+    """A double as printed by the JVM (``1.0E7``, ``Infinity``) in plain notation, from 1e16 on as ``1e+16``."""
     power = F.regexp_extract(java, r"E(-?[0-9]+)$", 1).try_cast("int")
-    sci = F.concat(
-        mantissa, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), 2, "0")
-    )
+    mantissa = F.regexp_replace(F.regexp_extract(java, r"^(.*)E", 1), r"\.0$", "")
+    sign = F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+"))
+    digits = F.abs(power).cast("string")
+    plain = F.regexp_replace(java.try_cast("decimal(38,21)").cast("string"), "0+$", "")
     return (
-        F.when(F.isnan(col), F.lit("nan"))
-        .when(size == float("inf"), F.when(col > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when((size == 0) | size.between(1e-3, 9999999.0), java)
-        .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(sci)
+        F.when(java == "NaN", F.lit("nan"))
+        .when(java.endswith("Infinity"), F.replace(java, F.lit("Infinity"), F.lit("inf")))
+        .when(power.between(-4, 15), F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain))
+        .otherwise(F.concat(mantissa, sign, F.when(F.abs(power) < 10, F.lpad(digits, 2, "0")).otherwise(digits)))
     )
 
 
+def value_text(df: DataFrame, name: str) -> Column:
+    """A column's value as text; doubles print in plain notation from 1e-4 up to 1e16.
+
+    The rare forms are rewritten inside a lambda, which is not inlined into the generated code of every column.
+    """
+    text = F.col(f"`{name}`").cast("string")
+    if not isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return text
+    return F.when(text.rlike("[EIN]"), F.transform(F.array(text), _plain_number)[0]).otherwise(text)
+
+
 def row_text(df: DataFrame, columns: list[str]) -> Column:
     """``name: value`` pairs joined by `` | ``; null and blank values are left out."""
     pairs = []
     for name in columns:
         value = value_text(df, name)
-        pairs.append(F.when(~is_blank(value), F.concat(F.lit(f"{name}: "), value)))
+        pair = F.concat(F.lit(f"{name}: "), value)
+        pairs.append(F.when(~is_blank(value), pair) if isinstance(df.schema[name].dataType, T.StringType) else pair)
     return F.concat_ws(" | ", *pairs) if pairs else F.lit("")
 
 

@@ -70,7 +70,7 @@ def _vectors(column) -> np.ndarray:
     """Lists of equal length to a matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), -1 if len(column) else 0)
 
 
 def _embedded(batch: pa.RecordBatch) -> pa.Table:
@@ -108,6 +108,8 @@ def _nearest_broadcast(held: pa.Table, queries: DataFrame, rows: DataFrame, k: i
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, ids = shared.value
         best: dict = {}
+        if not ids:
+            return
         for batch in batches:
             table = _embedded(batch)
             values = [None] if group is None else pc.unique(table.column(group)).to_pylist()

@@ -302,12 +302,12 @@ EMISSIONS = """WITH RECURSIVE
     e AS (
         SELECT f.folder, f.n, f.t, CASE WHEN NOT waiting THEN f.t ELSE least(
             ((last + 3600000000 + 599999999) // 600000000) * 600000000,
-            (SELECT min(g.t) FROM c g WHERE g.folder = f.folder AND g.t >= f.last + 3600000000)) END AS at
+            (SELECT min(g.t) FROM c g WHERE g.folder = f.folder AND g.t >= f.last + 3600000000)) END AS gone
         FROM f
     )
-    SELECT e.folder, make_timestamp(at) AS emitted_at, make_timestamp(e.t) AS ts, c.path
+    SELECT e.folder, make_timestamp(gone) AS emitted_at, make_timestamp(e.t) AS ts, c.path
     FROM e JOIN c ON c.folder = e.folder AND c.n = e.n
-    WHERE at <= (SELECT max(t) FROM c)"""
+    WHERE gone <= (SELECT max(t) FROM c)"""
 
 _PLAIN = "SELECT k AS doc_id, chunk, text FROM w"
 
@@ -442,7 +442,7 @@ ORACLES: dict[str, str] = {
     "where_eq": "SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'fr'",
     "where_in": "SELECT doc_id, lang, source, n_chars FROM documents WHERE source IN ('src2', 'src5', 'src11')",
     "where_and_or": """SELECT doc_id, lang, source, n_chars FROM documents
-        WHERE (lang = 'de' OR n_chars >= 5000) AND source NOT IN ('src1', 'src2')""",
+        WHERE (lang = 'de' OR n_chars >= 5000) AND source NOT IN ('src1', 'src2') AND n_chars < 20000""",
     "where_range": "SELECT doc_id, lang, source, n_chars FROM documents WHERE n_chars > 200 AND n_chars <= 900 AND lang <> 'en'",
     "source_search": "SELECT doc_id, source FROM documents WHERE contains(lower(source), 'src1')",
     "labelled_filter": """SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id

@@ -170,8 +170,8 @@ def scan_folder(spark, sf):
     found = extract_files(scan_files(spark, folder).select("path", "content"))
     lines = found.select(
         F.regexp_extract("path", r"/source=([^/]+)/", 1).alias("source"),
-        F.explode(F.split(F.rtrim(F.col("text")), "\n")).alias("line"),
-    )
+        F.explode(F.split("text", "\n")).alias("line"),
+    ).where("line <> ''")
     read = F.from_json("line", "doc_id long, lang string, text string")
     return lines.select("source", read.alias("d")).select("source", "d.doc_id", "d.lang", F.md5("d.text").alias("text_md5"))
 
@@ -512,7 +512,10 @@ def where_and_or(spark, sf):
     return _where(
         spark,
         sf,
-        {"$and": [{"$or": [{"lang": {"$eq": "de"}}, {"n_chars": {"$gte": 5000}}]}, {"source": {"$nin": ["src1", "src2"]}}]},
+        {
+            "$or": [{"lang": {"$eq": "de"}}, {"n_chars": {"$gte": 5000}}],
+            "$and": [{"source": {"$nin": ["src1", "src2"]}}, {"n_chars": {"$lt": 20000}}],
+        },
     )
 
 
@@ -737,10 +740,10 @@ def throttle_window(spark, sf):
 def _stream_of(spark, sf, name):
     """A stream over one of the given tables."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def _run_to_end(writer, spark, name, checkpoint=True):
+def _run_to_end(writer, spark, name):
     writer = writer.option("checkpointLocation", scratch_path(spark, f"{name}-log")).trigger(availableNow=True)
     writer.start().awaitTermination()
 

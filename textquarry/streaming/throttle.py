@@ -30,11 +30,16 @@ _STATE = T.StructType(
 )
 
 
+def _timed(changes: DataFrame) -> DataFrame:
+    """Event time as a timestamp with time zone, which watermarks ask for."""
+    return changes.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def throttle_windows(changes: DataFrame, interval: str = "3 seconds", delay: str = "10 seconds") -> DataFrame:
     """``folder, emitted_at, changes, paths`` per tumbling window of event time: counts that combine before the
     shuffle, so a busy folder does not gather in one task."""
     if changes.isStreaming:
-        changes = changes.withWatermark("ts", delay)
+        changes = _timed(changes).withWatermark("ts", delay)
     windowed = changes.groupBy(F.window("ts", interval).alias("w"), "folder").agg(
         F.count(F.lit(1)).alias("changes"), F.approx_count_distinct("path").alias("paths")
     )
@@ -50,7 +55,7 @@ def change_events(changes: DataFrame, interval: str = "3 seconds", delay: str =
     """``folder, emitted_at, part, paths``: the paths of each window as lists. ``parts`` splits the list of a folder
     that sees very many changes at once."""
     if changes.isStreaming:
-        changes = changes.withWatermark("ts", delay)
+        changes = _timed(changes).withWatermark("ts", delay)
     part = F.pmod(F.xxhash64("path", "ts"), F.lit(parts)).cast("int")
     grouped = changes.groupBy(F.window("ts", interval).alias("w"), "folder", part.alias("part"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("ts", "path"))), lambda c: c["path"])
@@ -122,7 +127,8 @@ def throttle_exact(
             )
 
     return (
-        changes.withWatermark("ts", delay)
+        _timed(changes)
+        .withWatermark("ts", delay)
         .groupBy("folder")
         .applyInPandasWithState(step, EMISSION, _STATE, "append", "EventTimeTimeout")
     )
