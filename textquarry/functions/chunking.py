@@ -1,7 +1,6 @@
 """Overlapping text windows, snapped to words or to sentences.
 
-The number of windows depends on the text, so the walk itself is an Arrow UDF; whitespace and sentence splitting
-stay in the JVM.
+The number of windows depends on the text, so the walk is an Arrow UDF; sentences are split in the JVM.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textquarry.functions.text import normalize_whitespace, sentences
+from textquarry.functions.text import sentences
 
 
 @dataclass(frozen=True)
@@ -90,9 +89,9 @@ def chunk_words(text: Column, opts: ChunkOptions = ChunkOptions()) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def windows(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(_windows(t, opts)) if t else [])
+        return texts.map(lambda t: list(_windows(" ".join(t.split()), opts)) if t else [])
 
-    return windows(normalize_whitespace(text))
+    return windows(text)
 
 
 def chunk_sentences(text: Column, opts: ChunkOptions = ChunkOptions(mode="sentence")) -> Column:

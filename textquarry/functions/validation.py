@@ -15,11 +15,18 @@ MODEL_NAME = re.compile(r"[a-zA-Z0-9][\w./\-]*")
 
 
 def check_top_k(k: int) -> int:
-    if not 1 <= k <= MAX_RESULTS:
-        raise ValueError(f"the number of results must be between 1 and {MAX_RESULTS}")
+    if k < 1:
+        raise ValueError("the number of results must be at least 1")
     return k
 
 
+def check_request(text: str, k: int) -> None:
+    """The tighter limits on a request from outside: length of the query text, number of results."""
+    check_query_text(text)
+    if check_top_k(k) > MAX_RESULTS:
+        raise ValueError(f"the number of results must be at most {MAX_RESULTS}")
+
+
 def check_min_score(value: float | None) -> float | None:
     if value is not None and not 0.0 <= value <= 1.0:
         raise ValueError("min_score must be between 0 and 1")

@@ -1,45 +1,76 @@
-"""Approximate nearest neighbours: random-projection buckets for candidates, exact distances for their order."""
+"""Approximate nearest neighbours by random hyperplanes.
+
+The sides of a few hyperplanes on which a vector lies are its bucket. A query looks only into its own bucket and those
+that differ in at most ``radius`` sides; distances inside are exact. Rows stored by bucket (a partition column of the
+store) are pruned to the probed buckets before they are read. Rows are never shuffled by bucket, so a bucket that
+holds a large part of them is searched by all tasks alike.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+import hashlib
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textquarry.functions.vectors import COMPARE_DIGITS
 from textquarry.operators.nearest import nearest
 
+BITS = 4
+RADIUS = 1
+
+
+def plane(number: int, dims: int) -> np.ndarray:
+    """Normal of a hyperplane: a fair sign per dimension, from the MD5 of ``number:dimension``."""
+    digits = [hashlib.md5(f"{number}:{i}".encode(), usedforsecurity=False).hexdigest()[0] for i in range(dims)]
+    return np.array([1.0 if d < "8" else -1.0 for d in digits])
+
+
+def bucket_of(embedding: Column, bits: int = BITS) -> Column:
+    """Bucket number of a vector, one bit per hyperplane; null where there is no vector."""
+
+    @F.pandas_udf(T.IntegerType())
+    def sides(vectors: pd.Series) -> pd.Series:
+        out = pd.Series(pd.NA, index=vectors.index, dtype="Int32")
+        present = vectors.dropna()
+        if len(present):
+            matrix = np.stack(present.to_list()).astype(np.float64)
+            planes = np.stack([plane(j, matrix.shape[1]) for j in range(bits)])
+            out[present.index] = ((matrix @ planes.T >= 0) @ (1 << np.arange(bits))).astype(np.int32)
+        return out
 
-def nearest_lsh(
-    queries: DataFrame,
-    rows: DataFrame,
-    k: int,
-    bucket_length: float = 0.6,
-    tables: int = 6,
-    seed: int = 17,
-) -> DataFrame:
-    """The ``k`` nearest of the rows that share a bucket with the query in at least one of the hash tables.
+    return sides(embedding)
 
-    A query whose buckets hold fewer than ``k`` rows is searched exactly. Adds ``qid, distance, rank``.
+
+def with_bucket(rows: DataFrame, bits: int = BITS) -> DataFrame:
+    """Add ``bucket``; write the result partitioned by it to let searches read the probed buckets alone."""
+    return rows.withColumn("bucket", bucket_of(F.col("embedding"), bits))
+
+
+def probes(bits: int = BITS, radius: int = RADIUS) -> list[int]:
+    """Bit patterns that turn a bucket into every bucket within ``radius`` sides of it."""
+    return [sum(1 << b for b in flips) for r in range(radius + 1) for flips in combinations(range(bits), r)]
+
+
+def nearest_probed(queries: DataFrame, rows: DataFrame, k: int, bits: int = BITS, radius: int = RADIUS) -> DataFrame:
+    """The ``k`` nearest rows among the probed buckets of every query: ``qid, id, distance, rank``.
+
+    ``rows`` may come with its ``bucket``. A query whose buckets hold fewer than ``k`` rows is searched exactly.
     """
-    left = queries.select("qid", array_to_vector(F.col("embedding")).alias("features"))
-    right = rows.select("id", array_to_vector(F.col("embedding")).alias("features"))
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    pairs = lsh.fit(right).approxSimilarityJoin(right, left, float("inf"), distCol="d")
-    candidates = pairs.select(
-        F.col("datasetB.qid").alias("qid"),
-        F.col("datasetA.id").alias("id"),
-        F.round(F.col("d") * F.col("d"), COMPARE_DIGITS).alias("distance"),
+    rows = rows if "bucket" in rows.columns else with_bucket(rows, bits)
+    rows = rows.select("id", "embedding", "bucket")
+    patterns = F.array(*[F.lit(p) for p in probes(bits, radius)])
+    probing = with_bucket(queries.select("qid", "embedding"), bits).select(
+        "qid", "embedding", F.explode(F.transform(patterns, lambda p: F.col("bucket").bitwiseXOR(p))).alias("bucket")
     )
-    order = Window.partitionBy("qid").orderBy("distance", "id")
-    ranked = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    full = ranked.where(F.col("rank") == k).select("qid")
+    found = nearest(probing, rows, k, probe="bucket").select("qid", "id", "distance", "rank")
+    full = found.where(F.col("rank") == k).select("qid")
     short = queries.join(full, "qid", "left_anti")
     exact = nearest(short, rows.select("id", "embedding"), k).select("qid", "id", "distance", "rank")
-    return ranked.join(full, "qid", "left_semi").unionByName(exact)
+    return found.join(full, "qid", "left_semi").unionByName(exact)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

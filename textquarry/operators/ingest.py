@@ -48,9 +48,13 @@ class Ingest:
 
 
 def explode_chunks(sources: DataFrame, chunks: str = "chunks") -> DataFrame:
-    """One row per chunk, numbered from 0 within its source, the other columns repeated."""
+    """One row per chunk, numbered from 0 within its source, the other columns repeated.
+
+    The outer form, because the optimizer would push the other one's "not empty" test below the chunking UDF, which
+    then runs twice.
+    """
     keep = [c for c in sources.columns if c != chunks]
-    return sources.select(*keep, F.posexplode(chunks).alias("chunk", "text"))
+    return sources.select(*keep, F.posexplode_outer(chunks).alias("chunk", "text")).where("chunk is not null")
 
 
 def _finish(chunks: DataFrame, model: str | None) -> DataFrame:

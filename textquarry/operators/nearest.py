@@ -99,74 +99,83 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _nearest_broadcast(held: pa.Table, queries: DataFrame, rows: DataFrame, k: int, group: str | None) -> DataFrame:
+def _parts(table: pa.Table, column: str | None) -> Iterator[tuple[object, pa.Table]]:
+    """The rows of a table by the value of a column; all of them under ``None`` without one."""
+    if column is None:
+        yield None, table
+        return
+    for value in pc.unique(table.column(column)).to_pylist():
+        yield value, table.filter(pc.equal(table.column(column), value))
+
+
+def _nearest_broadcast(
+    held: pa.Table, queries: DataFrame, rows: DataFrame, k: int, group: str | None, probe: str | None
+) -> DataFrame:
     schema = _hit_schema(queries, rows)
-    shared = rows.sparkSession.sparkContext.broadcast((_vectors(held.column("embedding")), held.column("qid").to_pylist()))
-    qid_type = _arrow_schema(schema).field("qid").type
     shape = _arrow_schema(schema)
+    # With ``probe``, the queries that look into each of its values; else all of them under None.
+    sets = {v: (_vectors(q.column("embedding")), q.column("qid").combine_chunks()) for v, q in _parts(held, probe)}
+    shared = rows.sparkSession.sparkContext.broadcast(sets)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, ids = shared.value
         best: dict = {}
-        if not ids:
-            return
         for batch in batches:
-            table = _embedded(batch)
-            values = [None] if group is None else pc.unique(table.column(group)).to_pylist()
-            for value in values:
-                part = table if group is None else table.filter(pc.equal(table.column(group), value))
-                if part.num_rows:
-                    state = best.get(value) or best.setdefault(value, _Best(matrix, k))
-                    state.offer(_vectors(part.column("embedding")), part.drop_columns(["embedding"]))
-        for state in best.values():
-            yield from _emit(state, pa.array(ids, qid_type), shape)
+            for value, part in _parts(_embedded(batch), group or probe):
+                matrix, _ = shared.value.get(value if probe else None, (None, None))
+                if matrix is None or not len(matrix) or not part.num_rows:
+                    continue
+                state = best.get(value) or best.setdefault(value, _Best(matrix, k))
+                state.offer(_vectors(part.column("embedding")), part.drop_columns(["embedding"]))
+        for value, state in best.items():
+            yield from _emit(state, shared.value[value if probe else None][1], shape)
 
     return rows.mapInArrow(search, schema)
 
 
-def _nearest_blocked(queries: DataFrame, rows: DataFrame, k: int, n_queries: int, block: int, group: str | None) -> DataFrame:
+def _nearest_blocked(
+    queries: DataFrame, rows: DataFrame, k: int, n_queries: int, block: int, group: str | None, probe: str | None
+) -> DataFrame:
     """Exact search for a query batch that is too large to send everywhere.
 
     Queries are hashed into blocks of about ``block``, chunks into as many slices as there are shuffle partitions.
     Every (query block, chunk slice) meets in one task, queries first: the task holds the queries of one block and
     streams the chunks, so its memory does not grow with either side. Only ids and vectors travel; the other columns
-    are joined to the few hits afterwards.
+    are joined to the few hits afterwards. With ``probe``, a cell also has one value of it.
     """
     spark = rows.sparkSession
     q_blocks = math.ceil(n_queries / block)
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = [group] if group else []
+    groups = [c for c in (group, probe) if c]
+    lean = rows.select("id", "embedding", *groups)
+    cell = ["_q", "_s", *([probe] if probe else [])]
 
     def numbers(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    lean = rows.select("id", "embedding", *groups)
-    empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in lean.schema.fields}
+    def absent(*names: str) -> list[Column]:
+        types = {f.name: f.dataType for f in [*lean.schema.fields, queries.schema["qid"]]}
+        return [F.lit(None).cast(types[n]).alias(n) for n in names]
+
     left = queries.select(
         F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int").alias("_q"),
         numbers(slices).alias("_s"),
         F.lit(0).alias("_side"),
-        "qid",
-        "embedding",
-        empty["id"],
-        *[empty[g] for g in groups],
+        *queries.columns,
+        *absent(*[c for c in lean.columns if c not in queries.columns]),
     )
     right = lean.select(
         numbers(q_blocks).alias("_q"),
         F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("_s"),
         F.lit(1).alias("_side"),
-        F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"),
-        "embedding",
-        "id",
-        *groups,
+        *lean.columns,
+        *absent("qid"),
     )
-    met = left.unionByName(right).repartition(slices, "_q", "_s").sortWithinPartitions("_q", "_s", "_side")
+    met = left.unionByName(right).repartition(slices, *cell).sortWithinPartitions(*cell, "_side")
     schema = _hit_schema(queries, lean)
     shape = _arrow_schema(schema)
-    columns = ["id", *groups]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, pending, matrix, ids, best = None, [], None, None, {}
+        here, pending, matrix, ids, best = None, [], None, None, {}
 
         def close():
             for state in best.values():
@@ -176,15 +185,15 @@ def _nearest_blocked(queries: DataFrame, rows: DataFrame, k: int, n_queries: int
             table = _embedded(batch)
             if not table.num_rows:
                 continue
-            q, s = table.column("_q").to_numpy(), table.column("_s").to_numpy()
-            side = table.column("_side").to_numpy()
-            cuts = np.flatnonzero((np.diff(q) != 0) | (np.diff(s) != 0) | (np.diff(side) != 0)) + 1
-            for start, stop in zip([0, *cuts], [*cuts, len(q)]):
+            marks = [table.column(c).to_numpy() for c in (*cell, "_side")]
+            cuts = np.flatnonzero(np.any([np.diff(m) != 0 for m in marks], axis=0)) + 1
+            for start, stop in zip([0, *cuts], [*cuts, table.num_rows]):
                 part = table.slice(start, stop - start)
-                if (q[start], s[start]) != cell:
+                at = tuple(m[start] for m in marks[:-1])
+                if at != here:
                     yield from close()
-                    cell, pending, matrix, ids, best = (q[start], s[start]), [], None, None, {}
-                if side[start] == 0:
+                    here, pending, matrix, ids, best = at, [], None, None, {}
+                if marks[-1][start] == 0:
                     pending.append(part)
                     continue
                 if not pending:
@@ -192,11 +201,9 @@ def _nearest_blocked(queries: DataFrame, rows: DataFrame, k: int, n_queries: int
                 if matrix is None:
                     held = pa.concat_tables(pending)
                     matrix, ids = _vectors(held.column("embedding")), held.column("qid").combine_chunks()
-                values = [None] if group is None else pc.unique(part.column(group)).to_pylist()
-                for value in values:
-                    sub = part if group is None else part.filter(pc.equal(part.column(group), value))
+                for value, sub in _parts(part, group):
                     state = best.get(value) or best.setdefault(value, _Best(matrix, k))
-                    state.offer(_vectors(sub.column("embedding")), sub.select(columns))
+                    state.offer(_vectors(sub.column("embedding")), sub.select(["id", *groups]))
         yield from close()
 
     return met.mapInArrow(search, schema)
@@ -207,29 +214,30 @@ def nearest(
     rows: DataFrame,
     k: int,
     group: str | None = None,
+    probe: str | None = None,
     max_broadcast: int = MAX_BROADCAST_QUERIES,
 ) -> DataFrame:
     """The ``k`` nearest rows of every query by squared Euclidean distance, ties by id.
 
     ``queries`` has ``qid, embedding``; ``rows`` has ``id, embedding`` and the columns to carry along (select no more
-    than are needed: they travel with the vectors). With ``group``, the k nearest within each of its values. Adds
+    than are needed: they travel with the vectors). With ``group``, the k nearest within each of its values. With
+    ``probe``, a column of both sides, a query sees only the rows of its values, and has one row per value. Adds
     ``qid, distance, rank``.
     """
-    queries = queries.select("qid", "embedding")
-    if group:
-        rows = rows.where(F.col(group).isNotNull())
+    queries = queries.select("qid", "embedding", *([probe] if probe else []))
+    rows = rows.where(F.col(group).isNotNull()) if group else rows
     block = max(1, min(max_broadcast, MAX_HELD_HITS // k))
     held = queries.limit(block + 1).toArrow()
     small = held.num_rows <= block
-    held = held.filter(pc.is_valid(held.column("embedding")))
     if small:
-        hits = _nearest_broadcast(held, queries, rows, k, group)
+        held = held.filter(pc.is_valid(held.column("embedding")))
+        hits = _nearest_broadcast(held, queries, rows, k, group, probe)
     else:
-        hits = _nearest_blocked(queries, rows, k, queries.count(), block, group)
+        hits = _nearest_blocked(queries, rows, k, queries.count(), block, group, probe)
     order = Window.partitionBy("qid", *([group] if group else [])).orderBy("distance", "id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if not small:
-        carried = [c for c in rows.columns if c not in ("embedding", *([group] if group else []))]
+        carried = [c for c in rows.columns if c not in ("embedding", group, probe)]
         if carried != ["id"]:
             ranked = ranked.join(rows.select(*carried), "id")
     return ranked

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textquarry.session import materialize
+
 SKIP_REASON_LIMIT = 500
 RUNNING_BLOCKS = 128
 
@@ -67,7 +69,11 @@ def running_totals(rows: DataFrame, order: str, values: dict[str, str], blocks:
 
 
 def ingest_progress(outcomes: DataFrame, blocks: int = RUNNING_BLOCKS) -> DataFrame:
-    """One progress row per source: ``seq, filename, files_done, files_total, status, chunks_stored``."""
+    """One progress row per source: ``seq, filename, files_done, files_total, status, chunks_stored``.
+
+    The outcomes are read four times, so they are written to the shared folder first.
+    """
+    outcomes = materialize(outcomes)
     counted = outcomes.withColumns(
         {"_one": F.lit(1), "_stored": F.when(F.col("status") == "ingested", F.col("n_chunks")).otherwise(F.lit(0))}
     )

@@ -94,15 +94,22 @@ def search_many(
     """
     check_top_k(k)
     check_min_score(min_score)
-    names = list(dict.fromkeys(names))
+    if not names:
+        raise ValueError("search_many needs the name of a collection")
+    names = list(names)
     wanted = chunks.where(F.col("collection").isin(names))
     carry = _carried(chunks, carry)
     candidates = _candidates(wanted, where, ["collection", *carry])
     hits = _scored(nearest(queries, candidates, k, group="collection", max_broadcast=max_broadcast))
     if min_score is not None:
         hits = hits.where(F.col("score") >= min_score)
-    position = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("collection"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), position, "rank")
+    # A name given twice counts twice, as two searches would.
+    places = F.filter(
+        F.array(*[F.struct(F.lit(i).alias("at"), F.lit(n).alias("name")) for i, n in enumerate(names)]),
+        lambda p: p["name"] == F.col("collection"),
+    )
+    hits = hits.withColumn("_place", F.explode(places))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("_place.at"), "rank")
     merged = hits.withColumn("rank", F.row_number().over(order))
     if cut:
         merged = merged.where(F.col("rank") <= k)

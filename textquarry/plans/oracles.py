@@ -210,6 +210,22 @@ def merged(hits: str, names: list[str], columns: str = "", cut: str = "true") ->
     ) WHERE {cut}"""
 
 
+# Sides of four hyperplanes; a query sees the buckets that differ from its own in at most one side.
+BUCKET = " + ".join(
+    f"""CASE WHEN list_inner_product(v, list_transform(range(64), lambda i:
+        CASE WHEN md5('{j}:' || i) < '8' THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END)) >= 0 THEN {1 << j} ELSE 0 END"""
+    for j in range(4)
+)
+PROBED = f"""WITH {VECTORS},
+    buckets AS (SELECT vec_id, {BUCKET} AS b FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)),
+    near AS (SELECT p.* FROM pairs p JOIN buckets x ON x.vec_id = p.qid JOIN buckets y ON y.vec_id = p.id
+             WHERE bit_count(xor(x.b, y.b)) <= 1),
+    short AS (SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT qid FROM near GROUP BY qid HAVING count(*) >= 5)),
+    seen AS (SELECT * FROM near WHERE qid NOT IN (SELECT vec_id FROM short)
+             UNION ALL SELECT * FROM pairs WHERE qid IN (SELECT vec_id FROM short)),
+    found AS (SELECT * FROM ({ranked('seen', '')}) WHERE rank <= 5),
+    best AS (SELECT * FROM ({ranked('pairs', '')}) WHERE rank <= 5)"""
+
 NAMED = ["label_7", "label_2", "unknown", "label_0"]
 LANGS = ["fr", "en", "none", "de"]
 
@@ -456,6 +472,9 @@ ORACLES: dict[str, str] = {
     "knn_min_score": knn(having="rank <= 5 AND score >= 0.44"),
     "knn_multi": knn_merge("rank <= 5"),
     "knn_multi_union": knn_merge("true"),
+    "knn_lsh": f"{PROBED} SELECT * FROM found",
+    "knn_lsh_recall": f"""{PROBED} SELECT b.qid, count(f.id) AS found, count(*) AS wanted
+        FROM best b LEFT JOIN found f ON f.qid = b.qid AND f.id = b.id GROUP BY b.qid""",
     "embed_hash": f"""WITH {cells('x', DOCS)}
         SELECT k AS doc_id, CAST(dim AS INTEGER) AS dim, round(weight, 6) AS weight FROM x""",
     "search_text": text_search("SELECT * FROM hits"),

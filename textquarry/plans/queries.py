@@ -22,7 +22,7 @@ from textquarry.operators import changes as ch
 from textquarry.operators import collections as coll
 from textquarry.operators import hits as ht
 from textquarry.operators import outcomes as oc
-from textquarry.operators.approximate import nearest_lsh, recall
+from textquarry.operators.approximate import nearest_probed, recall
 from textquarry.operators.ingest import IngestOptions, ingest_files, ingest_table, known_files, known_rows, table_texts
 from textquarry.operators.nearest import nearest
 from textquarry.operators.search import contexts, contexts_many, search, search_many
@@ -588,14 +588,16 @@ def knn_multi_union(spark, sf):
 
 @query
 def knn_lsh(spark, sf):
-    hits = nearest_lsh(*_vectors(spark, sf), k=5)
-    return hits.select("qid", "rank", "id", shown_distance(F.col("distance")).alias("distance"), score(F.col("distance")).alias("score"))
+    hits = nearest_probed(*_vectors(spark, sf), k=5)
+    return hits.select(
+        "qid", "rank", "id", shown_distance(F.col("distance")).alias("distance"), score(F.col("distance")).alias("score")
+    )
 
 
 @query
 def knn_lsh_recall(spark, sf):
     queries, rows = _vectors(spark, sf)
-    return recall(nearest_lsh(queries, rows, k=5), nearest(queries, rows.select("id", "embedding"), 5))
+    return recall(nearest_probed(queries, rows, k=5), nearest(queries, rows.select("id", "embedding"), 5))
 
 
 @query
@@ -603,7 +605,7 @@ def embed_hash(spark, sf):
     """Non-zero cells of the built-in embedding of every document."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     vectors = docs.select("doc_id", embed(F.col("text")).alias("v"))
-    cells = vectors.select("doc_id", F.posexplode("v").alias("dim", "weight")).where("weight <> 0")
+    cells = vectors.select("doc_id", F.posexplode_outer("v").alias("dim", "weight")).where("weight <> 0")
     return cells.select("doc_id", "dim", F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
 

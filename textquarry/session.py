@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +22,26 @@ SESSION_DEFAULTS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, as ``--py-files`` would. Once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="textquarry-py-"), "textquarry.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for module in sorted(package.rglob("*.py")):
+            out.write(module, module.relative_to(package.parent))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def apply_defaults(spark: SparkSession) -> SparkSession:
     """Fill in the settings the operators count on without overriding the cluster's own."""
+    ship_package(spark)
     given = spark.sparkContext.getConf()
     for key, value in SESSION_DEFAULTS.items():
         if not given.contains(key):
