@@ -32,15 +32,15 @@ def check_filter(node, depth: int = 0) -> None:
 
 def _test(col: Column | None, op: str, value) -> Column:
     """One comparison; a missing field fails every positive test and passes the negated ones."""
-    if op in ("$in", "$nin"):
-        if not isinstance(value, Sequence) or isinstance(value, str):
-            raise ValueError(f"{op} needs a list")
-        found = F.lit(False) if col is None else F.coalesce(col.isin(list(value)), F.lit(False))
-        return ~found if op == "$nin" else found
-    if op == "$ne":
-        return F.lit(True) if col is None else ~col.eqNullSafe(value)
+    if op in ("$in", "$nin") and (not isinstance(value, Sequence) or isinstance(value, str)):
+        raise ValueError(f"{op} needs a list")
+    if op in ("$ne", "$nin"):
+        if col is None:
+            return F.lit(True)
+        return col.isNull() | (col != value if op == "$ne" else ~col.isin(list(value)))
     tests = {
         "$eq": lambda c: c == value,
+        "$in": lambda c: c.isin(list(value)),
         "$gt": lambda c: c > value,
         "$gte": lambda c: c >= value,
         "$lt": lambda c: c < value,

@@ -1,7 +1,8 @@
 """What is new, what changed and what has to go: set-based change detection and replacement.
 
-Joins are equi-joins; the only broadcast hint (``pick``) comes after a count. Adaptive execution broadcasts a key list once it has seen that the
-list is small, and splits a partition that one source with very many chunks makes too large.
+The large side of these joins is a chunk table, the other a list of keys. The list is written once and counted; up to
+``MAX_BROADCAST_KEYS`` it is broadcast, so the chunks are not shuffled and a source with very many chunks does not
+gather in one task. Beyond that both sides are shuffled, and adaptive execution splits a partition that is too large.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions.identity import existence_key
+from textquarry.session import materialize
 
 NEW, CHANGED, UNCHANGED = "new", "changed", "unchanged"
 MAX_BROADCAST_KEYS = 200_000
@@ -33,22 +35,26 @@ def classify(incoming: DataFrame, stored: DataFrame, keys: list[str], hash_colum
     return incoming.join(known, keys, "left").withColumn("change", change).drop("_known", "stored_hash")
 
 
-def pick(content: DataFrame, keys: DataFrame, on: str, limit: int = MAX_BROADCAST_KEYS) -> DataFrame:
-    """Content rows of the given keys, with the columns of ``keys``. The content stays where it is as long as there
-    are at most ``limit`` keys, which is counted first; beyond that both sides are shuffled."""
-    small = keys.limit(limit + 1).count() <= limit
-    return content.join(F.broadcast(keys) if small else keys, on)
+def bounded(keys: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> DataFrame:
+    """A list of keys, written once; marked for broadcast if it has at most ``limit`` rows."""
+    keys = materialize(keys)
+    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str] = ["collection", "id"]) -> DataFrame:
-    """Insert or replace by id. Ids are hashes, so both sides spread evenly."""
-    kept = stored.join(incoming.select(*keys), keys, "left_anti")
-    return kept.unionByName(incoming, allowMissingColumns=True)
+def pick(content: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Content rows of the given keys, with the columns of ``keys``."""
+    return content.join(bounded(keys), on)
 
 
 def without(stored: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """Stored chunks whose key is not in ``gone``."""
-    return stored.join(gone.select(*keys).distinct(), keys, "left_anti")
+    return stored.join(bounded(gone.select(*keys).distinct()), keys, "left_anti")
+
+
+def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str] = ["collection", "id"]) -> DataFrame:
+    """Insert or replace by id. The incoming chunks are written once, as both their ids and their rows are needed."""
+    incoming = materialize(incoming)
+    return without(stored, incoming, keys).unionByName(incoming, allowMissingColumns=True)
 
 
 def replace_sources(stored: DataFrame, incoming: DataFrame, replaced: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,18 +73,19 @@ def predicted_ids(rows: DataFrame, id_of) -> DataFrame:
     return numbered.select(id_of(F.col("source"), F.col("row_id"), F.col("chunk")).alias("id"))
 
 
-def _stale(chunks: DataFrame, live: DataFrame) -> DataFrame:
-    """Add ``_stale``: the chunk names a source, and what must exist for it is not in ``live``."""
+def _stale(sources: DataFrame, live: DataFrame) -> DataFrame:
+    """Add ``_stale``: a source is named, and what must exist for it is not in ``live``."""
     present = live.select(F.col("source").alias("_key")).distinct().withColumn("_live", F.lit(True))
-    keyed = chunks.withColumn("_key", existence_key(F.coalesce(F.col("source"), F.lit(""))))
+    keyed = sources.withColumn("_key", existence_key(F.coalesce(F.col("source"), F.lit(""))))
     gone = F.col("_live").isNull() & (F.col("_key") != "")
     return keyed.join(present, "_key", "left").withColumn("_stale", gone).drop("_key", "_live")
 
 
 def purge(chunks: DataFrame, live: DataFrame) -> DataFrame:
     """Chunks whose source still exists. Row sources are looked up by the part before ``::``; a chunk without a
-    source is kept."""
-    return _stale(chunks, live).where(~F.col("_stale")).drop("_stale")
+    source is kept. Sources are looked up once each, then the stale ones are dropped."""
+    stale = _stale(chunks.select("source").distinct(), live).where("_stale").select("source")
+    return without(chunks, stale, ["source"])
 
 
 def purge_counts(chunks: DataFrame, live: DataFrame) -> DataFrame:

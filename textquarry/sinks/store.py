@@ -1,20 +1,22 @@
 """Collections on plain Parquet: two append-only tables and a view of the current state.
 
-``chunks`` gets the new chunks of every run, ``ledger`` one row per source (or table row) the run replaced or removed.
-A chunk is current if its run is the last one in the ledger for its key. A run therefore writes only what changed, and
-change detection reads the ledger and never the chunks. The ledger is written last: chunks of a run that failed before
-it are not visible. ``compact`` writes the current state as one run of a new store. One writer at a time.
+``chunks`` gets the new chunks of every run, ``ledger`` one row per source (or table row) that the run replaced or
+removed. A run therefore writes only what changed, and change detection reads the ledger and never the chunks. A chunk
+is current unless a later run replaced or removed its source. The ledger is written last, and run numbers are times, so
+what a failed run left never shows. ``compact`` writes the current state as one run of a new store. One writer at a time.
 """
 
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textquarry.operators.changes import bounded, without
 from textquarry.operators.ingest import Ingest
 from textquarry.schema import CHUNK, conform
 
@@ -50,8 +52,9 @@ class ChunkStore:
         return self._read("ledger", LEDGER)
 
     def _next_run(self) -> int:
+        """A number above every finished run's, and not used by a failed one."""
         last = self._ledger().agg(F.max("run")).first()[0]
-        return 0 if last is None else last + 1
+        return max(time.time_ns() // 1_000_000, 0 if last is None else last + 1)
 
     def latest(self) -> DataFrame:
         """The last ledger row of every key: one partial aggregate per task, then one row per key."""
@@ -90,15 +93,22 @@ class ChunkStore:
         return number
 
     def current(self, collection: str | None = None) -> DataFrame:
-        """The chunks of the current state. A filter on ``collection`` prunes partitions of both tables."""
+        """The chunks of the current state. A filter on ``collection`` prunes partitions of both tables.
+
+        What is looked up are the finished runs and the superseded keys, both few next to the chunks.
+        """
         schema = T.StructType([*CHUNK.fields, T.StructField("run", T.LongType())])
-        chunks, latest = self._read("chunks", schema), self.latest()
+        chunks, ledger, latest = self._read("chunks", schema), self._ledger(), self.latest()
         if collection is not None:
-            chunks = chunks.where(F.col("collection") == collection)
-            latest = latest.where(F.col("collection") == collection)
-        live = latest.where(~F.col("removed")).select("collection", "source", F.col("row_id").alias("_row"), "run")
+            own = F.col("collection") == collection
+            chunks, ledger, latest = chunks.where(own), ledger.where(own), latest.where(own)
+        last = latest.select(*KEY, F.col("run").alias("_last"), F.col("removed").alias("_removed"))
+        old = ledger.where(~F.col("removed")).join(last, KEY).where((F.col("run") < F.col("_last")) | F.col("_removed"))
+        superseded = old.select("collection", "source", F.col("row_id").alias("_row"), "run")
+        finished = bounded(ledger.select("collection", "run").distinct())
         keyed = chunks.withColumn("_row", F.coalesce("row_id", F.lit("")))
-        return conform(keyed.join(live, ["collection", "source", "_row", "run"], "left_semi"))
+        shown = keyed.join(finished, ["collection", "run"], "left_semi")
+        return conform(without(shown, superseded, ["collection", "source", "_row", "run"]))
 
     def compact(self, target: str) -> "ChunkStore":
         """Write the current state as the first run of a new store."""

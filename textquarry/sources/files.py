@@ -29,7 +29,10 @@ def _plain_path(path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Every file below ``folder``: ``path, modified, length, content``. Unused columns are never read."""
+    """Every file below ``folder``: ``path, modified, length, content``. Unused columns are never read.
+
+    Spark's file source does not list files of zero bytes, so they count as not there.
+    """
     try:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     except AnalysisException as error:
