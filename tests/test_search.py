@@ -119,6 +119,17 @@ def test_probing_all_buckets_is_exact(data):
     assert recall(approximate, exact).where("found <> wanted").count() == 0
 
 
+def test_stored_buckets_are_pruned(spark, data, tmp_path):
+    from textquarry.operators.approximate import with_bucket
+
+    _, _, q, r = data
+    with_bucket(r.select("id", "embedding"), 4).write.partitionBy("bucket").parquet(str(tmp_path / "b"))
+    stored = spark.read.parquet(str(tmp_path / "b"))
+    hits = nearest_probed(q.where("qid < 2"), stored, 5, 4, 0)
+    assert "PartitionFilters: [bucket" in hits._jdf.queryExecution().executedPlan().toString()
+    same(collected(hits), collected(nearest_probed(q.where("qid < 2"), r, 5, 4, 0)))
+
+
 def test_score_threshold_comes_after_the_rank(spark):
     q = spark.createDataFrame([(0, [0.0, 0.0])], "qid long, embedding array<float>")
     r = spark.createDataFrame([("a", [0.2236, 0.0]), ("b", [1.4142, 0.0]), ("c", [0.3, 0.0])], "id string, embedding array<float>")

@@ -58,15 +58,19 @@ def probes(bits: int = BITS, radius: int = RADIUS) -> list[int]:
 def nearest_probed(queries: DataFrame, rows: DataFrame, k: int, bits: int = BITS, radius: int = RADIUS) -> DataFrame:
     """The ``k`` nearest rows among the probed buckets of every query: ``qid, id, distance, rank``.
 
-    ``rows`` may come with its ``bucket``. A query whose buckets hold fewer than ``k`` rows is searched exactly.
+    ``rows`` may come with its ``bucket``: then only the buckets that some query probes, at most ``2 ** bits``, are
+    read. A query whose buckets hold fewer than ``k`` rows is searched exactly.
     """
-    rows = rows if "bucket" in rows.columns else with_bucket(rows, bits)
-    rows = rows.select("id", "embedding", "bucket")
+    stored = "bucket" in rows.columns
+    rows = (rows if stored else with_bucket(rows, bits)).select("id", "embedding", "bucket")
     patterns = F.array(*[F.lit(p) for p in probes(bits, radius)])
     probing = with_bucket(queries.select("qid", "embedding"), bits).select(
         "qid", "embedding", F.explode(F.transform(patterns, lambda p: F.col("bucket").bitwiseXOR(p))).alias("bucket")
     )
-    found = nearest(probing, rows, k, probe="bucket").select("qid", "id", "distance", "rank")
+    probed = rows
+    if stored:
+        probed = rows.where(F.col("bucket").isin([r[0] for r in probing.select("bucket").distinct().collect()]))
+    found = nearest(probing, probed, k, probe="bucket").select("qid", "id", "distance", "rank")
     full = found.where(F.col("rank") == k).select("qid")
     short = queries.join(full, "qid", "left_anti")
     exact = nearest(short, rows.select("id", "embedding"), k).select("qid", "id", "distance", "rank")

@@ -81,11 +81,15 @@ def _stale(sources: DataFrame, live: DataFrame) -> DataFrame:
     return keyed.join(present, "_key", "left").withColumn("_stale", gone).drop("_key", "_live")
 
 
+def stale_sources(chunks: DataFrame, live: DataFrame) -> DataFrame:
+    """Sources that no longer exist, each looked up once."""
+    return _stale(chunks.select("source").distinct(), live).where("_stale").select("source")
+
+
 def purge(chunks: DataFrame, live: DataFrame) -> DataFrame:
     """Chunks whose source still exists. Row sources are looked up by the part before ``::``; a chunk without a
-    source is kept. Sources are looked up once each, then the stale ones are dropped."""
-    stale = _stale(chunks.select("source").distinct(), live).where("_stale").select("source")
-    return without(chunks, stale, ["source"])
+    source is kept."""
+    return without(chunks, stale_sources(chunks, live), ["source"])
 
 
 def purge_counts(chunks: DataFrame, live: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from textquarry.functions.vectors import COMPARE_DIGITS
 
 MAX_BROADCAST_QUERIES = 4096
+MAX_BROADCAST_BYTES = 128 * 1024 * 1024
 MAX_HELD_HITS = 200_000  # k hits per query that one task may hold
 BLOCK_CELLS = 4_000_000  # distances computed at a time
 
@@ -228,6 +229,8 @@ def nearest(
     rows = rows.where(F.col(group).isNotNull()) if group else rows
     block = max(1, min(max_broadcast, MAX_HELD_HITS // k))
     held = queries.limit(block + 1).toArrow()
+    if held.nbytes > MAX_BROADCAST_BYTES:
+        block = max(1, min(block, held.num_rows * MAX_BROADCAST_BYTES // held.nbytes))
     small = held.num_rows <= block
     if small:
         held = held.filter(pc.is_valid(held.column("embedding")))

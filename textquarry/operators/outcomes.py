@@ -41,6 +41,11 @@ def skip_reasons(outcomes: DataFrame, limit: int = SKIP_REASON_LIMIT) -> DataFra
     )
 
 
+def ingest_report(outcomes: DataFrame) -> DataFrame:
+    """The summary and the capped list of skip reasons in one row."""
+    return ingest_summary(outcomes).withColumn("skipped_reasons", skip_reasons(outcomes).scalar())
+
+
 def running_totals(rows: DataFrame, order: str, values: dict[str, str], blocks: int = RUNNING_BLOCKS) -> DataFrame:
     """Running sums in the order of a unique column, without putting all rows in one task.
 

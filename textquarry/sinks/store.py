@@ -92,15 +92,15 @@ class ChunkStore:
         self._append(dropped.select(*KEY, "hash", F.lit(True).alias("removed"), F.lit(number).alias("run")), "ledger")
         return number
 
-    def current(self, collection: str | None = None) -> DataFrame:
-        """The chunks of the current state. A filter on ``collection`` prunes partitions of both tables.
+    def current(self, *collections: str) -> DataFrame:
+        """The chunks of the current state, of all or of the given collections, which prunes both tables.
 
         What is looked up are the finished runs and the superseded keys, both few next to the chunks.
         """
         schema = T.StructType([*CHUNK.fields, T.StructField("run", T.LongType())])
         chunks, ledger, latest = self._read("chunks", schema), self._ledger(), self.latest()
-        if collection is not None:
-            own = F.col("collection") == collection
+        if collections:
+            own = F.col("collection").isin(*collections)
             chunks, ledger, latest = chunks.where(own), ledger.where(own), latest.where(own)
         last = latest.select(*KEY, F.col("run").alias("_last"), F.col("removed").alias("_removed"))
         old = ledger.where(~F.col("removed")).join(last, KEY).where((F.col("run") < F.col("_last")) | F.col("_removed"))
