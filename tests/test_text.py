@@ -96,6 +96,13 @@ def test_template(spark):
         tx.template_text(df, "x" * 5000, df.columns)
 
 
+def test_created_at(spark):
+    from datetime import datetime
+
+    assert one(spark, tx.created_at, "2024-01-02T03:04:05+00:00") == datetime(2024, 1, 2, 3, 4, 5)
+    assert one(spark, tx.created_at, "long ago") is None and one(spark, tx.created_at, "") is None
+
+
 def test_names(spark):
     assert one(spark, suffix, "/a/b.TXT") == ".txt"
     assert one(spark, suffix, "/a.b/c") == "" and one(spark, suffix, "/a/.hidden") == ""

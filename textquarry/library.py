@@ -23,11 +23,12 @@ from textquarry.errors import CollectionExistsError, CollectionNotFoundError
 from textquarry.functions.embedding import DEFAULT_MODEL
 from textquarry.functions.validation import check_collection_name, check_description
 from textquarry.operators import collections as coll
-from textquarry.operators.changes import purge_counts, stale_sources
+from textquarry.operators.changes import bounded, purge_counts, stale_sources
 from textquarry.operators.hits import answer_context, answer_prompt
 from textquarry.operators.ingest import Ingest, IngestOptions, ingest_files, ingest_table
 from textquarry.operators.outcomes import ingest_report
 from textquarry.operators.search import embed_queries, search, search_many
+from textquarry.schema import conform
 from textquarry.session import apply_defaults, materialize
 from textquarry.sinks.store import ChunkStore
 from textquarry.sources.files import list_files, scan_files, scan_paths
@@ -96,14 +97,15 @@ class TextLibrary:
 
     def chunks(self, *names: str) -> DataFrame:
         """Current chunks of the named collections, or of all, under their names. Unknown names give nothing."""
-        catalog = self._catalog().select("id", "name")
+        catalog = self._catalog().select(F.col("id").alias("collection"), "name")
         if names:
             catalog = catalog.where(F.col("name").isin(list(names)))
-        ids = {r["id"]: r["name"] for r in catalog.collect()}
-        if not ids:
-            return self.store.current("")
-        named = F.element_at(F.create_map(*[F.lit(v) for pair in ids.items() for v in pair]), F.col("collection"))
-        return self.store.current(*ids).withColumn("collection", named)
+            # Few names: their ids prune the partitions of the store. "" stands for none of them.
+            stored = self.store.current(*[r["collection"] for r in catalog.collect()] or [""])
+        else:
+            stored = self.store.current()
+        named = stored.join(bounded(catalog), "collection").withColumn("collection", F.col("name"))
+        return conform(named)
 
     # --- ingest ---
 

@@ -233,7 +233,7 @@ def extract_mixed(spark, sf):
             F.to_json(F.struct("role")), F.lit("\n\nnot json\n"), F.to_json(F.struct("turn", "conv_id"))
         ).alias("body"),
     )
-    files = pages.unionByName(docs).unionByName(events).unionByName(turns)
+    files = spread(pages.unionByName(docs).unionByName(events).unionByName(turns), "path")
     found = extract_files(files.select("path", F.col("body").cast("binary").alias("content")))
     return found.select("path", F.md5("text").alias("text_md5"), "doc_title", "error")
 

@@ -51,9 +51,9 @@ def stamp_windows(changes: DataFrame, interval: str = "3 seconds") -> DataFrame:
     return changes.select("folder", F.window("ts", interval)["end"].alias("emitted_at"), "ts", "path")
 
 
-def change_events(changes: DataFrame, interval: str = "3 seconds", delay: str = "10 seconds", parts: int = 1) -> DataFrame:
-    """``folder, emitted_at, part, paths``: the paths of each window as lists. ``parts`` splits the list of a folder
-    that sees very many changes at once."""
+def change_events(changes: DataFrame, interval: str = "3 seconds", delay: str = "10 seconds", parts: int = 16) -> DataFrame:
+    """``folder, emitted_at, part, paths``: the paths of each window as lists. The list of a folder comes in up to
+    ``parts`` pieces, so that one which sees very many changes at once does not gather in one task."""
     if changes.isStreaming:
         changes = _timed(changes).withWatermark("ts", delay)
     part = F.pmod(F.xxhash64("path", "ts"), F.lit(parts)).cast("int")
