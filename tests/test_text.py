@@ -18,6 +18,9 @@ def one(spark, column, value, dtype="string"):
         ("<html><head><title>T</title></head><body><p>Hello <b>big</b> world</p><script>var x = '<p>';</script></body></html>", "Hello big world"),
         ("<nav>menu</nav><p> a </p><!-- <p>no</p> --><footer class='x'>f</footer>b<br/>c", "a b c"),
         ("x &lt;b&gt; &amp;amp; &eacute;&#233;&#xe9; &nope; 1 < 2", "x <b> &amp; ééé &nope; 1 < 2"),
+        ("a<script>var x = '<!--';</script>b<!-- c -->d", "a b d"),
+        ("a<nav>x<script>'</nav>'</script>y</nav>b<header>kept</header>", "a b kept"),
+        ("a<style>p{} never closed <p>b</p>", "a"),
         ("<p>&nbsp;</p><P>Upper</P><STYLE>p{}</STYLE>", "Upper"),
         ("", ""),
     ],
