@@ -25,9 +25,10 @@ def ingest_summary(outcomes: DataFrame) -> DataFrame:
 def skip_reasons(outcomes: DataFrame, limit: int = SKIP_REASON_LIMIT) -> DataFrame:
     """The first ``limit`` reasons in order as ``name: reason``, and one marker if there are more.
 
-    The sort stops at ``limit + 1`` rows in each task, so only that many ever reach the list.
+    The sort stops at ``limit + 1`` rows in each task, so only that many ever reach the list. The outcomes are written
+    first: their filter would be pushed down, and the extraction behind it run twice.
     """
-    skipped = outcomes.where("coalesce(skip_reason, '') <> ''")
+    skipped = materialize(outcomes).where("coalesce(skip_reason, '') <> ''")
     first = skipped.orderBy("seq").limit(limit + 1)
     listed = F.transform(
         F.array_sort(F.collect_list(F.struct("seq", F.concat_ws(": ", "name", "skip_reason").alias("line")))),
@@ -43,6 +44,7 @@ def skip_reasons(outcomes: DataFrame, limit: int = SKIP_REASON_LIMIT) -> DataFra
 
 def ingest_report(outcomes: DataFrame) -> DataFrame:
     """The summary and the capped list of skip reasons in one row."""
+    outcomes = materialize(outcomes)
     return ingest_summary(outcomes).withColumn("skipped_reasons", skip_reasons(outcomes).scalar())
 
 

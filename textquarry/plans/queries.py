@@ -29,7 +29,7 @@ from textquarry.operators.search import contexts, contexts_many, search, search_
 from textquarry.plans import inputs as src
 from textquarry.plans.inputs import table
 from textquarry.schema import HIT_DEFAULTS, hit_field
-from textquarry.session import scratch_path, spread
+from textquarry.session import materialize, scratch_path, spread
 from textquarry.sinks import exports as ex
 from textquarry.sinks.store import ChunkStore
 from textquarry.sources.files import extract_files, scan_files, scan_paths
@@ -713,7 +713,7 @@ def export_vault(spark, sf):
 
 @query
 def export_answer(spark, sf):
-    hits = _export_hits(spark, sf)
+    hits = materialize(_export_hits(spark, sf))
     answers = hits.where("rank = 1").select(
         "qid", F.md5("text").alias("answer"), F.lit("local").alias("provider"), F.lit("digest").alias("model")
     )

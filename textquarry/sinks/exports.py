@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.identity import basename, cite_key
 from textquarry.operators.hits import ordered_join
+from textquarry.session import materialize
 
 # Fixed values of the formats.
 NOTE_CHARS = 500
@@ -165,7 +166,11 @@ def to_csl_json(hits: DataFrame, year: int) -> DataFrame:
 
 
 def to_vault(hits: DataFrame, date: str) -> DataFrame:
-    """``qid, path, content``: an index note per query and one note with front matter per hit."""
+    """``qid, path, content``: an index note per query and one note with front matter per hit.
+
+    The hits are used twice, so they are written first.
+    """
+    hits = materialize(hits)
     safe = F.substring(F.regexp_replace(F.col("query_text"), r'[\\/:*?"<>|]+', "_"), 1, VAULT_NAME_CHARS)
     folder = F.concat(F.lit("Search — "), safe, F.lit(f" — {date}/"))
     key = cite_key(F.col("source"), _index())
