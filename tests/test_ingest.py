@@ -206,7 +206,7 @@ def test_summary(spark):
     assert tuple(oc.ingest_summary(outcomes_of(spark, 0)).first()) == (0, 0, 0, 0)
 
 
-@pytest.mark.parametrize("n, listed, last", [(9, 6, "f8: empty"), (750, 500, "f749: empty"), (753, 501, "(truncated: more than 500 skipped entries)"), (0, 0, None)])
+@pytest.mark.parametrize("n, listed, last", [(9, 6, "f8: empty"), (750, 500, "f749: empty"), (753, 501, "(truncated — more than 500 skipped entries)"), (0, 0, None)])
 def test_skip_reasons_are_capped(spark, n, listed, last):
     got = oc.skip_reasons(outcomes_of(spark, n).repartition(4)).first()["skipped_reasons"]
     assert len(got) == listed and (got[-1] if got else None) == last

@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
+from itertools import chain
 from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Limits that are part of the contract.
 MAX_DEPTH = 5
 MAX_KEYS = 20
 MAX_ITEMS = 50
 
 
-def check_filter(node, depth: int = 0) -> None:
+def _levels(node) -> Iterator[tuple[int, object]]:
+    """Every value of a nested filter with its depth, level by level."""
+    level, depth = [node], 0
+    while level:
+        yield from ((depth, value) for value in level)
+        maps = [list(v.values()) for v in level if isinstance(v, Mapping)]
+        lists = [v for v in level if isinstance(v, (list, tuple))]
+        level, depth = list(chain.from_iterable(maps + lists)), depth + 1
+
+
+def check_filter(where: Mapping) -> None:
     """Limits on the size of a filter, checked before anything is compiled."""
-    if depth > MAX_DEPTH:
-        raise ValueError(f"filter is nested deeper than {MAX_DEPTH}")
-    if isinstance(node, Mapping):
-        if len(node) > MAX_KEYS:
+    for depth, value in _levels(where):
+        if depth > MAX_DEPTH:
+            raise ValueError(f"filter is nested deeper than {MAX_DEPTH}")
+        if isinstance(value, Mapping) and len(value) > MAX_KEYS:
             raise ValueError(f"filter object has more than {MAX_KEYS} keys")
-        for child in node.values():
-            check_filter(child, depth + 1)
-    elif isinstance(node, (list, tuple)):
-        if len(node) > MAX_ITEMS:
+        if isinstance(value, (list, tuple)) and len(value) > MAX_ITEMS:
             raise ValueError(f"filter list has more than {MAX_ITEMS} items")
-        for child in node:
-            check_filter(child, depth + 1)
 
 
 def _test(col: Column | None, op: str, value) -> Column:

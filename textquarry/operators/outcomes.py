@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from textquarry.session import materialize
 
+# How many reasons are listed, and what follows the last one if there are more.
 SKIP_REASON_LIMIT = 500
+TRUNCATED = "(truncated — more than {limit} skipped entries)"
+
 RUNNING_BLOCKS = 128
 
 
@@ -34,7 +37,7 @@ def skip_reasons(outcomes: DataFrame, limit: int = SKIP_REASON_LIMIT) -> DataFra
         F.array_sort(F.collect_list(F.struct("seq", F.concat_ws(": ", "name", "skip_reason").alias("line")))),
         lambda r: r["line"],
     )
-    marker = F.array(F.lit(f"(truncated: more than {limit} skipped entries)"))
+    marker = F.array(F.lit(TRUNCATED.format(limit=limit)))
     return first.agg(listed.alias("all")).select(
         F.when(F.size("all") > limit, F.concat(F.slice("all", 1, limit), marker))
         .otherwise(F.col("all"))

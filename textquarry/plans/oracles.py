@@ -410,7 +410,7 @@ ORACLES: dict[str, str] = {
     "skip_reasons": f"""{recursive(CHANGES)},
         r AS (SELECT seq, name || ': ' || skip_reason AS line, row_number() OVER (ORDER BY seq) AS n
               FROM outcomes WHERE skip_reason IS NOT NULL),
-        c AS (SELECT seq, CASE WHEN n <= 500 THEN line ELSE '(truncated: more than 500 skipped entries)' END AS line
+        c AS (SELECT seq, CASE WHEN n <= 500 THEN line ELSE '(truncated — more than 500 skipped entries)' END AS line
               FROM r WHERE n <= 501)
         SELECT CAST(count(*) AS INTEGER) AS listed, coalesce(string_agg(line, chr(10) ORDER BY seq), '') AS reasons FROM c""",
     "ingest_progress": f"""{recursive(CHANGES)} SELECT seq, name AS filename, row_number() OVER (ORDER BY seq) AS files_done,
