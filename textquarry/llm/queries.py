@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from textquarry.llm.common import table
 from textquarry.llm.decontaminate import find_contamination
 from textquarry.llm.quality import judge
+from textquarry.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -27,3 +28,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
