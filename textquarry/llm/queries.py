@@ -10,6 +10,8 @@ from textquarry.llm.common import table
 from textquarry.llm.decontaminate import find_contamination
 from textquarry.llm.quality import judge
 from textquarry.llm.simhash import near_duplicates
+from textquarry.llm.token_files import read_token_files, write_token_files
+from textquarry.session import apply_defaults, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -33,3 +35,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch_path(apply_defaults(spark), "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_files(spark, path)
