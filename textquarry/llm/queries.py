@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textquarry.llm.common import table
 from textquarry.llm.decontaminate import find_contamination
+from textquarry.llm.mixing import DOMAINS, copies, mixing_rates
 from textquarry.llm.quality import judge
 from textquarry.llm.simhash import near_duplicates
 from textquarry.llm.token_files import read_token_files, write_token_files
@@ -44,3 +46,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(apply_defaults(spark), "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return read_token_files(spark, path)
+
+
+@query
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    doc_id = F.col("carried.doc_id")
+    posteriors = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
+    return fit.rated.select(doc_id.alias("doc_id"), "n_tokens", *posteriors, "rate", copies(F.col("rate"), doc_id, F.col("n_tokens")).alias("copies"))
