@@ -87,9 +87,27 @@ def test_blocks_decode_alone(n):
     ids = rng.zipf(1.2, n).clip(1, 40_000).astype(np.uint32)
     used, counts = np.unique(ids, return_counts=True)
     book = tf.Codebook(used.astype(np.int64), tf.code_lengths(counts))
-    payload, points = tf.pack(ids, *book.encoder())
+    cut = np.array([n] if n < 3 else [1, n // 2, n - 1 - n // 2])
+    payloads, points = tf.pack(ids, cut, *book.encoder())
     table, bits = book.decoder()
-    assert len(points) == -(-n // tf.CHECKPOINT)
-    assert (tf.unpack([payload], np.array([n]), [points], table, bits, book.width) == ids).all()
-    two = tf.unpack([payload, payload], np.array([n, n]), [points, points], table, bits, book.width)
-    assert (two == np.concatenate((ids, ids))).all()
+    assert [len(p) for p in points] == (-(-cut // tf.CHECKPOINT)).tolist()
+    for payload, point, size, end in zip(payloads, points, cut, np.cumsum(cut)):
+        got = tf.unpack([payload], np.array([0]), np.array([size]), point, table, bits, book.width)
+        assert (got == ids[end - size : end]).all()
+    all_points = np.concatenate(points)
+    got = tf.unpack(payloads, np.arange(len(cut)), cut, all_points, table, bits, book.width)
+    assert (got == ids).all()
+
+
+def test_memo_forgets_and_stays_right():
+    with open(PATH, encoding="utf-8") as f:
+        memo = tf.WordIds(f.read(), memo_words=40)
+    tokenizer = Tokenizer.from_file(PATH)
+    rng = np.random.default_rng(2)
+    letters = list("abcdefgé'.,!1-İ|$\u0958\u0301")
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice(letters, rng.integers(1, 6))) for _ in range(20)) for _ in range(4)]
+        ids, n = memo.encode(texts)
+        want = [i for t in texts for i in tokenizer.encode(t, add_special_tokens=False).ids + [1]]
+        assert ids.tolist() == want and int(n.sum()) == len(want)
+    assert len(memo.known) < 400

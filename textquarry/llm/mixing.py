@@ -90,7 +90,8 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], options: Mixin
     named = labels.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "domain"])
     chosen = named.orderBy(F.xxhash64("doc_id", "domain"), "doc_id").limit(options.max_labelled)
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    read = texts.join(chosen, "doc_id").select("domain", tokens(F.col("text")).alias("all"))
+    # At most ``max_labelled`` rows of an id and a domain: bounded, so texts are picked where they are read.
+    read = texts.join(F.broadcast(chosen), "doc_id").select("domain", tokens(F.col("text")).alias("all"))
     sample = read.select("domain", F.array_distinct("all").alias("found"), _sketch(F.col("all")).alias("sketch"))
     sample = stored(sample.dropDuplicates(["domain", "sketch"]).drop("sketch"), "labelled")
     sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -4,14 +4,14 @@ Layout below a folder, all written and read by Spark's Parquet files, so any fil
 
 * ``codes``: ``id, bits``, the code length of every id in use. Codes are canonical: ascending by (bits, id).
 * ``blocks``: one row per block of whole documents: ``part, inside, n_tokens, doc_ids, doc_tokens, checkpoints, payload``. ``inside``
-  counts the ids before the block in its file; ``payload`` holds the codes, most significant bit first; ``checkpoints`` the bit offset of every ``CHECKPOINT``-th id, from each of which a
-  reader can start. Files follow each other by ``part``, blocks by ``inside``, in ascending order of document id.
+  counts the ids before the block in its file; ``payload`` holds the codes, most significant bit first, each document from a full
+  byte on; ``checkpoints`` the bit offset of every ``CHECKPOINT``-th id of a document, from each of which a reader can start. Files follow each other by ``part``, blocks by ``inside``, in ascending order of document id.
 * ``parts``: ``part, start``: ids in all files before.
 
 Documents are tokenized once, into a scratch table of id bytes; ids are counted there (at most one row per id and task moves), code
-lengths come from the global counts by package merging on the driver (its size is the vocabulary's), and the id bytes are range
-partitioned by document id and coded. Whitespace never survives this tokenizer, so a text's ids are those of its words one after
-the other: each task encodes every distinct word once with the library and keeps ``memo_words`` of them at most.
+lengths come from the global counts by package merging on the driver (its size is the vocabulary's), and the coded documents are
+range partitioned by document id and put together to blocks. Whitespace never survives this tokenizer, so a text's ids are those of its words one after
+the other: each task has the library encode a word when it first meets it (see ``WordIds``).
 
 Nulls: a null text has the end id alone; null document ids come first. Rows that repeat an id follow each other, by text hash. An
 empty table gives no blocks. A document is never cut, so a block is as long as its last document makes it.
@@ -20,6 +20,7 @@ empty table gives no blocks. A document is never cut, so a block is as long as i
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -44,30 +45,91 @@ BLOCK_SCHEMA = (
 )
 
 
+# Signs at the end of a word that this tokenizer splits off as one piece (an apostrophe may open a contraction).
+TAIL = b".,;:!?*#$%&|"
+
+
 class WordIds:
-    """Ids of texts by their words, each distinct word encoded once by the library."""
+    """Ids of texts by their words. The library encodes what it has not seen yet: the stem of a word, and the signs behind it.
+
+    Words that one piece holds (letters in composed form) are encoded many to a string and cut apart behind the ids that end a word;
+    any other word is encoded by itself. At most about ``memo_words`` words are kept, those met again before the others.
+    """
 
     def __init__(self, tokenizer_json: str, memo_words: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.memo_words = memo_words
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(0, np.uint32)
-        self.begin, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.begin = self.length = self.met = np.zeros(0, np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
-        coded = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)]
-        length = np.fromiter(map(len, coded), np.int64, len(coded))
+    def forget(self) -> None:
+        """Keep the words met most often since the last time, at most half of the memo."""
+        keep = np.flatnonzero(self.met > 1)
+        if len(keep) > self.memo_words // 2:
+            keep = np.sort(keep[np.argsort(-self.met[keep], kind="stable")[: self.memo_words // 2]])
+        names = list(self.known)
+        ids, length = self._ids_of(keep), self.length[keep]
+        self.known = {names[i]: n for n, i in enumerate(keep.tolist())}
+        self.ids, self.length, self.begin = ids, length, np.cumsum(length) - length
+        self.met = np.zeros(len(keep), np.int64)
+
+    def _ids_of(self, at: np.ndarray) -> np.ndarray:
+        length = self.length[at]
+        done = np.cumsum(length)
+        return self.ids[np.arange(int(done[-1]) if len(at) else 0) + np.repeat(self.begin[at] - done + length, length)]
+
+    def _add(self, words: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
         self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(length) - length))
         self.length = np.concatenate((self.length, length))
-        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(coded), np.uint32, int(length.sum()))))
+        self.ids = np.concatenate((self.ids, ids))
+        self.met = np.concatenate((self.met, np.zeros(len(words), np.int64)))
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
 
+    def _encode_pieces(self, words: list[bytes], per_string: int = 1000) -> None:
+        for i in range(0, len(words), per_string):
+            some = words[i : i + per_string]
+            text = b" ".join(some).decode("utf-8")
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) == len(some):
+                self._add(some, ids, np.diff(np.concatenate(([-1], ends))))
+            else:
+                self._encode_each(some)
+
+    def _encode_each(self, words: list[bytes]) -> None:
+        coded = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)]
+        length = np.fromiter(map(len, coded), np.int64, len(coded))
+        self._add(words, np.fromiter(chain.from_iterable(coded), np.uint32, int(length.sum())), length)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Add words not known yet."""
+        whole, stems, tails = [], [], []
+        for word in words:
+            stem = word.rstrip(TAIL)
+            if not stem or len(stem) == len(word) or not unicodedata.normalize("NFC", stem.decode("utf-8")).lower()[-1].isalnum():
+                whole.append(word)
+            else:
+                stems.append(stem)
+                tails.append(word[len(stem) :])
+        pieces, others = [], []
+        for word in {*whole, *stems, *tails}.difference(self.known):
+            text = word.decode("utf-8")
+            plain = text.isalpha() and text.lower().isalpha() and unicodedata.is_normalized("NFC", text)
+            (pieces if plain else others).append(word)
+        self._encode_pieces(pieces)
+        self._encode_each(others)
+        if stems:
+            number = self.known.__getitem__
+            pair = np.array([list(map(number, stems)), list(map(number, tails))], np.int64).T
+            self._add([a + b for a, b in zip(stems, tails)], self._ids_of(pair.ravel()), self.length[pair].sum(axis=1))
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id behind each, and how many each has."""
         split = [t.encode("utf-8").split() if t else [] for t in texts]
@@ -78,46 +140,56 @@ class WordIds:
         if new:
             self.learn(list(new))
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        length = self.length[at]
+        self.met += np.bincount(at, minlength=len(self.known))
         # The end ids are put in by position: after each text's words.
-        done = np.concatenate(([0], np.cumsum(length)))
+        done = np.concatenate(([0], np.cumsum(self.length[at])))
         ends = done[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
-        flat = self.ids[np.arange(int(done[-1])) + np.repeat(self.begin[at] - done[:-1], length)]
-        return np.insert(flat, ends, END_ID), np.diff(np.concatenate(([0], ends))) + 1
+        return np.insert(self._ids_of(at), ends, END_ID), np.diff(np.concatenate(([0], ends))) + 1
+
+
+def id_type(tokenizer_json: str) -> str:
+    """Numpy's name of the least little-endian type that holds every id of a tokenizer (and the end id)."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_str(tokenizer_json).get_vocab().values(), default=0) < 1 << 16 else "<u4"
 
 
 _TOKENIZERS: dict[int, WordIds] = {}
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", memo_words: int = 400_000) -> DataFrame:
-    """``doc_id, tag, n_tokens, ids`` (little-endian unsigned 32-bit ids) of every document; the tokenizer's file is read here."""
+def tokenized(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", memo_words: int = 200_000) -> DataFrame:
+    """``doc_id, tag, n_tokens, ids`` (little-endian ids, see ``id_type``) of every document; the tokenizer's file is read here."""
     with open(tokenizer_path, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
+    kind = id_type(sent.value)
+    width = int(kind[-1])
 
     def work(batches):
         key = zlib.crc32(sent.value.encode())
         if key not in _TOKENIZERS:  # kept by a reused worker
             _TOKENIZERS[key] = WordIds(sent.value, memo_words)
-        for batch in batches:
-            ids, n = _TOKENIZERS[key].encode(batch.column(1).to_pylist())
-            ends = np.concatenate(([0], np.cumsum(n) * 4))
-            raw = ids.astype("<u4").tobytes()
-            packed = pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), packed], ["doc_id", "tag", "n_tokens", "ids"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):  # less of a batch is held as Python words at a time
+                batch = whole.slice(i, 500)
+                ids, n = _TOKENIZERS[key].encode(batch.column(1).to_pylist())
+                ends = np.concatenate(([0], np.cumsum(n) * width))
+                raw = ids.astype(kind).tobytes()
+                packed = pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), packed], ["doc_id", "tag", "n_tokens", "ids"])
 
     key = F.col(doc_id).cast("long")
     held = docs.select(key.alias("doc_id"), F.col(text).alias("body"), F.xxhash64(key, F.col(text)).alias("tag"))
     return map_batches(held, work, "doc_id long, tag long, n_tokens long, ids binary")
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
+def id_counts(tokens: DataFrame, kind: str) -> DataFrame:
     """``id, n`` over all documents; every task sends the sums of what it read."""
 
     def work(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
             for column in _cut(batch.column(0)):
-                counts = np.bincount(np.frombuffer(b"".join(column), "<u4"))
+                counts = np.bincount(np.frombuffer(b"".join(column), kind))
                 if len(counts) > len(total):
                     counts[: len(total)] += total
                     total = counts
@@ -193,35 +265,47 @@ class Codebook:
         return self.ids[at], self.bits[at]
 
 
-def pack(ids: np.ndarray, codes: np.ndarray, bits: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The payload of one block and its checkpoints. Each code falls in at most two words of 32 bits, and none of a word's bits is
-    set twice, so sums over the codes that start in a word write it; no code is longer than a word, so no word is passed over."""
+def pack(ids: np.ndarray, n_tokens: np.ndarray, codes: np.ndarray, bits: np.ndarray) -> tuple[list[bytes], list[np.ndarray]]:
+    """Payload and checkpoints of some documents, each of at least one id. All are laid out in one row of 32-bit words, every
+    document from a full byte on. A code falls in at most two words and no bit is set twice, so sums over the codes that start in a
+    word write it; code and gap are shorter than a word together, so no word is passed over."""
     length = bits[ids]
-    ends = np.cumsum(length)
-    at = ends - length
+    done = np.concatenate(([0], np.cumsum(length)))
+    last = np.cumsum(n_tokens)
+    size = -(-(done[last] - done[last - n_tokens]) // 8)  # bytes of each document
+    begin = np.cumsum(size) - size
+    at = done[:-1] + np.repeat(begin * 8 - done[last - n_tokens], n_tokens)
     word, shift = at >> 5, (64 - (at & 31) - length).astype(np.uint64)
     value = codes[ids] << shift
     first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
     out = np.zeros(int(word[-1]) + 2, np.uint64)
     out[:-1] = np.add.reduceat(value >> np.uint64(32), first)
     out[1:] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
-    return out.astype(">u4").tobytes()[: -(-int(ends[-1]) // 8)], at[::CHECKPOINT].astype(np.int32)
-
-
-def unpack(payloads: list[bytes], n_tokens: np.ndarray, checkpoints: list[np.ndarray], ids: np.ndarray, bits: np.ndarray, width: int) -> np.ndarray:
-    """Ids of some blocks. Every checkpoint is a lane; all lanes decode one id per step, each by one table look."""
+    raw = out.astype(">u4").tobytes()
+    payloads = [raw[a : a + n] for a, n in zip(begin.tolist(), size.tolist())]
+    points = [
+        (at[a : a + n : CHECKPOINT] - 8 * b).astype(np.int32) for a, n, b in zip((last - n_tokens).tolist(), n_tokens.tolist(), begin.tolist())
+    ]
+    return payloads, points
+
+
+def unpack(
+    payloads: list[bytes], block: np.ndarray, n_tokens: np.ndarray, checkpoints: np.ndarray, ids: np.ndarray, bits: np.ndarray, width: int
+) -> np.ndarray:
+    """Ids of the documents of some blocks. Every checkpoint is a lane; all lanes decode one id per step, each by one table look.
+    ``block``: that of each document; ``n_tokens``: of each document; ``checkpoints``: of all, as bits of their block."""
     size = np.fromiter(map(len, payloads), np.int64, len(payloads)) + 4
     data = np.frombuffer(b"".join(p + b"\0\0\0\0" for p in payloads), np.uint8)
     base = (np.cumsum(size) - size) * 8
-    lanes = np.fromiter(map(len, checkpoints), np.int64, len(checkpoints))
-    at = np.concatenate([c.astype(np.int64) for c in checkpoints]) + np.repeat(base, lanes)
+    lanes = -(-n_tokens // CHECKPOINT)
+    at = checkpoints.astype(np.int64) + np.repeat(base[block], lanes)
     nth = np.arange(len(at)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
     left = np.minimum(CHECKPOINT, np.repeat(n_tokens, lanes) - nth * CHECKPOINT)
     begin = np.repeat(np.cumsum(n_tokens) - n_tokens, lanes) + nth * CHECKPOINT
     out = np.empty(int(n_tokens.sum()), np.uint32)
     order = np.argsort(-left, kind="stable")  # short lanes last: those still running are a prefix
     at, left, begin = at[order], left[order], begin[order]
-    mask, live = (1 << width) - 1, len(at)
+    mask = (1 << width) - 1
     for step in range(CHECKPOINT):
         live = int(np.searchsorted(-left, -step, side="left"))
         if not live:
@@ -245,38 +329,49 @@ def write_token_files(
     block_tokens: int = BLOCK_TOKENS,
 ) -> None:
     spark = apply_defaults(docs.sparkSession)
-    tokens = stored(tokenized(docs, tokenizer_path, doc_id, text), "tokens")
-    counted = id_counts(tokens).toPandas().sort_values("id")  # at most the vocabulary
+    with open(tokenizer_path, encoding="utf-8") as f:
+        kind = id_type(f.read())
+    tokens = stored(tokenized(docs, tokenizer_path, doc_id, text), "tokens", compression="zstd")
+    counted = id_counts(tokens, kind).toPandas().sort_values("id")  # at most the vocabulary
     ids, total = counted["id"].to_numpy(np.int64), int(counted["n"].sum())
     lengths = code_lengths(counted["n"].to_numpy(np.int64))
     table = [(int(i), int(b)) for i, b in zip(ids, lengths)]
     spark.createDataFrame(table, "id long, bits int").coalesce(1).write.parquet(f"{path}/codes")
     sent = spark.sparkContext.broadcast((ids, lengths))
 
-    def work(batches):
+    def coded(batches):
         codes, bits = Codebook(*sent.value).encoder()
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                batch = whole.slice(i, 500)
+                flat = np.frombuffer(b"".join(batch.column(4).to_pylist()), kind)
+                payloads, points = pack(flat, batch.column(3).to_numpy(), codes, bits)
+                added = [pa.array(payloads, pa.binary()), pa.array(points, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], *added], ["doc_id", "tag", "row", "n_tokens", "payload", "points"])
+
+    def blocked(batches):
         part, before = TaskContext.get().partitionId(), 0
-        doc_ids, sizes, raw, held = [], [], [], 0
+        held: list[tuple] = []
+        tokens_held = 0
 
         def block():
-            payload, checkpoints = pack(np.frombuffer(b"".join(raw), "<u4"), codes, bits)
+            offset = np.cumsum([0] + [len(h[2]) for h in held[:-1]]) * 8
+            points = np.concatenate([np.asarray(h[3]) + o for h, o in zip(held, offset)])
             return pa.RecordBatch.from_pydict(
                 {
-                    "part": pa.array([part], pa.int32()), "inside": pa.array([before], pa.int64()), "n_tokens": pa.array([held], pa.int64()),
-                    "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "doc_tokens": pa.array([sizes], pa.list_(pa.int32())),
-                    "checkpoints": pa.array([checkpoints], pa.list_(pa.int32())), "payload": pa.array([payload], pa.binary()),
+                    "part": pa.array([part], pa.int32()), "inside": pa.array([before], pa.int64()), "n_tokens": pa.array([tokens_held], pa.int64()),
+                    "doc_ids": pa.array([[h[0] for h in held]], pa.list_(pa.int64())), "doc_tokens": pa.array([[h[1] for h in held]], pa.list_(pa.int32())),
+                    "checkpoints": pa.array([points], pa.list_(pa.int32())), "payload": pa.array([b"".join(h[2] for h in held)], pa.binary()),
                 }
             )
 
         for batch in batches:
-            for doc, n, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                doc_ids.append(doc)
-                sizes.append(n)
-                raw.append(value.as_py())
-                held += n
-                if held >= block_tokens:
+            for doc, n, value, points in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                held.append((doc, n, value.as_py(), points.values))
+                tokens_held += n
+                if tokens_held >= block_tokens:
                     yield block()
-                    doc_ids, sizes, raw, held, before = [], [], [], 0, before + held
+                    held, tokens_held, before = [], 0, before + tokens_held
         if held:
             yield block()
 
@@ -284,8 +379,10 @@ def write_token_files(
     cores = spark.sparkContext.defaultParallelism
     files = max(-(-total // tokens_per_file), min(cores, -(-total // (1 << 20))), 1)
     order = ["doc_id", "tag", "row"]  # the last only spreads equal rows
-    held = tokens.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(files, *order).sortWithinPartitions(*order)
-    map_batches(held.select("doc_id", "n_tokens", "ids"), work, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
+    numbered = tokens.select("doc_id", "tag", F.monotonically_increasing_id().alias("row"), "n_tokens", "ids")
+    rows = numbered.mapInArrow(coded, "doc_id long, tag long, row long, n_tokens long, payload binary, points array<int>")
+    dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "payload", "points")
+    dealt.mapInArrow(blocked, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row per file
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -313,12 +410,13 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
             for i in range(0, batch.num_rows, 16):  # some blocks at a time
                 n, start, docs, sizes, points, payload = (batch.column(c).slice(i, 16) for c in range(6))
                 counts = n.to_numpy()
-                flat = unpack(payload.to_pylist(), counts, [np.asarray(p.values) for p in points], ids, bits, book.width)
                 each = np.concatenate([np.asarray(s.values) for s in sizes]).astype(np.int64)
+                block = np.repeat(np.arange(len(counts)), [len(s.values) for s in sizes])
+                lanes = np.concatenate([np.asarray(p.values) for p in points])
+                flat = unpack(payload.to_pylist(), block, each, lanes, ids, bits, book.width)
                 ends = np.cumsum(each)
                 raw = flat.astype("<u4")
                 crc = [zlib.crc32(raw[b - s : b]) for b, s in zip(ends.tolist(), each.tolist())]
-                block = np.repeat(np.arange(len(counts)), [len(s.values) for s in sizes])
                 first = ends - each - (np.cumsum(counts) - counts)[block] + start.to_numpy()[block]
                 out = [pa.concat_arrays([d.values for d in docs]), pa.array(first), pa.array(each), pa.array(crc, pa.int64())]
                 if with_ids:
