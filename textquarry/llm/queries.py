@@ -12,6 +12,7 @@ from textquarry.llm.decontaminate import find_contamination
 from textquarry.llm.mixing import DOMAINS, copies, mixing_rates
 from textquarry.llm.quality import judge
 from textquarry.llm.simhash import near_duplicates
+from textquarry.llm.suffix_trees import remove_repeats
 from textquarry.llm.token_files import read_token_files, write_token_files
 from textquarry.session import apply_defaults, scratch_path
 
@@ -54,3 +55,8 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_id = F.col("carried.doc_id")
     posteriors = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
     return fit.rated.select(doc_id.alias("doc_id"), "n_tokens", *posteriors, "rate", copies(F.col("rate"), doc_id, F.col("n_tokens")).alias("copies"))
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
