@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -107,7 +108,7 @@ def test_memo_forgets_and_stays_right():
     letters = list("abcdefgé'.,!1-İ|$\u0958\u0301")
     for _ in range(30):
         texts = [" ".join("".join(rng.choice(letters, rng.integers(1, 6))) for _ in range(20)) for _ in range(4)]
-        ids, n = memo.encode(texts)
+        ids, n = memo.encode(pa.array(texts))
         want = [i for t in texts for i in tokenizer.encode(t, add_special_tokens=False).ids + [1]]
         assert ids.tolist() == want and int(n.sum()) == len(want)
     assert len(memo.known) < 400

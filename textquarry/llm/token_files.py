@@ -23,10 +23,11 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,21 @@ BLOCK_SCHEMA = (
 TAIL = b".,;:!?*#$%&|"
 
 
+def _ends_in_letter(stem: bytes) -> bool:
+    """Whether what follows is split off for sure: the last character is a letter or digit, also composed and in lower case."""
+    if stem[-1] < 0x80:
+        return stem[-1:].isalnum()
+    return unicodedata.normalize("NFC", stem.decode("utf-8")).lower()[-1].isalnum()
+
+
+def _one_piece(word: bytes) -> bool:
+    """Whether a word with other than ASCII letters is letters only to the tokenizer."""
+    if word.isascii():
+        return False
+    text = word.decode("utf-8")
+    return text.isalpha() and text.lower().isalpha() and unicodedata.is_normalized("NFC", text)
+
+
 class WordIds:
     """Ids of texts by their words. The library encodes what it has not seen yet: the stem of a word, and the signs behind it.
 
@@ -85,65 +101,69 @@ class WordIds:
         done = np.cumsum(length)
         return self.ids[np.arange(int(done[-1]) if len(at) else 0) + np.repeat(self.begin[at] - done + length, length)]
 
-    def _add(self, words: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
+    def _add(self, words: list[bytes], parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """``parts``: ids and lengths of the words, some words each."""
+        length = np.concatenate([n for _, n in parts])
         self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(length) - length))
         self.length = np.concatenate((self.length, length))
-        self.ids = np.concatenate((self.ids, ids))
+        self.ids = np.concatenate((self.ids, *[ids for ids, _ in parts]))
         self.met = np.concatenate((self.met, np.zeros(len(words), np.int64)))
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
 
-    def _encode_pieces(self, words: list[bytes], per_string: int = 1000) -> None:
-        for i in range(0, len(words), per_string):
-            some = words[i : i + per_string]
-            text = b" ".join(some).decode("utf-8")
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids])
-            if len(ends) == len(some):
-                self._add(some, ids, np.diff(np.concatenate(([-1], ends))))
-            else:
-                self._encode_each(some)
+    def _encode_pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        text = b" ".join(words).decode("utf-8")
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids])
+        return (ids, np.diff(np.concatenate(([-1], ends)))) if len(ends) == len(words) else self._encode_each(words)
 
-    def _encode_each(self, words: list[bytes]) -> None:
+    def _encode_each(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         coded = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)]
         length = np.fromiter(map(len, coded), np.int64, len(coded))
-        self._add(words, np.fromiter(chain.from_iterable(coded), np.uint32, int(length.sum())), length)
+        return np.fromiter(chain.from_iterable(coded), np.uint32, int(length.sum())), length
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: list[bytes], per_string: int = 1000) -> None:
         """Add words not known yet."""
         whole, stems, tails = [], [], []
         for word in words:
             stem = word.rstrip(TAIL)
-            if not stem or len(stem) == len(word) or not unicodedata.normalize("NFC", stem.decode("utf-8")).lower()[-1].isalnum():
+            if not stem or len(stem) == len(word) or not _ends_in_letter(stem):
                 whole.append(word)
             else:
                 stems.append(stem)
                 tails.append(word[len(stem) :])
-        pieces, others = [], []
-        for word in {*whole, *stems, *tails}.difference(self.known):
-            text = word.decode("utf-8")
-            plain = text.isalpha() and text.lower().isalpha() and unicodedata.is_normalized("NFC", text)
-            (pieces if plain else others).append(word)
-        self._encode_pieces(pieces)
-        self._encode_each(others)
+        new = {*whole, *stems, *tails}.difference(self.known)
+        pieces = [word for word in new if word.isalpha() or _one_piece(word)]  # of bytes: ASCII letters
+        others = list(new.difference(pieces))
+        parts = [self._encode_pieces(pieces[i : i + per_string]) for i in range(0, len(pieces), per_string)]
+        if others:
+            parts.append(self._encode_each(others))
+        if parts:
+            self._add(pieces + others, parts)
         if stems:
             number = self.known.__getitem__
             pair = np.array([list(map(number, stems)), list(map(number, tails))], np.int64).T
-            self._add([a + b for a, b in zip(stems, tails)], self._ids_of(pair.ravel()), self.length[pair].sum(axis=1))
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, the end id behind each, and how many each has."""
-        split = [t.encode("utf-8").split() if t else [] for t in texts]
-        words = list(chain.from_iterable(split))
+            joined = [a + b for a, b in zip(stems, tails)]
+            self._add(joined, [(self._ids_of(pair.ravel()), self.length[pair].sum(axis=1))])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, the end id behind each, and how many each has. Arrow cuts the texts to words and finds the different
+        ones, so Python sees each word once per batch."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_pylist()
         if len(self.known) > self.memo_words:
             self.forget()
-        new = set(words).difference(self.known)
-        if new:
-            self.learn(list(new))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            unknown = [words[i] for i in new.tolist()]
+            self.learn(unknown)
+            number[new] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(new))
+        at = number[coded.indices.to_numpy()]
         self.met += np.bincount(at, minlength=len(self.known))
         # The end ids are put in by position: after each text's words.
         done = np.concatenate(([0], np.cumsum(self.length[at])))
-        ends = done[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
+        ends = done[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
         return np.insert(self._ids_of(at), ends, END_ID), np.diff(np.concatenate(([0], ends))) + 1
 
 
@@ -157,7 +177,7 @@ def id_type(tokenizer_json: str) -> str:
 _TOKENIZERS: dict[int, WordIds] = {}
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", memo_words: int = 200_000) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", memo_words: int = 600_000) -> DataFrame:
     """``doc_id, tag, n_tokens, ids`` (little-endian ids, see ``id_type``) of every document; the tokenizer's file is read here."""
     with open(tokenizer_path, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -169,9 +189,9 @@ def tokenized(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text
         if key not in _TOKENIZERS:  # kept by a reused worker
             _TOKENIZERS[key] = WordIds(sent.value, memo_words)
         for whole in batches:
-            for i in range(0, whole.num_rows, 500):  # less of a batch is held as Python words at a time
-                batch = whole.slice(i, 500)
-                ids, n = _TOKENIZERS[key].encode(batch.column(1).to_pylist())
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                ids, n = _TOKENIZERS[key].encode(batch.column(1))
                 ends = np.concatenate(([0], np.cumsum(n) * width))
                 raw = ids.astype(kind).tobytes()
                 packed = pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
