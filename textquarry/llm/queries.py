@@ -11,6 +11,7 @@ from textquarry.llm.common import table
 from textquarry.llm.decontaminate import find_contamination
 from textquarry.llm.mixing import DOMAINS, copies, mixing_rates
 from textquarry.llm.quality import judge
+from textquarry.llm.secrets import report
 from textquarry.llm.simhash import near_duplicates
 from textquarry.llm.suffix_trees import remove_repeats
 from textquarry.llm.token_files import read_token_files, write_token_files
@@ -60,3 +61,8 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(table(spark, sf_dir, "documents"))
