@@ -8,7 +8,7 @@ Layout below a folder, all written and read by Spark's Parquet files, so any fil
   byte on; ``checkpoints`` the bit offset of every ``CHECKPOINT``-th id of a document, from each of which a reader can start. Files follow each other by ``part``, blocks by ``inside``, in ascending order of document id.
 * ``parts``: ``part, start``: ids in all files before.
 
-Documents are tokenized once, into a scratch table of id bytes; ids are counted there (at most one row per id and task moves), code
+Documents are tokenized once, into a scratch table of id bytes; ids are counted on the way (one list per task moves), code
 lengths come from the global counts by package merging on the driver (its size is the vocabulary's), and the coded documents are
 range partitioned by document id and put together to blocks. Whitespace never survives this tokenizer, so a text's ids are those of its words one after
 the other: each task has the library encode a word when it first meets it (see ``WordIds``).
@@ -22,7 +22,6 @@ from __future__ import annotations
 import os
 import unicodedata
 import zlib
-from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -80,6 +79,7 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.counts = np.zeros(len(self.ends), np.int64)  # of all ids given out; whoever reads them sets them back
         self.memo_words = memo_words
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(0, np.uint32)
@@ -148,7 +148,10 @@ class WordIds:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id behind each, and how many each has. Arrow cuts the texts to words and finds the different
         ones, so Python sees each word once per batch."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        plain = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not pc.any(pc.match_substring(plain, "<|")).as_py():  # special tokens are found before the tokenizer folds its input
+            plain = pc.ascii_lower(plain)
+        split = pc.ascii_split_whitespace(plain)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.cast(pa.large_binary()).to_pylist()
         if len(self.known) > self.memo_words:
@@ -160,7 +163,12 @@ class WordIds:
             self.learn(unknown)
             number[new] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(new))
         at = number[coded.indices.to_numpy()]
-        self.met += np.bincount(at, minlength=len(self.known))
+        seen = np.bincount(at, minlength=len(self.known))
+        self.met += seen
+        used = np.flatnonzero(seen)
+        of = np.bincount(self._ids_of(used), np.repeat(seen[used], self.length[used]), minlength=len(self.ends))
+        self.counts += of.astype(np.int64)
+        self.counts[END_ID] += len(texts)
         # The end ids are put in by position: after each text's words.
         done = np.concatenate(([0], np.cumsum(self.length[at])))
         ends = done[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
@@ -178,7 +186,9 @@ _TOKENIZERS: dict[int, WordIds] = {}
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", memo_words: int = 600_000) -> DataFrame:
-    """``doc_id, tag, n_tokens, ids`` (little-endian ids, see ``id_type``) of every document; the tokenizer's file is read here."""
+    """``doc_id, tag, n_tokens, ids`` (little-endian ids, see ``id_type``) of every document; the tokenizer's file is read here.
+
+    Every task ends with a row that is no document: ``counts`` has how often it gave out each id."""
     with open(tokenizer_path, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = id_type(sent.value)
@@ -188,49 +198,31 @@ def tokenized(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text
         key = zlib.crc32(sent.value.encode())
         if key not in _TOKENIZERS:  # kept by a reused worker
             _TOKENIZERS[key] = WordIds(sent.value, memo_words)
+        words = _TOKENIZERS[key]
+        words.counts[:] = 0
+        names = ["doc_id", "tag", "n_tokens", "ids", "counts"]
         for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                batch = whole.slice(i, 1000)
-                ids, n = _TOKENIZERS[key].encode(batch.column(1))
+            rows = max(1, whole.num_rows * (12 << 20) // max(whole.nbytes, 12 << 20))
+            for i in range(0, whole.num_rows, rows):
+                batch = whole.slice(i, rows)
+                ids, n = words.encode(batch.column(1))
                 ends = np.concatenate(([0], np.cumsum(n) * width))
                 raw = ids.astype(kind).tobytes()
                 packed = pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), packed], ["doc_id", "tag", "n_tokens", "ids"])
+                none = pa.nulls(batch.num_rows, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), packed, none], names)
+        last = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([words.counts], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(last, names)
 
     key = F.col(doc_id).cast("long")
     held = docs.select(key.alias("doc_id"), F.col(text).alias("body"), F.xxhash64(key, F.col(text)).alias("tag"))
-    return map_batches(held, work, "doc_id long, tag long, n_tokens long, ids binary")
-
+    return map_batches(held, work, "doc_id long, tag long, n_tokens long, ids binary, counts array<long>")
 
-def id_counts(tokens: DataFrame, kind: str) -> DataFrame:
-    """``id, n`` over all documents; every task sends the sums of what it read."""
 
-    def work(batches):
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for column in _cut(batch.column(0)):
-                counts = np.bincount(np.frombuffer(b"".join(column), kind))
-                if len(counts) > len(total):
-                    counts[: len(total)] += total
-                    total = counts
-                else:
-                    total[: len(counts)] += counts
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["id", "n"])
-
-    return map_batches(tokens.select("ids"), work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
-def _cut(column: pa.Array, most: int = 16 << 20) -> Iterator[list[bytes]]:
-    part, size = [], 0
-    for value in column:
-        part.append(value.as_py())
-        size += len(part[-1])
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def id_counts(tokens: DataFrame) -> DataFrame:
+    """``id, n`` over all documents, from the sums of the tasks."""
+    each = tokens.where(F.col("counts").isNotNull()).select(F.posexplode("counts").alias("id", "n")).where("n > 0")
+    return each.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -352,7 +344,7 @@ def write_token_files(
     with open(tokenizer_path, encoding="utf-8") as f:
         kind = id_type(f.read())
     tokens = stored(tokenized(docs, tokenizer_path, doc_id, text), "tokens", compression="zstd")
-    counted = id_counts(tokens, kind).toPandas().sort_values("id")  # at most the vocabulary
+    counted = id_counts(tokens).toPandas().sort_values("id")  # at most the vocabulary
     ids, total = counted["id"].to_numpy(np.int64), int(counted["n"].sum())
     lengths = code_lengths(counted["n"].to_numpy(np.int64))
     table = [(int(i), int(b)) for i, b in zip(ids, lengths)]
@@ -399,7 +391,7 @@ def write_token_files(
     cores = spark.sparkContext.defaultParallelism
     files = max(-(-total // tokens_per_file), min(cores, -(-total // (1 << 20))), 1)
     order = ["doc_id", "tag", "row"]  # the last only spreads equal rows
-    numbered = tokens.select("doc_id", "tag", F.monotonically_increasing_id().alias("row"), "n_tokens", "ids")
+    numbered = tokens.where(F.col("n_tokens").isNotNull()).select("doc_id", "tag", F.monotonically_increasing_id().alias("row"), "n_tokens", "ids")
     rows = numbered.mapInArrow(coded, "doc_id long, tag long, row long, n_tokens long, payload binary, points array<int>")
     dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "payload", "points")
     dealt.mapInArrow(blocked, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
