@@ -2,4 +2,112 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+import re
+
+from textquarry.llm.secrets import BASE_RULES, MORE_RULES
+
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+QUALITY = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, source, {_WORDS} AS ws FROM documents),
+lines AS (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines
+        WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+w AS (SELECT r, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] AS g
+      FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM d)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM w) WHERE n > 1),
+rep AS (SELECT r, sum(least(3, coalesce(nxt - i, 3)))::BIGINT AS n_repeat_words
+        FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM twice) GROUP BY r),
+m AS (SELECT d.r, doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+             len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols,
+             coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+      FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r)),
+f AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+             (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 50 * n_words
+              OR 100 * n_dup_lines > 10 * n_words) AS any_failed FROM m),
+h AS (SELECT source, count(*) AS n, sum(any_failed::INT) AS bad FROM f GROUP BY source),
+t AS (SELECT avg(bad / n) AS mean, var_pop(bad / n) AS var, avg(1 / n) AS chance FROM h),
+p AS (SELECT mean, CASE WHEN var - mean * (1 - mean) * chance > 0
+                   THEN least(1000, greatest(2, mean * (1 - mean) / (var - mean * (1 - mean) * chance) - 1)) ELSE 1000 END AS weight FROM t),
+v AS (SELECT source, (bad + mean * weight) / (n + weight) > 0.6 AS host_rejected FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rejected,
+       NOT base_failed AND NOT host_rejected AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
+"""
+
+DECONTAMINATE = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id,
+                  list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT item_id::VARCHAR AS item,
+             list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+p AS (SELECT DISTINCT item, least(10, len(ws)) AS n, array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') AS phrase
+      FROM (SELECT item, ws, unnest(generate_series(1, greatest(1, len(ws) - 9))) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM p),
+g AS (SELECT r, n, i, array_to_string(ws[i : i + n - 1], ' ') AS phrase
+      FROM (SELECT r, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM w, sizes)),
+hit AS (SELECT r, g.n, i, item FROM g JOIN p ON g.phrase = p.phrase AND g.n = p.n),
+places AS (SELECT DISTINCT r, unnest(generate_series(i, i + n - 1)) AS place FROM hit),
+cover AS (SELECT r, count(*) AS n_hit FROM places GROUP BY r),
+edge AS (SELECT r, min(place) - 1 AS s, max(place) AS e FROM (SELECT r, place, place - row_number() OVER (PARTITION BY r ORDER BY place) AS k FROM places)
+         GROUP BY r, k),
+span AS (SELECT r, string_agg(s || ':' || e, ',' ORDER BY s) AS spans FROM edge GROUP BY r),
+items AS (SELECT r, list(item ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(spans, '') AS spans
+FROM w LEFT JOIN cover USING (r) LEFT JOIN span USING (r) LEFT JOIN items USING (r)
+"""
+
+REPEATS = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+g AS (SELECT r, doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS h
+      FROM (SELECT r, doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS i FROM d)),
+first AS (SELECT h, min(doc_id) AS smallest FROM g GROUP BY h),
+gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 49)) AS place FROM g JOIN first USING (h)
+         WHERE smallest < coalesce(doc_id, 9223372036854775807)),
+cut AS (SELECT r, list(place) AS places_ FROM gone GROUP BY r),
+w AS (SELECT r, place, ws[place] AS word FROM (SELECT r, ws, unnest(generate_series(1, len(ws))) AS place FROM d)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY place) AS words FROM w ANTI JOIN gone USING (r, place) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(places_), 0)::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN cut USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+def _secret_spans() -> str:
+    """Spans of every rule: the text between matches and the matches alternate, so a match starts at the lengths before it."""
+    parts = []
+    for rank, rule in enumerate((*BASE_RULES, *MORE_RULES)):
+        # Letters in either case are those of ASCII; RE2's own flag would fold others in.
+        folded = re.sub(r"\(\?i:([^)]*)\)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]) + ")", rule.pattern)
+        pattern = folded.replace("'", "''")
+        parts.append(
+            f"""SELECT r, {rank} AS rank, '{rule.kind}' AS kind, v, length(m) AS n,
+       sum(length(b)) OVER (PARTITION BY r ORDER BY i) + coalesce(sum(length(m)) OVER (PARTITION BY r ORDER BY i
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, {rule.least} AS least
+FROM (SELECT r, generate_subscripts(ms, 1) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(bs[1 : len(ms)]) AS b
+      FROM (SELECT r, regexp_extract_all(body, '{pattern}', 0) AS ms, regexp_extract_all(body, '{pattern}', {rule.group}) AS vs,
+                   string_split_regex(body, '{pattern}') AS bs FROM d) WHERE len(ms) > 0)"""
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body FROM documents),
+every AS ({_secret_spans()}),
+s AS (SELECT r, kind, rank, start, kind || ':' || start || ':' || (start + n) AS said FROM every WHERE length(v) >= least),
+a AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+             count(*) FILTER (kind = 'hex') AS n_hex, string_agg(said, ',' ORDER BY start, rank) AS spans,
+             string_agg(said, ',' ORDER BY start, rank) FILTER (rank < {len(BASE_RULES)}) AS base FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+       coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (r)
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": DECONTAMINATE,
+    "op5_quality_rules": QUALITY,
+    "op7_substring_dedup": REPEATS,
+    "op9_secrets": SECRETS,
+}

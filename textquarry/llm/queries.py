@@ -28,7 +28,8 @@ def query(f: Callable[[SparkSession, str], DataFrame]):
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.array_join(spans, ",").alias("spans"))
 
 
 @query

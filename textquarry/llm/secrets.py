@@ -78,6 +78,10 @@ def _strings(tree, most: int = 64) -> tuple[list[set[str]], bool]:
         elif name == "MAX_REPEAT" and value[:2] == (0, 1):
             inner, exact = _strings(value[2], most)
             options = {"", *inner[0]} if exact and len(inner) == 1 else None
+        elif name == "MAX_REPEAT" and value[0] > 0:
+            cut()
+            done += _strings(value[2], most)[0]
+            continue
         joined = {a + b for a, b in product(run, options)} if options is not None else None
         if joined is None or len(joined) > most:
             cut()
