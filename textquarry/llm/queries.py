@@ -12,6 +12,7 @@ from textquarry.llm.decontaminate import find_contamination
 from textquarry.llm.mixing import DOMAINS, copies, mixing_rates
 from textquarry.llm.quality import judge
 from textquarry.llm.secrets import report
+from textquarry.llm.sharding import assign_shards
 from textquarry.llm.simhash import near_duplicates
 from textquarry.llm.suffix_trees import remove_repeats
 from textquarry.llm.token_files import read_token_files, write_token_files
@@ -67,3 +68,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"))
