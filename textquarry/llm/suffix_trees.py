@@ -301,6 +301,7 @@ def remove_repeats(
     key = F.xxhash64("digest")
     groups = suffixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
     groups = groups.where("low < high").select("prefix", (F.col("n") > max_group).alias("large"))
+    groups = stored(groups, "prefixes")  # read anew, so that Spark can split the other side of the join where a prefix is hot
     repeated = suffixes.join(groups, "prefix")
     at = F.collect_set(F.struct("prefix", "first", "last", "large")).alias("at")  # at most the anchors of one text
     wanted = repeated.groupBy("digest").agg(at).join(owners.select("digest", "id"), "digest")
