@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm.common import table
 from textquarry.llm.decontaminate import find_contamination
+from textquarry.llm.html_density import extract_main_text
 from textquarry.llm.mixing import DOMAINS, copies, mixing_rates
 from textquarry.llm.quality import judge
 from textquarry.llm.secrets import report
@@ -73,3 +74,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
