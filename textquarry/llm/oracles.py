@@ -105,7 +105,47 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 FROM d LEFT JOIN a USING (r)
 """
 
+
+
+def _trust(rounds: int = 30) -> str:
+    """Rules by case, longest first, and the rounds of trust and distrust one after the other."""
+    fits = lambda domain, path: f"(host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '{path}')"
+    first = r"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id, html,
+                  translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), ''),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+"""
+    rules = f"""
+ruled AS (SELECT *, CASE WHEN {fits("example.net", "/en/")} THEN 'example.net/en/' WHEN {fits("example.com", "/de/")} THEN 'example.com/de/'
+                         WHEN {fits("org", "/fr/")} THEN 'org/fr/' WHEN {fits("net", "/")} THEN 'net/' END AS rule FROM u),
+said AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said FROM ruled),
+seeds AS (SELECT host, kind, CASE kind WHEN 0 THEN allowed ELSE blocked END / n AS score
+          FROM (SELECT host, count(*) AS n, count(*) FILTER (said = 'allow') AS allowed, count(*) FILTER (said = 'block') AS blocked
+                FROM said WHERE host <> '' GROUP BY host), (VALUES (0), (1)) AS k(kind)),
+links AS (SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''),
+                 '(?i)\\bhref\\s*=\\s*["'']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\\s<>]+)', 1)),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM u WHERE host <> ''),
+e AS (SELECT src, dst, count(*) AS n FROM links WHERE src <> dst GROUP BY ALL),
+both_ways AS (SELECT src AS host, dst AS towards, n, 0 AS kind FROM e UNION ALL SELECT dst, src, n, 1 FROM e),
+steps AS MATERIALIZED (SELECT host, kind, towards, 0.85::DOUBLE * n / sum(n) OVER (PARTITION BY host, kind) AS share FROM both_ways),
+s0 AS MATERIALIZED (SELECT * FROM seeds)"""
+    each = "".join(
+        f""",
+s{i} AS MATERIALIZED (SELECT host, kind, sum(score) AS score FROM (SELECT host, kind, score FROM seeds UNION ALL
+       SELECT towards, s.kind, s.score * share FROM s{i - 1} AS s JOIN steps USING (host, kind)) GROUP BY host, kind)"""
+        for i in range(1, rounds + 1)
+    )
+    last = f"""
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN distrust >= 0.5 AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM said LEFT JOIN (SELECT host, coalesce(sum(score) FILTER (kind = 0), 0) AS trust, coalesce(sum(score) FILTER (kind = 1), 0) AS distrust
+                     FROM s{rounds} GROUP BY host) USING (host)
+"""
+    return first + rules + each + last
+
+
 ORACLES: dict[str, str] = {
+    "op1_link_trust": _trust(),
     "op3_decontaminate": DECONTAMINATE,
     "op5_quality_rules": QUALITY,
     "op7_substring_dedup": REPEATS,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textquarry.llm.common import table
 from textquarry.llm.decontaminate import find_contamination
 from textquarry.llm.html_density import extract_main_text
+from textquarry.llm.link_trust import judge_urls
 from textquarry.llm.mixing import DOMAINS, copies, mixing_rates
 from textquarry.llm.quality import judge
 from textquarry.llm.secrets import report
@@ -79,3 +80,8 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
