@@ -112,3 +112,12 @@ def test_memo_forgets_and_stays_right():
         want = [i for t in texts for i in tokenizer.encode(t, add_special_tokens=False).ids + [1]]
         assert ids.tolist() == want and int(n.sum()) == len(want)
     assert len(memo.known) < 400
+
+
+def test_slices_are_encoded_like_whole_arrays():
+    with open(PATH, encoding="utf-8") as f:
+        memo = tf.WordIds(f.read(), memo_words=1000)
+    texts = pa.array(["Ein Satz", None, "zwei été Sätze", "", "Drei"])
+    for whole in (texts, texts.cast(pa.large_string())):
+        got = [memo.encode(whole.slice(i, 1))[0].tolist() for i in range(5)]
+        assert sum(got, []) == memo.encode(whole)[0].tolist()

@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import unicodedata
 import zlib
+from bisect import bisect_right
 from itertools import chain, repeat
 
 import numpy as np
@@ -149,6 +150,7 @@ class WordIds:
         """Ids of all texts, the end id behind each, and how many each has. Arrow cuts the texts to words and finds the different
         ones, so Python sees each word once per batch."""
         plain = pc.fill_null(texts.cast(pa.large_string()), "")
+        plain = plain.take(pa.array(np.arange(len(plain))))  # a copy: Arrow's case folding gives wrong offsets for part of an array
         if not pc.any(pc.match_substring(plain, "<|")).as_py():  # special tokens are found before the tokenizer folds its input
             plain = pc.ascii_lower(plain)
         split = pc.ascii_split_whitespace(plain)
@@ -331,13 +333,27 @@ def unpack(
     return out
 
 
+def _order(doc_id: int | None, tag: int, row: int) -> tuple:
+    """The order of documents: null ids first; the row number only spreads equal rows over files."""
+    return (doc_id is not None, doc_id or 0, tag, row)
+
+
+def _file_bounds(keys: DataFrame, files: int, per_file: int = 50) -> list[tuple]:
+    """Where every file but the first begins, from a sample of at most about ``per_file`` keys per file: files get about equal
+    numbers of documents. The sample only balances; any bounds give right files. Thin keys are sampled here, and not by a range
+    partitioning, which would code all documents to look at their keys."""
+    share = min(1.0, files * per_file / max(keys.count(), 1))
+    sample = sorted(_order(*r) for r in keys.sample(share, seed=1).collect())
+    return [sample[len(sample) * i // files] for i in range(1, files)] if sample else []
+
+
 def write_token_files(
     docs: DataFrame,
     path: str,
     tokenizer_path: str,
     doc_id: str = "doc_id",
     text: str = "text",
-    tokens_per_file: int = 1 << 25,
+    tokens_per_file: int = 1 << 27,
     block_tokens: int = BLOCK_TOKENS,
 ) -> None:
     spark = apply_defaults(docs.sparkSession)
@@ -351,6 +367,12 @@ def write_token_files(
     spark.createDataFrame(table, "id long, bits int").coalesce(1).write.parquet(f"{path}/codes")
     sent = spark.sparkContext.broadcast((ids, lengths))
 
+    # As many files as the ids ask for; small inputs use the cores there are.
+    cores = spark.sparkContext.defaultParallelism
+    files = max(-(-total // tokens_per_file), min(cores, -(-total // (1 << 20))), 1)
+    numbered = tokens.where(F.col("n_tokens").isNotNull()).select("doc_id", "tag", F.monotonically_increasing_id().alias("row"), "n_tokens", "ids")
+    bounds = spark.sparkContext.broadcast(_file_bounds(numbered.select("doc_id", "tag", "row"), files))
+
     def coded(batches):
         codes, bits = Codebook(*sent.value).encoder()
         for whole in batches:
@@ -358,8 +380,10 @@ def write_token_files(
                 batch = whole.slice(i, 500)
                 flat = np.frombuffer(b"".join(batch.column(4).to_pylist()), kind)
                 payloads, points = pack(flat, batch.column(3).to_numpy(), codes, bits)
-                added = [pa.array(payloads, pa.binary()), pa.array(points, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], *added], ["doc_id", "tag", "row", "n_tokens", "payload", "points"])
+                keys = zip(*(c.to_pylist() for c in batch.columns[:3]))
+                file = pa.array([bisect_right(bounds.value, _order(*k)) for k in keys], pa.int32())
+                added = [pa.array(payloads, pa.binary()), pa.array(points, pa.list_(pa.int32())), file]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], *added], ["doc_id", "tag", "row", "n_tokens", "payload", "points", "file"])
 
     def blocked(batches):
         part, before = TaskContext.get().partitionId(), 0
@@ -387,13 +411,9 @@ def write_token_files(
         if held:
             yield block()
 
-    # As many files as the ids ask for; small inputs use the cores there are.
-    cores = spark.sparkContext.defaultParallelism
-    files = max(-(-total // tokens_per_file), min(cores, -(-total // (1 << 20))), 1)
-    order = ["doc_id", "tag", "row"]  # the last only spreads equal rows
-    numbered = tokens.where(F.col("n_tokens").isNotNull()).select("doc_id", "tag", F.monotonically_increasing_id().alias("row"), "n_tokens", "ids")
-    rows = numbered.mapInArrow(coded, "doc_id long, tag long, row long, n_tokens long, payload binary, points array<int>")
-    dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "payload", "points")
+    schema = "doc_id long, tag long, row long, n_tokens long, payload binary, points array<int>, file int"
+    dealt = numbered.mapInArrow(coded, schema).repartitionById(files, F.col("file")).sortWithinPartitions("doc_id", "tag", "row")
+    dealt = dealt.select("doc_id", "n_tokens", "payload", "points")
     dealt.mapInArrow(blocked, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row per file
