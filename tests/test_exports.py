@@ -76,11 +76,14 @@ def test_long_texts_are_cut_where_the_format_says(hits):
     long = hits.withColumn("text", F.repeat(F.lit("y"), 3000))
     assert "annotation  = {" + "y" * 500 + "}" in content(ex.to_bibtex(long, 2024))
     assert "AB  - " + "y" * 2000 + "\n" in content(ex.to_ris(long, 2024))
+    assert "annotation  = {" + "y" * 3000 + "}" in content(ex.to_bibtex(long, 2024, note_chars=None))
+    assert "AB  - " + "y" * 3000 + "\n" in content(ex.to_ris(long, 2024, abstract_chars=None))
+    assert "y" * 3000 in content(ex.to_csl_json(long, 2024, abstract_chars=None))
 
 
 def test_vault(hits):
     rows = {r["path"]: r["content"] for r in ex.to_vault(hits, "2024-06-30").collect()}
-    folder = "Search — what _is_ {this}_ — 2024-06-30/"
+    folder = "Search — what _is_ {this}_ — 2024-06-30 (7)/"
     assert set(rows) == {folder + n for n in ("README.md", "my_report_v1_0.md", "shop_1.md")}
     assert rows[folder + "README.md"].endswith("## Results\n- [[my_report_v1_0]] — /docs/my report.v1.pdf\n- [[shop_1]] — /data/shop.db::orders")
     note = rows[folder + "shop_1.md"].split("\n")

@@ -58,6 +58,16 @@ def test_life_of_a_collection(spark, tmp_path):
     lib.reset("unknown", confirm=True)
     assert [r["name"] for r in lib.list_collections().collect()] == ["journal", "picked"]
 
+    fresh = lib.compact(str(tmp_path / "fresh"))
+    assert [r["name"] for r in fresh.list_collections().collect()] == ["journal", "picked"]
+    assert fresh.chunks("picked").count() == lib.chunks("picked").count() == 1
+    assert fresh.store.current().count() == 1  # the chunks of the dropped collection are not there
+    with pytest.raises(ValueError):
+        lib.request("fox", "picked", k=501)
+    with pytest.raises(ValueError):
+        lib.create("odd model", "/bad model")
+    assert lib.request("fox", "picked", k=1).count() == 1
+
 
 def test_watched_collection(spark, tmp_path):
     docs = tmp_path / "docs"

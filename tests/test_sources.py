@@ -136,4 +136,4 @@ def test_record_scans(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text('{"a": "x", "b": {"c": 1}}\n\nnope\n  {"a": true}  \n')
     assert [r["text"] for r in scan_json_lines(spark, str(tmp_path / "r.jsonl")).collect()] == ["x 1", "True"]
     (tmp_path / "r.csv").write_text('name,age\nAlice,30\n"B, ""b""",\n')
-    assert [r["text"] for r in scan_csv_records(spark, str(tmp_path / "r.csv"), 2).collect()] == ["name, age", "Alice, 30", 'B, "b", ']
+    assert [r["text"] for r in scan_csv_records(spark, str(tmp_path / "r.csv")).collect()] == ["name, age", "Alice, 30", 'B, "b", ']

@@ -123,3 +123,37 @@ def test_ids_are_md5_of_their_parts(spark):
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
     assert one(spark, lambda c: chunk_id(c, F.lit(3)), "a/b.txt") == md5("a/b.txt::3")
     assert one(spark, lambda c: row_chunk_id(c, F.lit(7), F.lit(0)), "/d.db::t") == md5("sqlite::/d.db::t::7::0")
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p title='a > b'>hello</p>", "hello"),
+        ("<nav>one<nav>two</nav>three</nav>four", "four"),
+        ("a<footer>b<nav>c</footer>d", "a d"),
+        ("a</nav>b<footer>never ends", "a b"),
+        ("a<![CDATA[<p>x</p>]]>b<!-- <nav> -->c", "a b c"),
+        ("<NAV class=\"x>y\">m</nav\n>t<navigation>u", "t u"),
+        ("<script>'<nav>'</script>k<style>p>q{}</style>", "k"),
+        ("x <a href=\"un'closed>y</a> z", "x y z"),
+        ("\u0001\u0002q\u0003", "q"),
+        ("<head><title>t</title></head><body>" + "<nav>m</nav>w " * 300, " ".join(["w"] * 300)),
+    ],
+)
+def test_html_of_real_pages(spark, page, text):
+    assert spark.createDataFrame([(page,)], "p string").select(tx.html_to_text(F.col("p"))).first()[0] == text
+
+
+@pytest.mark.parametrize(
+    "value, text",
+    [({"a": [1, None, {"b": "x", "c": None}], "d": True}, "1  x True"), ([], ""), ({"a": {}, "b": 2}, " 2"), (None, ""), ([[["deep"]]], "deep")],
+)
+def test_scalars(value, text):
+    assert tx.scalars(value) == text
+
+
+def test_scalars_of_a_very_deep_value():
+    value = "x"
+    for _ in range(100_000):
+        value = [value]
+    assert tx.scalars(value) == ""

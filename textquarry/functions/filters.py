@@ -7,10 +7,11 @@ from functools import reduce
 from itertools import chain
 from operator import and_, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Limits that are part of the contract.
+# Limits on a request from outside.
 MAX_DEPTH = 5
 MAX_KEYS = 20
 MAX_ITEMS = 50
@@ -27,7 +28,7 @@ def _levels(node) -> Iterator[tuple[int, object]]:
 
 
 def check_filter(where: Mapping) -> None:
-    """Limits on the size of a filter, checked before anything is compiled."""
+    """Limits on the size of a filter from outside."""
     for depth, value in _levels(where):
         if depth > MAX_DEPTH:
             raise ValueError(f"filter is nested deeper than {MAX_DEPTH}")
@@ -37,17 +38,33 @@ def check_filter(where: Mapping) -> None:
             raise ValueError(f"filter list has more than {MAX_ITEMS} items")
 
 
-def _test(col: Column | None, op: str, value) -> Column:
-    """One comparison; a missing field fails every positive test and passes the negated ones."""
-    if op in ("$in", "$nin") and (not isinstance(value, Sequence) or isinstance(value, str)):
-        raise ValueError(f"{op} needs a list")
+def _comparable(value, dtype: T.DataType | None) -> bool:
+    """Whether a value can equal one of a column's type; an unknown type takes any."""
+    if dtype is None or value is None:
+        return True
+    if isinstance(value, bool) or isinstance(dtype, T.BooleanType):
+        return isinstance(value, bool) and isinstance(dtype, T.BooleanType)
+    if isinstance(value, (int, float)):
+        return isinstance(dtype, T.NumericType)
+    return not isinstance(dtype, T.NumericType)
+
+
+def _test(col: Column | None, dtype: T.DataType | None, op: str, value) -> Column:
+    """One comparison; a missing field, or a value of another type, fails every positive test and passes the negated ones."""
+    if op in ("$in", "$nin"):
+        if not isinstance(value, Sequence) or isinstance(value, str):
+            raise ValueError(f"{op} needs a list")
+        value = [v for v in value if _comparable(v, dtype)]
+        usable = col is not None and bool(value)
+    else:
+        usable = col is not None and _comparable(value, dtype)
     if op in ("$ne", "$nin"):
-        if col is None:
+        if not usable:
             return F.lit(True)
-        return col.isNull() | (col != value if op == "$ne" else ~col.isin(list(value)))
+        return col.isNull() | (col != value if op == "$ne" else ~col.isin(value))
     tests = {
         "$eq": lambda c: c == value,
-        "$in": lambda c: c.isin(list(value)),
+        "$in": lambda c: c.isin(value),
         "$gt": lambda c: c > value,
         "$gte": lambda c: c >= value,
         "$lt": lambda c: c < value,
@@ -55,10 +72,10 @@ def _test(col: Column | None, op: str, value) -> Column:
     }
     if op not in tests:
         raise ValueError(f"unknown filter operator {op!r}")
-    return F.lit(False) if col is None else tests[op](col)
+    return tests[op](col) if usable else F.lit(False)
 
 
-def _compile(node: Mapping, columns: set[str]) -> Column:
+def _compile(node: Mapping, columns: Mapping[str, T.DataType | None]) -> Column:
     parts = []
     for key, value in node.items():
         if key in ("$and", "$or"):
@@ -70,18 +87,27 @@ def _compile(node: Mapping, columns: set[str]) -> Column:
         else:
             col = F.col(f"`{key}`") if key in columns else None
             tests = value if isinstance(value, Mapping) else {"$eq": value}
-            parts.extend(_test(col, op, v) for op, v in tests.items())
+            parts.extend(_test(col, columns.get(key), op, v) for op, v in tests.items())
     if not parts:
         raise ValueError("empty filter object")
     return reduce(and_, parts)
 
 
-def compile_where(where: Mapping | None, columns) -> Column | None:
-    """Compile ``{"lang": {"$in": ["en", "de"]}}`` and the like; ``None`` or ``{}`` filters nothing."""
+def compile_where(where: Mapping | None, columns: T.StructType | Sequence[str]) -> Column | None:
+    """Compile ``{"lang": {"$in": ["en", "de"]}}`` and the like; ``None`` or ``{}`` filters nothing.
+
+    ``columns`` is the schema of what is filtered, or its names alone. A filter may have any size here; the limits on
+    one from outside are those of ``check_filter``.
+    """
     if not where:
         return None
-    check_filter(where)
-    return _compile(where, set(columns))
+    known = {f.name: f.dataType for f in columns.fields} if isinstance(columns, T.StructType) else dict.fromkeys(columns)
+    return _compile(where, known)
+
+
+def of_sources(chunks: DataFrame, sources: DataFrame) -> DataFrame:
+    """Chunks of the sources in a table, of any number."""
+    return chunks.join(sources.select("source").distinct(), "source", "left_semi").select(*chunks.columns)
 
 
 def source_contains(source: Column, needle: str) -> Column:

@@ -96,13 +96,45 @@ def decode_entities(text: Column) -> Column:
     )
 
 
+# A tag with its attributes; a ">" within quotes does not end it, unless the quotes never close.
+_TAG = r"""<[/!?]?[A-Za-z](?:(?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*>)"""
+_OPEN, _CLOSE = "\u0002", "\u0003"
+
+
+def _outside_dropped(marked: Column) -> Column:
+    """Text outside of dropped elements. ``marked`` has each of their tags as a mark and the element's number.
+
+    The text is cut at the marks and folded with the stack of open elements: an end tag closes the innermost element of
+    its name and all in it, one without a start tag is passed over, and an element that never ends holds the rest.
+    """
+    pieces = F.split(marked, f"(?=[{_OPEN}{_CLOSE}])", -1)
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("kept"))
+
+    def step(state: Column, piece: Column) -> Column:
+        name = F.substring(piece, 2, 1)
+        opening, closing = F.startswith(piece, F.lit(_OPEN)), F.startswith(piece, F.lit(_CLOSE))
+        popped = F.regexp_replace(state["open"], F.concat(name, F.lit("[^"), name, F.lit("]*$")), F.lit(""))
+        stack = (
+            F.when(opening, F.concat(state["open"], name))
+            .when(closing & F.contains(state["open"], name), popped)
+            .otherwise(state["open"])
+        )
+        text = F.when(opening | closing, F.substr(piece, F.lit(3))).otherwise(piece)
+        return F.struct(stack.alias("open"), F.when(stack == "", F.concat(state["kept"], F.array(text))).otherwise(state["kept"]).alias("kept"))
+
+    return F.array_join(F.aggregate(pieces, start, step)["kept"], _NODE)
+
+
 def html_to_text(page: Column) -> Column:
     """Visible text of a page: text nodes stripped and joined by one space."""
-    raw, dropped = "|".join(RAW_ELEMENTS), "|".join(DROPPED_ELEMENTS)
-    out = F.regexp_replace(page, rf"(?is)<!--.*?-->|<({raw})(?:\s[^>]*)?>.*?(?:</\1\s*>|\z)", _NODE)
-    out = F.regexp_replace(out, rf"(?is)<({dropped})(?:\s[^>]*)?>.*?</\1\s*>", _NODE)
-    out = F.regexp_replace(out, r"(?s)<[/!?]?[A-Za-z][^>]*>", _NODE)
-    nodes = F.transform(F.split(decode_entities(out), _NODE), strip)
+    raw = "|".join(RAW_ELEMENTS)
+    out = F.translate(page, f"{_NODE}{_OPEN}{_CLOSE}", "   ")
+    out = F.regexp_replace(out, rf"(?is)<!--.*?(?:-->|\z)|<!\[CDATA\[.*?(?:\]\]>|\z)|<({raw})(?:\s[^>]*)?>.*?(?:</\1\s*>|\z)", _NODE)
+    for number, name in enumerate(DROPPED_ELEMENTS):
+        out = F.regexp_replace(out, rf"(?is)<{name}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", f"{_OPEN}{number}")
+        out = F.regexp_replace(out, rf"(?is)</{name}\s*>", f"{_CLOSE}{number}")
+    marked = F.when(out.rlike(f"[{_OPEN}{_CLOSE}]"), _outside_dropped(out)).otherwise(out)
+    nodes = F.transform(F.split(decode_entities(F.regexp_replace(marked, f"(?s){_TAG}", _NODE)), _NODE), strip)
     return F.array_join(F.filter(nodes, lambda n: n != ""), " ")
 
 
@@ -128,15 +160,20 @@ def created_at(doc_created: Column) -> Column:
 MAX_JSON_DEPTH = 64
 
 
-def _scalars(value, depth=0):
-    """Text of one JSON value; objects and arrays are joined by a space."""
-    if value is None or depth > MAX_JSON_DEPTH:
-        return ""
-    if isinstance(value, dict):
-        value = [v for v in value.values() if v is not None]
-    if isinstance(value, list):
-        return " ".join(_scalars(v, depth + 1) for v in value)
-    return str(value)
+def scalars(document) -> str:
+    """Text of a parsed JSON value: its scalars in order, joined by a space. A null in an array, an empty array or object
+    and whatever lies deeper than ``MAX_JSON_DEPTH`` count as an empty scalar; nulls of an object are left out."""
+    found: list[str] = []
+    waiting = [(document, 0)]  # last in, first out: members go in backwards
+    while waiting:
+        value, depth = waiting.pop()
+        members = [v for v in value.values() if v is not None] if isinstance(value, dict) else value
+        if isinstance(members, list) and members and depth <= MAX_JSON_DEPTH:
+            waiting += [(v, depth + 1) for v in reversed(members)]
+        else:
+            blank = value is None or depth > MAX_JSON_DEPTH or isinstance(members, list)
+            found.append("" if blank else str(value))
+    return " ".join(found)
 
 
 @F.pandas_udf(T.StringType())
@@ -145,7 +182,7 @@ def flatten_json(docs: pd.Series) -> pd.Series:
 
     def flatten(doc):
         try:
-            return _scalars(json.loads(doc))
+            return scalars(json.loads(doc))
         except (TypeError, ValueError, RecursionError):
             return None
 

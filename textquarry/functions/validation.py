@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
+
+from textquarry.functions.filters import check_filter
 
 # Limits that are part of the contract.
 MAX_RESULTS = 500
@@ -20,9 +23,10 @@ def check_top_k(k: int) -> int:
     return k
 
 
-def check_request(text: str, k: int) -> None:
-    """The tighter limits on a request from outside: length of the query text, number of results."""
+def check_request(text: str, k: int, where: Mapping | None = None) -> None:
+    """The tighter limits on a request from outside: length of the query text, number of results, size of the filter."""
     check_query_text(text)
+    check_filter(where or {})
     if check_top_k(k) > MAX_RESULTS:
         raise ValueError(f"the number of results must be at most {MAX_RESULTS}")
 

@@ -2,7 +2,7 @@
 
 Everything here is a few calls to the operators; use those directly for chunk tables of your own. A collection has an
 id that its chunks are stored under and a name that can change, so renaming moves no data, and dropping one only marks
-it; ``compact`` leaves its chunks behind.
+it; ``compact`` writes a library without it.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from textquarry.errors import CollectionExistsError, CollectionNotFoundError
 from textquarry.functions.embedding import DEFAULT_MODEL
-from textquarry.functions.validation import check_collection_name, check_description
+from textquarry.functions.validation import check_collection_name, check_description, check_model_name, check_request
 from textquarry.operators import collections as coll
-from textquarry.operators.changes import bounded, purge_counts, stale_sources
+from textquarry.operators.changes import purge_counts, stale_sources
 from textquarry.operators.hits import answer_context, answer_prompt
 from textquarry.operators.ingest import Ingest, IngestOptions, ingest_files, ingest_table
 from textquarry.operators.outcomes import ingest_report
@@ -86,6 +86,7 @@ class TextLibrary:
             coll.create_collection(self.collections(), name, model)
             return found
         check_collection_name(name)
+        check_model_name(model)
         self._record({"id": uuid.uuid4().hex, "name": name, "embedding_model": model})
         return self._get(name)
 
@@ -104,7 +105,7 @@ class TextLibrary:
             stored = self.store.current(*[r["collection"] for r in catalog.collect()] or [""])
         else:
             stored = self.store.current()
-        named = stored.join(bounded(catalog), "collection").withColumn("collection", F.col("name"))
+        named = stored.join(materialize(catalog), "collection").withColumn("collection", F.col("name"))
         return conform(named)
 
     # --- ingest ---
@@ -186,6 +187,11 @@ class TextLibrary:
         model = models[0][0] if models else DEFAULT_MODEL
         return search_many(self._queries(queries, model), self.chunks(*name), name, k=k, where=where, min_score=min_score)
 
+    def request(self, text: str, name: str | Sequence[str], k: int = 5, where: Mapping | None = None, min_score: float | None = None) -> DataFrame:
+        """``query`` for one text from outside, within the limits on the text, the number of results and the filter."""
+        check_request(text, k, where)
+        return self.query(text, name, k, where, min_score)
+
     def prompts(self, queries, name, prefix: str | None = None, **options) -> DataFrame:
         """``qid, context, prompt`` of every query with hits, for an answer generator of your own."""
         return answer_prompt(answer_context(self.query(queries, name, **options)), prefix)
@@ -239,3 +245,13 @@ class TextLibrary:
         found = self._find(name)
         if found:
             self._record(found, removed=True)
+
+    def compact(self, target: str) -> "TextLibrary":
+        """A library below another folder with the current state alone: old runs and dropped collections stay behind."""
+        fresh = TextLibrary(self.spark, target)
+        catalog = self._catalog()
+        ids = [r["id"] for r in catalog.select("id").collect()]
+        self.store.compact(target, *(ids or [""]))
+        log = catalog.withColumns({"removed": F.lit(False), "version": F.lit(time.time_ns())})
+        log.select(*CATALOG.names).coalesce(1).write.mode("append").parquet(os.path.join(target, "collections"))
+        return fresh

@@ -1,8 +1,8 @@
 """What is new, what changed and what has to go: set-based change detection and replacement.
 
-The large side of these joins is a chunk table, the other a list of keys. The list is written once and counted; up to
-``MAX_BROADCAST_KEYS`` it is broadcast, so the chunks are not shuffled and a source with very many chunks does not
-gather in one task. Beyond that both sides are shuffled, and adaptive execution splits a partition that is too large.
+The large side of these joins is a chunk table, the other a list of keys. The list is written once as Parquet, so Spark
+knows its size: it broadcasts a small one, and the chunks are not shuffled. Beyond its own threshold both sides are
+shuffled, and adaptive execution splits a partition that is too large.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from textquarry.functions.identity import existence_key
 from textquarry.session import materialize
 
 NEW, CHANGED, UNCHANGED = "new", "changed", "unchanged"
-MAX_BROADCAST_KEYS = 200_000
 
 
 def stored_hashes(chunks: DataFrame, keys: list[str], hash_column: str) -> DataFrame:
@@ -35,20 +34,14 @@ def classify(incoming: DataFrame, stored: DataFrame, keys: list[str], hash_colum
     return incoming.join(known, keys, "left").withColumn("change", change).drop("_known", "stored_hash")
 
 
-def bounded(keys: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> DataFrame:
-    """A list of keys, written once; marked for broadcast if it has at most ``limit`` rows."""
-    keys = materialize(keys)
-    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
-
-
 def pick(content: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Content rows of the given keys, with the columns of ``keys``."""
-    return content.join(bounded(keys), on)
+    return content.join(materialize(keys), on)
 
 
 def without(stored: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """Stored chunks whose key is not in ``gone``."""
-    return stored.join(bounded(gone.select(*keys).distinct()), keys, "left_anti")
+    return stored.join(materialize(gone.select(*keys).distinct()), keys, "left_anti")
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str] = ["collection", "id"]) -> DataFrame:

@@ -4,23 +4,25 @@ Each task streams its chunks through Arrow batches, computes one block of distan
 keeps only the k best per query, so a task emits k rows per query whatever the size of the corpus. A window then ranks
 these few rows. Ties are broken by id everywhere, so the result does not depend on the partitioning.
 
-A query batch is sent to the tasks only after its size has been checked. A larger one is cut into blocks that travel
-with the data (see ``_nearest_blocked``); the result is the same.
+A query batch is sent to the tasks only after its size has been checked. A larger one is cut into blocks, each sent in
+turn; a query's hits come from its own block alone, so the result is the same.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textquarry.functions.vectors import COMPARE_DIGITS
+from textquarry.session import materialize
 
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 128 * 1024 * 1024
@@ -31,8 +33,9 @@ BLOCK_CELLS = 4_000_000  # distances computed at a time
 class _Best:
     """The k nearest rows per query among those seen so far, with the columns that belong to them."""
 
-    def __init__(self, queries: np.ndarray, k: int):
+    def __init__(self, queries: np.ndarray, k: int, key: list[str]):
         self.queries, self.k = queries, k
+        self.ties = ["id", *[c for c in key if c != "id"]]
         self.lengths = np.einsum("ij,ij->i", queries, queries)
         self.limit = np.full(len(queries), np.inf)  # distance of the k-th best so far
         self.query = np.empty(0, dtype=np.int64)
@@ -57,8 +60,8 @@ class _Best:
         table = found if self.rows is None else pa.concat_tables([self.rows, found])
         query = np.concatenate([self.query, query])
         distance = np.concatenate([self.distance, cells[at, query[len(self.query) :]]])
-        _, by_id = np.unique(table.column("id").to_numpy(), return_inverse=True)
-        order = np.lexsort((by_id, distance, query))
+        ties = [pc.rank(table.column(c), tiebreaker="dense").to_numpy() for c in reversed(self.ties)]
+        order = np.lexsort((*ties, distance, query))
         starts = np.searchsorted(query[order], np.arange(len(self.queries)))
         place = np.arange(len(order)) - starts[query[order]]
         kept = order[place < self.k]
@@ -110,7 +113,7 @@ def _parts(table: pa.Table, column: str | None) -> Iterator[tuple[object, pa.Tab
 
 
 def _nearest_broadcast(
-    held: pa.Table, queries: DataFrame, rows: DataFrame, k: int, group: str | None, probe: str | None
+    held: pa.Table, queries: DataFrame, rows: DataFrame, k: int, group: str | None, probe: str | None, key: list[str]
 ) -> DataFrame:
     schema = _hit_schema(queries, rows)
     shape = _arrow_schema(schema)
@@ -125,7 +128,7 @@ def _nearest_broadcast(
                 matrix, _ = shared.value.get(value if probe else None, (None, None))
                 if matrix is None or not len(matrix) or not part.num_rows:
                     continue
-                state = best.get(value) or best.setdefault(value, _Best(matrix, k))
+                state = best.get(value) or best.setdefault(value, _Best(matrix, k, key))
                 state.offer(_vectors(part.column("embedding")), part.drop_columns(["embedding"]))
         for value, state in best.items():
             yield from _emit(state, shared.value[value if probe else None][1], shape)
@@ -133,83 +136,6 @@ def _nearest_broadcast(
     return rows.mapInArrow(search, schema)
 
 
-def _nearest_blocked(
-    queries: DataFrame, rows: DataFrame, k: int, n_queries: int, block: int, group: str | None, probe: str | None
-) -> DataFrame:
-    """Exact search for a query batch that is too large to send everywhere.
-
-    Queries are hashed into blocks of about ``block``, chunks into as many slices as there are shuffle partitions.
-    Every (query block, chunk slice) meets in one task, queries first: the task holds the queries of one block and
-    streams the chunks, so its memory does not grow with either side. Only ids and vectors travel; the other columns
-    are joined to the few hits afterwards. With ``probe``, a cell also has one value of it.
-    """
-    spark = rows.sparkSession
-    q_blocks = math.ceil(n_queries / block)
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = [c for c in (group, probe) if c]
-    lean = rows.select("id", "embedding", *groups)
-    cell = ["_q", "_s", *([probe] if probe else [])]
-
-    def numbers(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    def absent(*names: str) -> list[Column]:
-        types = {f.name: f.dataType for f in [*lean.schema.fields, queries.schema["qid"]]}
-        return [F.lit(None).cast(types[n]).alias(n) for n in names]
-
-    left = queries.select(
-        F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int").alias("_q"),
-        numbers(slices).alias("_s"),
-        F.lit(0).alias("_side"),
-        *queries.columns,
-        *absent(*[c for c in lean.columns if c not in queries.columns]),
-    )
-    right = lean.select(
-        numbers(q_blocks).alias("_q"),
-        F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("_s"),
-        F.lit(1).alias("_side"),
-        *lean.columns,
-        *absent("qid"),
-    )
-    met = left.unionByName(right).repartition(slices, *cell).sortWithinPartitions(*cell, "_side")
-    schema = _hit_schema(queries, lean)
-    shape = _arrow_schema(schema)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, pending, matrix, ids, best = None, [], None, None, {}
-
-        def close():
-            for state in best.values():
-                yield from _emit(state, ids, shape)
-
-        for batch in batches:
-            table = _embedded(batch)
-            if not table.num_rows:
-                continue
-            marks = [table.column(c).to_numpy() for c in (*cell, "_side")]
-            cuts = np.flatnonzero(np.any([np.diff(m) != 0 for m in marks], axis=0)) + 1
-            for start, stop in zip([0, *cuts], [*cuts, table.num_rows]):
-                part = table.slice(start, stop - start)
-                at = tuple(m[start] for m in marks[:-1])
-                if at != here:
-                    yield from close()
-                    here, pending, matrix, ids, best = at, [], None, None, {}
-                if marks[-1][start] == 0:
-                    pending.append(part)
-                    continue
-                if not pending:
-                    continue
-                if matrix is None:
-                    held = pa.concat_tables(pending)
-                    matrix, ids = _vectors(held.column("embedding")), held.column("qid").combine_chunks()
-                for value, sub in _parts(part, group):
-                    state = best.get(value) or best.setdefault(value, _Best(matrix, k))
-                    state.offer(_vectors(sub.column("embedding")), sub.select(["id", *groups]))
-        yield from close()
-
-    return met.mapInArrow(search, schema)
-
-
 def nearest(
     queries: DataFrame,
     rows: DataFrame,
@@ -217,30 +143,43 @@ def nearest(
     group: str | None = None,
     probe: str | None = None,
     max_broadcast: int = MAX_BROADCAST_QUERIES,
+    key: Sequence[str] = ("id",),
+    n_groups: int = 1,
 ) -> DataFrame:
     """The ``k`` nearest rows of every query by squared Euclidean distance, ties by id.
 
-    ``queries`` has ``qid, embedding``; ``rows`` has ``id, embedding`` and the columns to carry along (select no more
-    than are needed: they travel with the vectors). With ``group``, the k nearest within each of its values. With
-    ``probe``, a column of both sides, a query sees only the rows of its values, and has one row per value. Adds
-    ``qid, distance, rank``.
+    ``queries`` has ``qid, embedding``; ``rows`` has ``id, embedding`` and the columns to carry along. With ``group``,
+    the k nearest within each of its values, of which there are about ``n_groups``. With ``probe``, a column of both
+    sides, a query sees only the rows of its values, and has one row per value. Adds ``qid, distance, rank``.
+
+    ``key`` (and ``group``) names a row: only it, the distance and the query move. The carried columns are joined to
+    the ranked hits by it, so a row's text is read for hits alone.
+
+    A task holds k hits per query and group, so queries come in blocks of a bounded number and size. Each block is one
+    pass over the rows, which do not move; with several, the hits of each are written before the next is sent.
     """
     queries = queries.select("qid", "embedding", *([probe] if probe else []))
     rows = rows.where(F.col(group).isNotNull()) if group else rows
-    block = max(1, min(max_broadcast, MAX_HELD_HITS // k))
+    names = list(dict.fromkeys([*key, *([group] if group else [])]))
+    lean = rows.select(*dict.fromkeys([*names, "embedding", *([probe] if probe else [])]))
+    block = max(1, min(max_broadcast, MAX_HELD_HITS // (k * n_groups)))
     held = queries.limit(block + 1).toArrow()
     if held.nbytes > MAX_BROADCAST_BYTES:
         block = max(1, min(block, held.num_rows * MAX_BROADCAST_BYTES // held.nbytes))
-    small = held.num_rows <= block
-    if small:
-        held = held.filter(pc.is_valid(held.column("embedding")))
-        hits = _nearest_broadcast(held, queries, rows, k, group, probe)
+    order = Window.partitionBy("qid", *([group] if group else [])).orderBy("distance", "id", *[n for n in names if n != "id"])
+
+    def ranked(part: pa.Table) -> DataFrame:
+        part = part.filter(pc.is_valid(part.column("embedding")))
+        hits = _nearest_broadcast(part, queries, lean, k, group, probe, names)
+        return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    if held.num_rows <= block:
+        best = ranked(held)
     else:
-        hits = _nearest_blocked(queries, rows, k, queries.count(), block, group, probe)
-    order = Window.partitionBy("qid", *([group] if group else [])).orderBy("distance", "id")
-    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    if not small:
-        carried = [c for c in rows.columns if c not in ("embedding", group, probe)]
-        if carried != ["id"]:
-            ranked = ranked.join(rows.select(*carried), "id")
-    return ranked
+        n = math.ceil(queries.count() / block)
+        parts = (queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n))
+        best = reduce(DataFrame.unionByName, [materialize(ranked(part.toArrow())) for part in parts])
+    carried = [c for c in rows.columns if c not in ("embedding", probe, *names)]
+    if not carried:
+        return best
+    return best.join(rows.select(*names, *carried), names)

@@ -28,7 +28,7 @@ def embed_chunks(chunks: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
 
 def _candidates(chunks: DataFrame, where: Mapping | None, carry: Sequence[str]) -> DataFrame:
     """Filtered chunks, reduced to the columns a hit shows. The filter comes before any distance."""
-    test = compile_where(where, chunks.columns)
+    test = compile_where(where, chunks.schema)
     kept = chunks if test is None else chunks.where(test)
     have = set(kept.columns)
     return kept.select(
@@ -70,7 +70,11 @@ def search(
             coll.require(collections, collection)
         chunks = chunks.where(F.col("collection") == collection)
     carry = _carried(chunks, carry)
-    hits = _scored(nearest(queries, _candidates(chunks, where, carry), k, max_broadcast=max_broadcast))
+    # An id is unique within its collection only.
+    place = ["collection"] if "collection" in chunks.columns and "collection" not in carry else []
+    candidates = _candidates(chunks, where, [*place, *carry])
+    key = ["id", *[c for c in candidates.columns if c == "collection"]]
+    hits = _scored(nearest(queries, candidates, k, max_broadcast=max_broadcast, key=key))
     if min_score is not None:
         hits = hits.where(F.col("score") >= min_score)
     return hits.select("qid", "rank", "id", "distance", "score", *carry)
@@ -100,7 +104,7 @@ def search_many(
     wanted = chunks.where(F.col("collection").isin(names))
     carry = _carried(chunks, carry)
     candidates = _candidates(wanted, where, ["collection", *carry])
-    hits = _scored(nearest(queries, candidates, k, group="collection", max_broadcast=max_broadcast))
+    hits = _scored(nearest(queries, candidates, k, "collection", max_broadcast=max_broadcast, n_groups=len(set(names))))
     if min_score is not None:
         hits = hits.where(F.col("score") >= min_score)
     # A name given twice counts twice, as two searches would.

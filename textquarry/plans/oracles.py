@@ -296,7 +296,7 @@ def corpus_sql(body: str) -> str:
 
 NL = "chr(10)"
 SAFE = r"""substr(regexp_replace(query_text, '[\\/:*?"<>|]+', '_', 'g'), 1, 80)"""
-VAULT = f"'Search — ' || {SAFE} || ' — 2024-06-30/'"
+VAULT = f"'Search — ' || {SAFE} || ' — 2024-06-30 (' || qid || ')/'"
 
 
 def yaml(text: str) -> str:

@@ -199,7 +199,7 @@ def scan_csv(spark, sf):
     folder = scratch_path(spark, "csv")
     part = table(spark, sf, "part").select(*[F.col(c).cast("string") for c in table(spark, sf, "part").columns])
     part.write.option("header", False).csv(folder)
-    return scan_csv_records(spark, folder, len(part.columns))
+    return scan_csv_records(spark, folder)
 
 
 @query

@@ -67,9 +67,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, so that later uses do not compute it again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` once to the shared folder and read it back, so that later uses do not compute it again.
+
+    As Parquet: later uses read the columns they need, and Spark knows the size of what it joins.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "part")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

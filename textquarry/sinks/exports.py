@@ -96,11 +96,15 @@ def to_markdown(hits: DataFrame) -> DataFrame:
     return _document(hits, entry, "\n---\n\n").withColumn("content", F.concat(head, "content"))
 
 
-def bibtex_entry(year: int) -> Column:
+def _cut(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def bibtex_entry(year: int, note_chars: int | None = NOTE_CHARS) -> Column:
     def no_braces(value: Column) -> Column:
         return F.regexp_replace(value, "[{}]", "")
 
-    note = F.substring(F.regexp_replace(no_braces(F.col("text")), r"(?U)\s+", " "), 1, NOTE_CHARS)
+    note = _cut(F.regexp_replace(no_braces(F.col("text")), r"(?U)\s+", " "), note_chars)
     return F.concat(
         F.lit("@misc{"),
         cite_key(F.col("source"), _index()),
@@ -116,11 +120,12 @@ def bibtex_entry(year: int) -> Column:
     )
 
 
-def to_bibtex(hits: DataFrame, year: int) -> DataFrame:
-    return _document(hits, bibtex_entry(year), "\n\n")
+def to_bibtex(hits: DataFrame, year: int, note_chars: int | None = NOTE_CHARS) -> DataFrame:
+    """``note_chars``: how much of a text the annotation holds; all of it if None."""
+    return _document(hits, bibtex_entry(year, note_chars), "\n\n")
 
 
-def ris_entry(year: int) -> Column:
+def ris_entry(year: int, abstract_chars: int | None = ABSTRACT_CHARS) -> Column:
     source = F.col("source")
     where = F.when(
         F.col("source_type") == TABLE_SOURCE, F.concat(F.lit("N1  - SQLite source: "), source)
@@ -129,7 +134,7 @@ def ris_entry(year: int) -> Column:
         "\n",
         F.lit("TY  - GEN"),
         F.concat(F.lit("TI  - "), _title(source)),
-        F.concat(F.lit("AB  - "), F.substring(_one_line(F.col("text")), 1, ABSTRACT_CHARS)),
+        F.concat(F.lit("AB  - "), _cut(_one_line(F.col("text")), abstract_chars)),
         F.concat(
             F.lit("N1  - Semantic search; score "),
             fixed3(F.col("score")),
@@ -143,24 +148,26 @@ def ris_entry(year: int) -> Column:
     )
 
 
-def to_ris(hits: DataFrame, year: int) -> DataFrame:
-    return _document(hits, ris_entry(year), "\n\n")
+def to_ris(hits: DataFrame, year: int, abstract_chars: int | None = ABSTRACT_CHARS) -> DataFrame:
+    """``abstract_chars``: how much of a text the abstract holds; all of it if None."""
+    return _document(hits, ris_entry(year, abstract_chars), "\n\n")
 
 
-def csl_item(year: int) -> Column:
+def csl_item(year: int, abstract_chars: int | None = ABSTRACT_CHARS) -> Column:
     return F.struct(
         cite_key(F.col("source"), _index()).alias("id"),
         F.lit("document").alias("type"),
         _title(F.col("source")).alias("title"),
-        F.substring("text", 1, ABSTRACT_CHARS).alias("abstract"),
+        _cut(F.col("text"), abstract_chars).alias("abstract"),
         F.concat(F.lit("score="), fixed3(F.col("score")), F.lit("; query="), F.col("query_text")).alias("note"),
         F.struct(F.array(F.array(F.lit(year))).alias("date-parts")).alias("issued"),
         F.col("source").alias("URL"),
     )
 
 
-def to_csl_json(hits: DataFrame, year: int) -> DataFrame:
-    ranked = F.array_sort(F.collect_list(F.struct("rank", F.to_json(csl_item(year)).alias("item"))))
+def to_csl_json(hits: DataFrame, year: int, abstract_chars: int | None = ABSTRACT_CHARS) -> DataFrame:
+    """``abstract_chars``: how much of a text the abstract holds; all of it if None."""
+    ranked = F.array_sort(F.collect_list(F.struct("rank", F.to_json(csl_item(year, abstract_chars)).alias("item"))))
     items = F.array_join(F.transform(ranked, lambda r: r["item"]), ",")
     return hits.groupBy("qid", "query_text").agg(F.concat(F.lit("["), items, F.lit("]")).alias("content"))
 
@@ -172,7 +179,8 @@ def to_vault(hits: DataFrame, date: str) -> DataFrame:
     """
     hits = materialize(hits)
     safe = F.substring(F.regexp_replace(F.col("query_text"), r'[\\/:*?"<>|]+', "_"), 1, VAULT_NAME_CHARS)
-    folder = F.concat(F.lit("Search — "), safe, F.lit(f" — {date}/"))
+    # Queries may agree in the characters shown; their ids keep their notes apart.
+    folder = F.concat(F.lit("Search — "), safe, F.lit(f" — {date} ("), F.col("qid").cast("string"), F.lit(")/"))
     key = cite_key(F.col("source"), _index())
 
     def yaml(value: Column) -> Column:

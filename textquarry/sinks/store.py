@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textquarry.operators.changes import bounded, without
+from textquarry.operators.changes import without
 from textquarry.operators.ingest import Ingest
 from textquarry.schema import CHUNK, conform
+from textquarry.session import materialize
 
 LEDGER = T.StructType(
     [
@@ -105,16 +106,17 @@ class ChunkStore:
         last = latest.select(*KEY, F.col("run").alias("_last"), F.col("removed").alias("_removed"))
         old = ledger.where(~F.col("removed")).join(last, KEY).where((F.col("run") < F.col("_last")) | F.col("_removed"))
         superseded = old.select("collection", "source", F.col("row_id").alias("_row"), "run")
-        finished = bounded(ledger.select("collection", "run").distinct())
+        finished = materialize(ledger.select("collection", "run").distinct())
         keyed = chunks.withColumn("_row", F.coalesce("row_id", F.lit("")))
         shown = keyed.join(finished, ["collection", "run"], "left_semi")
         return conform(without(shown, superseded, ["collection", "source", "_row", "run"]))
 
-    def compact(self, target: str) -> "ChunkStore":
-        """Write the current state as the first run of a new store."""
+    def compact(self, target: str, *collections: str) -> "ChunkStore":
+        """Write the current state, of all or of the given collections, as the first run of a new store."""
         fresh = ChunkStore(self.spark, target)
-        fresh._append(self.current().withColumn("run", F.lit(0)), "chunks")
+        fresh._append(self.current(*collections).withColumn("run", F.lit(0)), "chunks")
         live = self.latest().where(~F.col("removed"))
+        live = live.where(F.col("collection").isin(*collections)) if collections else live
         fresh._append(live.withColumn("run", F.lit(0)), "ledger")
         return fresh
 

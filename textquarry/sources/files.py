@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from textquarry.errors import SourceNotFoundError
 from textquarry.functions import text as tx
 from textquarry.functions.identity import suffix
+from textquarry.session import materialize
 from textquarry.sources.archives import read_archives
 from textquarry.sources.records import csv_text, json_lines_text
 
@@ -54,13 +55,17 @@ def scan_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def scan_paths(requested: DataFrame, listing: DataFrame) -> DataFrame:
     """Requested paths against a listing: a missing or unsupported path becomes a skip reason, not an error."""
-    found = requested.select("path").distinct().join(listing.withColumn("_found", F.lit(True)), "path", "left")
-    return found.withColumn(
+    there = listing.select("path", F.lit(True).alias("_found"))
+    judged = requested.select("path").distinct().join(there, "path", "left").withColumn(
         "skip_reason",
         F.when(F.col("_found").isNull(), F.lit("extract_error: file not found")).when(
             ~is_supported(F.col("path")), F.lit("extract_error: unsupported format")
         ),
-    ).drop("_found")
+    )
+    # Paths alone are compared; contents are then picked by the paths that stay, and no other file is opened.
+    judged = materialize(judged.drop("_found"))
+    read = listing.join(judged.where("skip_reason is null"), "path")
+    return read.unionByName(judged.where("skip_reason is not null"), allowMissingColumns=True)
 
 
 def extract_files(files: DataFrame) -> DataFrame:
@@ -90,14 +95,16 @@ def extract_files(files: DataFrame) -> DataFrame:
         F.when(kind.isin(*TEXT_SUFFIXES), tx.utf8_text(F.col("content")))
         .when(kind.isin(*HTML_SUFFIXES), tx.html_to_text(page))
         .when(kind == ".json", F.col("_json"))
-        .when(kind == ".jsonl", F.col("_jsonl"))
-        .when(kind == ".csv", F.col("_csv"))
+        .when(kind == ".jsonl", F.col("_jsonl.text"))
+        .when(kind == ".csv", F.col("_csv.text"))
         .when(kind.isin(*ARCHIVE_SUFFIXES), archive["text"])
     )
     error = (
         F.when(F.col("content").isNull(), F.lit("file not found"))
         .when(~kind.isin(*SUPPORTED_SUFFIXES), F.lit("unsupported format"))
         .when((kind == ".json") & F.col("_json").isNull(), F.lit("invalid JSON"))
+        .when(kind == ".jsonl", F.col("_jsonl.error"))
+        .when(kind == ".csv", F.col("_csv.error"))
         .when(kind.isin(*ARCHIVE_SUFFIXES), archive["error"])
     )
     html_only = kind.isin(*HTML_SUFFIXES)
