@@ -199,9 +199,21 @@ def table_texts(
     else:
         text = row_text(scan.rows, [c for c in scan.columns if c != scan.id_column])
     texts = scan.rows.select(F.col(ROW_ID).alias("row_id"), text.alias("row_text"))
+    if scan.id_column:
+        texts = _one_per_id(texts)
     return texts.withColumn("row_hash", row_hash(F.col("row_text")))
 
 
+def _one_per_id(texts: DataFrame) -> DataFrame:
+    """Rows of one id are one source. A table has no order in which the last could win, so the greatest text does.
+
+    Ids alone are counted; only rows of repeated ids move.
+    """
+    repeated = materialize(texts.groupBy("row_id").count().where("count > 1").select("row_id"))
+    several = texts.join(repeated, "row_id", "left_semi").groupBy("row_id").agg(F.max("row_text").alias("row_text"))
+    return texts.join(repeated, "row_id", "left_anti").unionByName(several)
+
+
 def ingest_table(
     table: DataFrame,
     source: str,

@@ -171,6 +171,12 @@ CHANGES = f"""{walk('old', STORED)}, {walk('new', DOCS)},
         FROM judged LEFT JOIN counted ON counted.k = judged.doc_id
     )"""
 
+# Some documents replaced by what is hard to read; JSON that cannot be read has no text.
+POISON_ROWS = """SELECT doc_id AS k, CASE doc_id % 50 WHEN 0 THEN '.csv' WHEN 1 THEN '.json' WHEN 2 THEN '.jsonl' ELSE '.md' END AS kind,
+    CASE doc_id % 50 WHEN 0 THEN repeat('x', 200000) WHEN 1 THEN '' WHEN 2 THEN repeat('y', 60) ELSE text END AS t FROM documents"""
+POISON = f"{walk('pw', POISON_ROWS)}, poison AS ({POISON_ROWS})"
+KEYLESS = row_text("o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
 # Old chunks of unchanged documents and new chunks of all others: what an incremental run leaves.
 AFTER = f"""{CHANGES},
     after AS (
@@ -364,8 +370,33 @@ ORACLES: dict[str, str] = {
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""".replace("|| doc_id ||", "|| d.doc_id ||"),
     "scan_jsonl": "SELECT concat_ws(' ', doc_id, lang, source, text) AS text FROM documents",
     "scan_csv": "SELECT concat_ws(', ', p_partkey, p_name, p_brand, p_type, p_size, p_retailprice) AS text FROM part",
-    "scan_rows": """SELECT l_returnflag, l_linestatus, l_quantity,
-        row_number() OVER (PARTITION BY l_returnflag, l_linestatus, l_quantity) - 1 AS copy FROM lineitem""",
+    "scan_rows": """SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+        l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS copy FROM lineitem""",
+    "scan_csv_ragged": """SELECT replace(translate(text, chr(10) || chr(13) || '" ', '  ,,'), ',', ', ') AS text FROM conversations""",
+    "html_text_hard": f"""SELECT page_id, 'hello' || CASE WHEN t = '' THEN '' ELSE ' ' || t END AS text
+        FROM (SELECT page_id, {page_text('html')} AS t FROM pages)""",
+    "ingest_poison": f"""{recursive(POISON)} SELECT p.k || p.kind AS name,
+            CASE WHEN p.kind = '.json' THEN 'error' WHEN c.n IS NULL THEN 'skipped' ELSE 'ingested' END AS status,
+            CASE WHEN p.kind = '.json' THEN 'extract_error: invalid JSON' WHEN c.n IS NULL THEN 'empty' END AS skip_reason,
+            coalesce(c.n, 0) AS n_chunks
+        FROM poison p LEFT JOIN (SELECT k, CAST(count(*) AS INTEGER) AS n FROM pw GROUP BY k) c ON c.k = p.k""",
+    "ingest_rows_null_ids": row_chunks(
+        f"SELECT k, max(t) AS t FROM (SELECT coalesce(CAST(nullif(o_custkey % 50, 0) AS VARCHAR), 'None') AS k, {KEYLESS} AS t FROM orders) GROUP BY k",
+        "shop::orders",
+    ),
+    "knn_multi_blocked": f"WITH {VECTORS} "
+    + merged(
+        "SELECT * FROM ("
+        + ranked(
+            "(SELECT qid, id, label, 'a' AS collection, d FROM pairs UNION ALL SELECT qid, id, label + 100, 'b', d FROM pairs)",
+            ", collection, label",
+            "qid, collection",
+        )
+        + ") WHERE rank <= 5",
+        ["b", "a"],
+        ", label",
+        "rank <= 5",
+    ),
     "scan_collection": corpus_sql("SELECT id, source, chunk FROM corpus WHERE collection = 'de'"),
     "extract_mixed": f"""
         SELECT '/pages/' || page_id || '.HTML' AS path, md5({page_text('html')}) AS text_md5,
@@ -373,7 +404,7 @@ ORACLES: dict[str, str] = {
             CAST(NULL AS VARCHAR) AS error FROM pages
         UNION ALL SELECT '/docs/' || doc_id || '.md', md5(text), '', NULL FROM documents
         UNION ALL SELECT '/events/' || event_id || '.json', md5(json_extract_string(props, '$.k')), '', NULL FROM events
-        UNION ALL SELECT '/turns/' || conv_id || '-' || turn || '.jsonl', md5(role || chr(10) || turn || ' ' || conv_id), '', NULL
+        UNION ALL SELECT '/turns/' || conv_id || '-' || turn || '.jsonl', md5(role || chr(10) || turn || ' ' || conv_id || ' ' || text), '', NULL
             FROM conversations""",
     "extract_archives": f"""SELECT doc_id, md5(coalesce(array_to_string(
             list_filter(string_split(text, chr(10)), lambda p: {strip('p')} <> ''), chr(10)), '')) AS text_md5,

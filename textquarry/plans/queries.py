@@ -205,9 +205,47 @@ def scan_csv(spark, sf):
 @query
 def scan_rows(spark, sf):
     """Rows of a table without an id column: further copies of equal rows are numbered, none is lost."""
-    scan = scan_table(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity"))
+    rows = table(spark, sf, "lineitem")
+    scan = scan_table(rows)
     copy = F.coalesce(F.regexp_extract(ROW_ID, "#([0-9]+)$", 1).try_cast("long"), F.lit(0))
-    return scan.rows.select("l_returnflag", "l_linestatus", "l_quantity", copy.alias("copy"))
+    return scan.rows.select(*rows.columns, copy.alias("copy"))
+
+
+@query
+def scan_csv_ragged(spark, sf):
+    """Records of unequal length: every field is kept."""
+    folder = scratch_path(spark, "ragged")
+    line = F.translate("text", '\n\r" ', "  ,,")
+    table(spark, sf, "conversations").select(line.alias("value")).write.text(folder)
+    return scan_csv_records(spark, folder)
+
+
+@query
+def html_text_hard(spark, sf):
+    """Pages between nested and unclosed elements and quoted tag ends."""
+    head = "<nav>one<nav>two</nav>three</nav><p title='a > b' class=\"<x>\">hello</p>"
+    page = F.concat(F.lit(head), F.col("html"), F.lit("<footer>never<nav>ends</nav>"))
+    return table(spark, sf, "pages").select("page_id", tx.html_to_text(page).alias("text"))
+
+
+@query
+def ingest_poison(spark, sf):
+    """Documents among files that are hard to read: a very long CSV field, JSON too deep for its parser."""
+    deep = "[" * 100_000
+    kind = F.col("doc_id") % 50
+    body = F.when(kind == 0, F.repeat(F.lit("x"), 200_000)).when(kind == 1, F.lit(deep)).when(kind == 2, F.concat(F.lit(deep + '\n{"a": "'), F.repeat(F.lit("y"), 60), F.lit('"}')))
+    name = F.concat(F.col("doc_id"), F.when(kind == 0, ".csv").when(kind == 1, ".json").when(kind == 2, ".jsonl").otherwise(".md"))
+    docs = table(spark, sf, "documents")
+    files = docs.select(F.concat(F.lit("/p/"), name).alias("path"), F.coalesce(body, "text").cast("binary").alias("content"))
+    return ingest_files(files, "mixed").outcomes.select("name", "status", "skip_reason", "n_chunks")
+
+
+@query
+def ingest_rows_null_ids(spark, sf):
+    """Rows with null and repeated ids: one source for each id."""
+    orders = table(spark, sf, "orders").withColumn("k", F.nullif(F.col("o_custkey") % 50, F.lit(0)))
+    run = ingest_table(orders.drop("o_orderkey", "o_custkey"), "shop::orders", "shop", id_column="k")
+    return run.chunks.select("id", "source", "row_id", "chunk", "text", "row_hash", "n_chunks")
 
 
 @query
@@ -230,7 +268,7 @@ def extract_mixed(spark, sf):
     turns = table(spark, sf, "conversations").select(
         F.concat(F.lit("/turns/"), F.col("conv_id"), F.lit("-"), F.col("turn"), F.lit(".jsonl")).alias("path"),
         F.concat(
-            F.to_json(F.struct("role")), F.lit("\n\nnot json\n"), F.to_json(F.struct("turn", "conv_id"))
+            F.to_json(F.struct("role")), F.lit("\n\nnot json\n"), F.to_json(F.struct("turn", "conv_id", "text"))
         ).alias("body"),
     )
     files = spread(pages.unionByName(docs).unionByName(events).unionByName(turns), "path")
@@ -560,7 +598,16 @@ def knn_exact(spark, sf):
 @query
 def knn_blocked(spark, sf):
     """The same by the way for query batches that are too large to send to every task."""
-    return search(*_vectors(spark, sf), k=5, carry=["label"], max_broadcast=64)
+    return search(*_vectors(spark, sf), k=5, carry=["label"], max_broadcast=256)
+
+
+@query
+def knn_multi_blocked(spark, sf):
+    """Two collections with the same ids, and more queries than are sent at once."""
+    queries, rows = _vectors(spark, sf)
+    a = rows.withColumn("collection", F.lit("a"))
+    both = a.unionByName(rows.withColumns({"collection": F.lit("b"), "label": F.col("label") + 100}))
+    return search_many(queries, both, names=["b", "a"], k=5, carry=["label"], max_broadcast=256)
 
 
 @query

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from textquarry.errors import TableNotFoundError
 from textquarry.functions.identity import stable_row_id
+from textquarry.session import materialize
 
 ROW_ID = "_row_id"
+NO_ID = "None"  # fixed value: the key of a row whose id is null
 _COPY = "_copy"
 COPY_BLOCK = 100_000
 
@@ -46,23 +48,20 @@ def scan_table(table: DataFrame, columns: list[str] | None = None, id_column: st
     selected = list(columns or table.columns)
     content = [F.col(f"`{c}`") for c in selected]
     if id_column in table.columns:
-        return TableScan(table.select(F.col(f"`{id_column}`").cast("string").alias(ROW_ID), *content), selected, id_column)
+        row_id = F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit(NO_ID))
+        return TableScan(table.select(row_id.alias(ROW_ID), *content), selected, id_column)
     digest = stable_row_id(*[F.col(f"`{c}`") for c in table.columns])
+    rows = _number_copies(table.select(digest.alias(ROW_ID), *content))
     copy = F.when(F.col(_COPY) > 0, F.concat(F.lit("#"), F.col(_COPY).cast("string"))).otherwise(F.lit(""))
-    rows = _number_copies(table).select(F.concat(digest, copy).alias(ROW_ID), *content)
-    return TableScan(rows, selected, None)
+    return TableScan(rows.select(F.concat(ROW_ID, copy).alias(ROW_ID), *content), selected, None)
 
 
-def _number_copies(table: DataFrame) -> DataFrame:
-    """Number equal rows 0, 1, … without gathering them: count the copies (combined before the shuffle), then unfold
-    the count. A row with very many copies is unfolded in blocks that are spread over tasks first."""
-    names = [f"`{c}`" for c in table.columns]
-    counted = table.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
-    usual = counted.where(F.col("_n") <= COPY_BLOCK).select(*names, F.explode(F.expr("sequence(0L, _n - 1)")).alias(_COPY))
-    blocks = (
-        counted.where(F.col("_n") > COPY_BLOCK)
-        .select(*names, "_n", F.explode(F.expr(f"sequence(0L, _n - 1, {COPY_BLOCK}L)")).alias("_from"))
-        .repartition(F.xxhash64(*names, "_from"))
-        .select(*names, F.explode(F.expr(f"sequence(_from, least(_from + {COPY_BLOCK}L, _n) - 1)")).alias(_COPY))
-    )
-    return usual.unionByName(blocks)
+def _number_copies(rows: DataFrame) -> DataFrame:
+    """Number equal rows 0, 1, … without gathering them. Keys are counted, combined before the shuffle; a row without
+    copies does not move. Of one with copies, one row is unfolded, in blocks that are spread over tasks first."""
+    counted = materialize(rows.groupBy(ROW_ID).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    single = rows.join(counted, ROW_ID, "left_anti").withColumn(_COPY, F.lit(0).cast("long"))
+    several = rows.join(counted, ROW_ID, "left_semi").dropDuplicates([ROW_ID]).join(counted, ROW_ID)
+    blocks = several.withColumn("_from", F.explode(F.expr(f"sequence(0L, _n - 1, {COPY_BLOCK}L)"))).repartition(ROW_ID, "_from")
+    unfolded = blocks.withColumn(_COPY, F.explode(F.expr(f"sequence(_from, least(_from + {COPY_BLOCK}L, _n) - 1)")))
+    return single.unionByName(unfolded.drop("_n", "_from"))
