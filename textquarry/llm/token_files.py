@@ -338,11 +338,11 @@ def _order(doc_id: int | None, tag: int, row: int) -> tuple:
     return (doc_id is not None, doc_id or 0, tag, row)
 
 
-def _file_bounds(keys: DataFrame, files: int, per_file: int = 50) -> list[tuple]:
-    """Where every file but the first begins, from a sample of at most about ``per_file`` keys per file: files get about equal
-    numbers of documents. The sample only balances; any bounds give right files. Thin keys are sampled here, and not by a range
+def _file_bounds(keys: DataFrame, files: int, per_file: int = 10, least: int = 10_000) -> list[tuple]:
+    """Where every file but the first begins, from a sample of about ``per_file`` keys per file, ``least`` at least: files get
+    about equal numbers of documents. The sample only balances; any bounds give right files. Thin keys are sampled here, and not by a range
     partitioning, which would code all documents to look at their keys."""
-    share = min(1.0, files * per_file / max(keys.count(), 1))
+    share = min(1.0, max(files * per_file, least) / max(keys.count(), 1))
     sample = sorted(_order(*r) for r in keys.sample(share, seed=1).collect())
     return [sample[len(sample) * i // files] for i in range(1, files)] if sample else []
 
