@@ -1,4 +1,5 @@
 import os
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -6,8 +7,8 @@ from pyspark.sql import functions as F
 
 from textquarry.operators.ingest import IngestOptions, ingest_files, ingest_table
 from textquarry.sinks.store import ChunkStore
-from textquarry.streaming.throttle import _Throttle, change_events, stamp_windows, throttle_exact, throttle_windows
-from textquarry.streaming.watch import reconcile, watch_folder
+from textquarry.streaming.throttle import change_events, latest_windows, stamp_windows, throttle_windows, write_windows
+from textquarry.streaming.watch import follow_folder, reconcile, watch_folder
 
 T0 = datetime(2024, 1, 1)
 
@@ -63,6 +64,19 @@ def test_store_keeps_collections_and_rows_apart(spark, tmp_path):
     assert store.current("one").count() == 3
 
 
+@pytest.mark.parametrize("incremental", [True, False])
+def test_null_and_repeated_row_ids(spark, tmp_path, incremental):
+    """None is lost and none multiplied, also by a second equal ingest; of one id the greatest text stays."""
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "n"), (None, "m"), (2, "c")], "id int, v string")
+    store, options = ChunkStore(spark, str(tmp_path / "s")), IngestOptions(incremental=incremental, materialize=True)
+    for n in range(2):
+        run = ingest_table(rows, "db::t", "one", store.known_rows("one", "db::t"), options=options)
+        store.append(run)
+        assert [r["name"] for r in run.outcomes.orderBy("seq").collect()] == ["t[None]", "t[1]", "t[2]"]
+        got = sorted((r["row_id"], r["text"]) for r in store.current("one").collect())
+        assert got == [("1", "v: b"), ("2", "v: c"), ("None", "v: n")]
+
+
 def test_unfinished_run_does_not_show(spark, tmp_path, monkeypatch):
     store = ChunkStore(spark, str(tmp_path / "s"))
     store.append(ingest_files(docs(spark, a="alpha " * 20), "docs"))
@@ -83,37 +97,6 @@ def test_a_batch_that_runs_twice(spark, tmp_path):
     assert store.current("docs").count() == 1
 
 
-def simulated(changes, interval, poll):
-    """The throttle as a clock that ticks: emission time of every change."""
-    out, pending, last, left = {}, [], None, sorted(changes)
-    for now in range(0, left[-1][0] + 3 * interval, 1):
-        if now % poll == 0 and pending and now - last >= interval:
-            out.update({p: now for p in pending})
-            pending, last = [], now
-        while left and left[0][0] == now:
-            pending.append(left.pop(0)[1])
-            if last is None or now - last >= interval:
-                out.update({p: now for p in pending})
-                pending, last = [], now
-    return out
-
-
-@pytest.mark.parametrize("seed", range(20))
-def test_throttle_rule(seed):
-    import random
-
-    rng = random.Random(seed)
-    at, changes = 0, []
-    for i in range(60):
-        at += rng.choice([0, 1, 2, 3, 7, 13, 40])
-        changes.append((at, f"p{i:02d}"))
-    run = _Throttle(30, 5, None, [])
-    for ts, path in sorted(changes):
-        run.change(ts, path)
-    run.advance()
-    assert {path: at for at, _, path in run.out} == simulated(changes, 30, 5)
-
-
 @pytest.fixture(scope="module")
 def changes(spark):
     rows = [("f", "a", 0.0), ("f", "b", 1.0), ("f", "a", 1.5), ("f", "c", 5.0), ("g", "x", 0.2), ("f", "d", 30.0), ("g", "z", 60.0)]
@@ -130,28 +113,36 @@ def test_throttle_windows(changes):
     assert sum(len(r["paths"]) for r in parts) == 7
 
 
-def test_throttle_stream(spark, changes, tmp_path):
-    """Changes come in three micro-batches; the last time-out is passed by the watermark."""
+def test_streamed_windows_are_complete(spark, changes, tmp_path):
+    """Changes come in three micro-batches; windows that the watermark leaves open are there too."""
     for i, (low, high) in enumerate([(0, 1.2), (1.2, 6), (6, 100)]):
         part = changes.where((F.col("ts") >= T0 + timedelta(seconds=low)) & (F.col("ts") < T0 + timedelta(seconds=high)))
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{i}"))
     stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    run = (
-        throttle_exact(stream)
-        .writeStream.format("memory")
-        .queryName("emissions")
-        .option("checkpointLocation", str(tmp_path / "log"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
-    got = {(r["folder"], r["path"], (r["ts"] - T0).total_seconds()): (r["emitted_at"] - T0).total_seconds() for r in spark.table("emissions").collect()}
-    assert got == {
-        ("f", "a", 0.0): 0.0,
-        ("f", "b", 1.0): 3.0,
-        ("f", "a", 1.5): 3.0,
-        ("f", "c", 5.0): 6.0,
-        ("g", "x", 0.2): 0.2,
-        ("f", "d", 30.0): 30.0,
-        ("g", "z", 60.0): 60.0,
-    }
+    out = str(tmp_path / "out")
+    write_windows(throttle_windows(stream), out, str(tmp_path / "log"), {"availableNow": True}).awaitTermination()
+    got = latest_windows(spark.read.parquet(out)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, throttle_windows(changes).collect()))
+
+
+def test_followed_folder(spark, tmp_path):
+    folder, store = tmp_path / "docs", ChunkStore(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    (folder / "a.txt").write_text("alpha " * 20)
+    (folder / "b.txt").write_text("beta " * 20)
+
+    def until(want):
+        for _ in range(120):
+            if state(store) == want:
+                return True
+            time.sleep(0.5)
+        return state(store)
+
+    run = follow_folder(spark, str(folder), store, "docs", str(tmp_path / "log"), "1 second")
+    try:
+        assert until({"a.txt": (1, "alpha"), "b.txt": (1, "beta ")}) is True
+        (folder / "a.txt").write_text("other " * 20)
+        (folder / "b.txt").unlink()
+        assert until({"a.txt": (1, "other")}) is True
+    finally:
+        run.stop()

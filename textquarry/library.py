@@ -33,7 +33,7 @@ from textquarry.session import apply_defaults, materialize
 from textquarry.sinks.store import ChunkStore
 from textquarry.sources.files import list_files, scan_files, scan_paths
 from textquarry.sources.tables import open_table
-from textquarry.streaming.watch import reconcile, watch_folder
+from textquarry.streaming.watch import follow_folder, reconcile, watch_folder
 
 CATALOG = T.StructType(
     [
@@ -153,6 +153,11 @@ class TextLibrary:
         found = self.create(name)
         return watch_folder(self.spark, folder, self.store, found["id"], checkpoint, options=self._options(found, options), **how)
 
+    def follow(self, folder: str, name: str, checkpoint: str, interval: str = "1 minute", options: IngestOptions = IngestOptions()) -> StreamingQuery:
+        """Keep a collection in line with a folder: new, edited and deleted files, once per interval."""
+        found = self.create(name)
+        return follow_folder(self.spark, folder, self.store, found["id"], checkpoint, interval, self._options(found, options))
+
     def reconcile(self, folder: str, name: str, options: IngestOptions = IngestOptions()) -> DataFrame:
         found = self._get(name)
         return ingest_report(reconcile(self.spark, folder, self.store, found["id"], self._options(found, options)))

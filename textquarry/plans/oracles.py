@@ -309,28 +309,6 @@ def yaml(text: str) -> str:
     return line(f"replace({text}, chr(34), chr(92) || chr(34))")
 
 
-EMISSIONS = """WITH RECURSIVE
-    c AS (SELECT event_type AS folder, '/watched/' || event_id AS path, epoch_us(ts) AS t,
-                 row_number() OVER (PARTITION BY event_type ORDER BY ts, '/watched/' || event_id) AS n FROM events),
-    f(folder, n, t, last, waiting) AS (
-        SELECT folder, n, t, t, false FROM c WHERE n = 1
-        UNION ALL
-        SELECT folder, n, t, CASE WHEN t - l >= 3600000000 THEN t ELSE l END, t - l < 3600000000
-        FROM (SELECT c.folder, c.n, c.t,
-                CASE WHEN f.waiting AND ((f.last + 3600000000 + 599999999) // 600000000) * 600000000 <= c.t
-                     THEN ((f.last + 3600000000 + 599999999) // 600000000) * 600000000 ELSE f.last END AS l
-              FROM f JOIN c ON c.folder = f.folder AND c.n = f.n + 1)
-    ),
-    e AS (
-        SELECT f.folder, f.n, f.t, CASE WHEN NOT waiting THEN f.t ELSE least(
-            ((last + 3600000000 + 599999999) // 600000000) * 600000000,
-            (SELECT min(g.t) FROM c g WHERE g.folder = f.folder AND g.t >= f.last + 3600000000)) END AS gone
-        FROM f
-    )
-    SELECT e.folder, make_timestamp(gone) AS emitted_at, make_timestamp(e.t) AS ts, c.path
-    FROM e JOIN c ON c.folder = e.folder AND c.n = e.n
-    WHERE gone <= (SELECT max(t) FROM c)"""
-
 _PLAIN = "SELECT k AS doc_id, chunk, text FROM w"
 
 ORACLES: dict[str, str] = {
@@ -585,9 +563,8 @@ ORACLES: dict[str, str] = {
         FROM (SELECT user_id, event_type, max(ts) AS last_used FROM events GROUP BY ALL)) WHERE position <= 3""",
     "throttle_window": """SELECT event_type AS folder, time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour AS emitted_at,
         count(*) AS changes FROM events GROUP BY ALL""",
-    "throttle_stream": """SELECT * FROM (SELECT event_type AS folder, time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour AS emitted_at,
-        count(*) AS changes FROM events GROUP BY ALL) WHERE emitted_at <= (SELECT max(ts) FROM events)""",
-    "throttle_emissions": EMISSIONS,
+    "throttle_stream": """SELECT event_type AS folder, time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour AS emitted_at,
+        count(*) AS changes FROM events GROUP BY ALL""",
     "stream_ingest": f"""{recursive(AFTER)} SELECT id, source, chunk, text_md5 FROM after""",
     "store_replay": f"""{recursive(AFTER)} SELECT a.* FROM after a WHERE a.source NOT LIKE '/corpus/src4/%'""",
 }

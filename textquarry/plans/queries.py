@@ -35,7 +35,7 @@ from textquarry.sinks.store import ChunkStore
 from textquarry.sources.files import extract_files, scan_files, scan_paths
 from textquarry.sources.records import scan_csv_records, scan_json_lines
 from textquarry.sources.tables import ROW_ID, scan_table
-from textquarry.streaming.throttle import throttle_exact, throttle_windows
+from textquarry.streaming.throttle import latest_windows, throttle_windows, write_windows
 from textquarry.streaming.watch import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -792,27 +792,13 @@ def _stream_of(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def _run_to_end(writer, spark, name):
-    writer = writer.option("checkpointLocation", scratch_path(spark, f"{name}-log")).trigger(availableNow=True)
-    writer.start().awaitTermination()
-
-
 @query
 def throttle_stream(spark, sf):
-    """The same by a stream: the windows that its watermark has closed."""
+    """The same by a stream, with the windows that its watermark leaves open."""
     out = scratch_path(spark, "windows")
-    windows = throttle_windows(_changes(_stream_of(spark, sf, "events")), "1 hour", "0 seconds")
-    _run_to_end(windows.select("folder", "emitted_at", "changes").writeStream.format("parquet").option("path", out), spark, "windows")
-    return spark.read.schema("folder string, emitted_at timestamp, changes long").parquet(out)
-
-
-@query
-def throttle_emissions(spark, sf):
-    """Leading-edge throttle by keyed state, at an hour and a poll of ten minutes."""
-    out = scratch_path(spark, "emissions")
-    emitted = throttle_exact(_changes(_stream_of(spark, sf, "events")), 3_600_000, 600_000)
-    _run_to_end(emitted.writeStream.format("parquet").option("path", out), spark, "emissions")
-    return spark.read.schema(emitted.schema).parquet(out)
+    windows = throttle_windows(_changes(_stream_of(spark, sf, "events")), "1 hour", "0 seconds").select("folder", "emitted_at", "changes")
+    write_windows(windows, out, scratch_path(spark, "windows-log"), {"availableNow": True}).awaitTermination()
+    return latest_windows(spark.read.schema("folder string, emitted_at timestamp, changes long, epoch int").parquet(out))
 
 
 @query

@@ -32,10 +32,12 @@ def _plain_path(path: Column) -> Column:
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every file below ``folder``: ``path, modified, length, content``. Unused columns are never read.
 
-    Spark's file source does not list files of zero bytes, so they count as not there.
+    Spark's file source does not list files of zero bytes, so they count as not there; nor does one count that is deleted
+    after it was listed.
     """
     try:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
+        found = reader.load(folder)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise SourceNotFoundError(f"source folder not found: {folder}") from None

@@ -2,33 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Milliseconds between emissions, and between looks at what is pending.
-INTERVAL_MS = 3000
-POLL_MS = 500
-
-EMISSION = T.StructType(
-    [
-        T.StructField("folder", T.StringType()),
-        T.StructField("emitted_at", T.TimestampType()),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("path", T.StringType()),
-    ]
-)
-_STATE = T.StructType(
-    [
-        T.StructField("last_emit", T.LongType()),
-        T.StructField("pending_ts", T.ArrayType(T.LongType())),
-        T.StructField("pending_path", T.ArrayType(T.StringType())),
-    ]
-)
-
+from pyspark.sql.streaming import StreamingQuery
 
 def _timed(changes: DataFrame) -> DataFrame:
     """Event time as a timestamp with time zone, which watermarks ask for."""
@@ -62,73 +40,27 @@ def change_events(changes: DataFrame, interval: str = "3 seconds", delay: str =
     return grouped.agg(listed.alias("paths")).select("folder", F.col("w.end").alias("emitted_at"), "part", "paths")
 
 
-class _Throttle:
-    """Emission times of one folder in microseconds, its changes taken in order of time."""
-
-    def __init__(self, interval: int, poll: int, last: int | None, pending: list[tuple[int, str]]):
-        self.interval, self.poll, self.last, self.pending = interval, poll, last, pending
-        self.out: list[tuple[int, int, str]] = []
-
-    @property
-    def flush_at(self) -> int:
-        """First poll at which what is pending may go out."""
-        return -(-(self.last + self.interval) // self.poll) * self.poll
-
-    def _emit(self, at: int) -> None:
-        self.out.extend((at, ts, path) for ts, path in self.pending)
-        self.last, self.pending = at, []
-
-    def advance(self, now: int | None = None) -> None:
-        """Let the polls up to ``now`` run."""
-        if self.pending and (now is None or self.flush_at <= now):
-            self._emit(self.flush_at)
-
-    def change(self, ts: int, path: str) -> None:
-        self.advance(ts)
-        self.pending.append((ts, path))
-        if self.last is None or ts - self.last >= self.interval:
-            self._emit(ts)
-
-
-def throttle_exact(
-    changes: DataFrame, interval_ms: int = INTERVAL_MS, poll_ms: int = POLL_MS, delay: str = "0 seconds"
-) -> DataFrame:
-    """Every change with the time of the emission it goes out with.
-
-    A change goes out at once when the folder has been quiet for the interval; later ones wait for the poll that finds
-    the interval over. State per folder is the last emission and what is pending, at most one interval of changes.
-    Event time drives it, so a replay gives the same emissions; changes must arrive in order of time. What one
-    micro-batch brings for a folder is held by one task: bound it with the source's own limit per trigger.
-    """
-    interval, poll = interval_ms * 1000, poll_ms * 1000
-
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, stamps, paths = state.get if state.exists else (None, [], [])
-        run = _Throttle(interval, poll, last, list(zip(stamps, paths)))
-        if state.hasTimedOut:
-            run.advance()
-        else:
-            rows = pd.concat([b[["ts", "path"]] for b in batches], ignore_index=True)
-            micros = rows["ts"].astype("datetime64[us]").astype("int64")
-            for ts, path in sorted(zip(micros.tolist(), rows["path"])):
-                run.change(ts, path)
-        state.update((run.last, [p[0] for p in run.pending], [p[1] for p in run.pending]))
-        if run.pending:
-            state.setTimeoutTimestamp(max(run.flush_at // 1000, state.getCurrentWatermarkMs() + 1))
-        if run.out:
-            at, ts, path = zip(*run.out)
-            yield pd.DataFrame(
-                {
-                    "folder": key[0],
-                    "emitted_at": pd.to_datetime(list(at), unit="us"),
-                    "ts": pd.to_datetime(list(ts), unit="us"),
-                    "path": path,
-                }
-            )
-
-    return (
-        _timed(changes)
-        .withWatermark("ts", delay)
-        .groupBy("folder")
-        .applyInPandasWithState(step, EMISSION, _STATE, "append", "EventTimeTimeout")
-    )
+def write_windows(windows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep the windows of a stream below ``path``, also those that its watermark has not closed yet: each micro-batch
+    appends the windows it changed. ``latest_windows`` reads the last state of each. A batch that is run again appends
+    equal rows."""
+
+    def append(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+
+    writer = windows.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "3 seconds"})).start()
+
+
+def latest_windows(written: DataFrame) -> DataFrame:
+    """The last state of every window that ``write_windows`` kept."""
+    values = [c for c in written.columns if c not in ("folder", "emitted_at", "epoch")]
+    last = F.max(F.struct("epoch", *values)).alias("last")
+    return written.groupBy("folder", "emitted_at").agg(last).select("folder", "emitted_at", *[f"last.{c}" for c in values])
+
+
+def every(spark, work: Callable[[], None], checkpoint: str, interval: str) -> StreamingQuery:
+    """Run ``work`` once per interval by a stream that only ticks, until it is stopped."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    writer = ticks.writeStream.foreachBatch(lambda _batch, _epoch: work()).option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=interval).start()

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from textquarry.operators.ingest import IngestOptions, ingest_files
 from textquarry.sinks.store import ChunkStore
 from textquarry.sources.files import is_supported, scan_files
+from textquarry.streaming.throttle import every
 
 # The file source of a stream needs its schema given.
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
@@ -70,3 +71,10 @@ def reconcile(
     gone = below.join(files.select(F.col("path").alias("source")), "source", "left_anti")
     store.remove(collection, gone)
     return run.outcomes
+
+
+def follow_folder(
+    spark: SparkSession, folder: str, store: ChunkStore, collection: str, checkpoint: str, interval: str = "1 minute", options: IngestOptions = IngestOptions()
+) -> StreamingQuery:
+    """Reconcile a collection with its folder once per interval: what is new, edited or gone."""
+    return every(spark, lambda: reconcile(spark, folder, store, collection, options), checkpoint, interval)
