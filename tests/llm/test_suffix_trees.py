@@ -57,7 +57,7 @@ def shared_passages(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("max_group", [20_000, 3, 0])
+@pytest.mark.parametrize("max_group", [400_000, 30, 0])
 def test_groups_of_any_size_give_the_same(spark, make, seed, max_group):
     rows = shared_passages(seed)
     assert got(remove_repeats(make(rows), length=20, max_group=max_group)) == brute_force(rows, 20)
@@ -72,3 +72,9 @@ def test_odd_rows_and_kept_text(spark, make):
     texts = {r.doc_id: r.kept_text for r in remove_repeats(docs, with_text=True).collect() if r.doc_id in (4, 9, 6)}
     assert texts == {4: "front", 9: "", 6: None}
     assert remove_repeats(docs.limit(0)).collect() == []
+
+
+def test_texts_that_repeat_few_words(spark, make):
+    rows = [(1, "la " * 3000), (2, "x " + "la " * 2000 + "y"), (3, "one two three four five " * 400), (4, "two three four five one " * 300 + "tail"), (5, "la " * 49)]
+    for max_group in (400_000, 0):
+        assert got(remove_repeats(make(rows), max_group=max_group)) == brute_force(rows)

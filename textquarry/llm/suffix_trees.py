@@ -6,10 +6,10 @@ A word goes when a window of ``length`` (50) words that covers it also starts in
    equal places, so suffixes that begin at anchors are all that is needed (about one word in twenty).
 2. Suffixes are split by prefix: the anchor's eight words. Prefixes that occur in one text only hold no repeat and go no further.
    What stays is the stretch of text under the windows of each anchor.
-3. A prefix with at most ``max_group`` suffixes fits in memory. Tasks get whole groups, sort the suffixes of their stretches to the
+3. A prefix with at most ``max_group`` windows fits in memory. Tasks get whole groups, sort the suffixes of their stretches to the
    depth of a window (prefix doubling), and read off the internal nodes of the subtree at that depth: runs of suffixes that agree so
    far. A node with suffixes of several documents is a repeat; all of its windows but those of its smallest document go.
-4. A prefix with more suffixes (a line that a third of all documents share) is made longer at once, to the whole window: each such
+4. A prefix with more windows (a line that a third of all documents share) is made longer at once, to the whole window: each such
    window is its own group, named by two 64-bit hashes, and its smallest document is found by partial aggregation. No group gathers.
 5. Adjacent windows are joined to spans (the maximal repeats), grouped by text, and cut out.
 
@@ -83,9 +83,11 @@ def anchors(h: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray,
     place = place[at_all]
     if not len(doc):
         return none, none.astype(np.uint64), none, none
-    first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]))))
+    # Windows in a row whose anchors are the same words go together, so a text that repeats a few words has few anchors.
+    prefix = grams[place]
+    first = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (doc[1:] != doc[:-1]))))
     last = np.concatenate((first[1:] - 1, [len(doc) - 1]))
-    return doc[first], grams[place[first]], at[first], at[last]
+    return doc[first], prefix[first], at[first], at[last]
 
 
 def _lists(doc: np.ndarray, n: int, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -205,15 +207,15 @@ def _span_batch(digests: list[bytes], begin: np.ndarray, end: np.ndarray) -> pa.
 SPANS = "digest binary, begin int, end int"
 
 
-def _subtrees(length: int, most: int = 20_000):
+def _subtrees(length: int, most_bytes: int = 8 << 20):
     """Whole groups in memory, many small ones at a time; rows come sorted by prefix."""
 
     def work(batches):
         held: list[list] = [[] for _ in range(6)]
-        for batch in batches:
+        for batch in (big.slice(i, 2000) for big in batches for i in range(0, big.num_rows, 2000)):
             for column, values in zip(held, batch.columns):
                 column.extend(values.to_pylist())
-            if len(held[0]) < most:
+            if sum(map(len, held[5])) < most_bytes:
                 continue
             last = held[0][-1]
             cut = len(held[0])
@@ -279,7 +281,7 @@ def _cut_rows(batches):
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", max_group: int = 20_000, with_text: bool = False
+    docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", max_group: int = 400_000, with_text: bool = False
 ) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, kept_sha256``; if asked for, with ``kept_text``: the words
     left, joined by a space, or null where nothing goes.
@@ -299,7 +301,8 @@ def remove_repeats(
     each = F.arrays_zip(F.col("hashes").alias("prefix"), F.col("firsts").alias("first"), F.col("lasts").alias("last"))
     suffixes = thin.select("digest", F.explode(each).alias("a")).select("digest", F.col("a.prefix"), F.col("a.first"), F.col("a.last"))
     key = F.xxhash64("digest")
-    groups = suffixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+    windows = F.sum(F.col("last") - F.col("first") + 1)
+    groups = suffixes.groupBy("prefix").agg(windows.alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
     groups = groups.where("low < high").select("prefix", (F.col("n") > max_group).alias("large"))
     groups = stored(groups, "prefixes")  # read anew, so that Spark can split the other side of the join where a prefix is hot
     repeated = suffixes.join(groups, "prefix")
