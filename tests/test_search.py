@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from textquarry.errors import CollectionNotFoundError
 from textquarry.functions.embedding import embed, register_embedder
 from textquarry.operators import hits as ht
-from textquarry.operators.approximate import bucket_of, nearest_probed, plane, probes, recall
+from textquarry.operators.approximate import bucket_of, nearest_probed, plane, probes, recall, with_bucket
 from textquarry.operators.nearest import nearest
 from textquarry.operators.search import contexts, embed_chunks, embed_queries, search, search_many
 from textquarry.schema import COLLECTION
@@ -120,14 +120,50 @@ def test_probing_all_buckets_is_exact(data):
 
 
 def test_stored_buckets_are_pruned(spark, data, tmp_path):
-    from textquarry.operators.approximate import with_bucket
+    """Buckets that no query probes are not read, and nothing is read again when every query finds its k."""
+    _, _, q, r = data
+    with_bucket(r, 3).write.partitionBy("bucket").parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    one = q.where("qid = 3")
+    few = nearest_probed(one, stored, 5, 3, 0)
+    same(collected(few), collected(nearest_probed(one, r, 5, 3, 0)))
+    bucket = one.select(bucket_of(F.col("embedding"), 3)).first()[0]
+    held = stored.where(F.col("bucket") == bucket).count()
+    assert held < stored.count()
+    files = spark.read.parquet(str(tmp_path / "rows" / f"bucket={bucket}"))
+    if held >= 5:
+        assert {x["id"] for x in few.collect()} <= {x["id"] for x in files.select("id").collect()}
+
+
+def test_approximate_search_carries_columns(spark, data):
+    _, _, q, r = data
+    exact = search(q, r, 5, collection="c1", carry=["label"])
+    near = search(q, r, 5, collection="c1", carry=["label"], approximate=True)
+    assert near.columns == exact.columns and near.count() == exact.count()
+    found = recall(near.select("qid", "id"), exact).agg(F.sum("found") / F.sum("wanted")).first()[0]
+    assert found >= 0.7
 
+
+def test_one_id_in_two_collections(spark, data):
+    """The same ids in two collections give every hit once, whether queries are sent at once or in blocks."""
+    _, _, q, r = data
+    both = r.drop("collection").withColumn("collection", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("text", F.concat("collection", F.lit("-"), "id"))
+    wanted = None
+    for blocks in (1000, 11):
+        hits = search_many(q, both, ["a", "b"], 3, carry=["text"], max_broadcast=blocks)
+        rows = sorted(tuple(x) for x in hits.select("qid", "rank", "collection", "id", "text").collect())
+        assert all(t == f"{c}-{i}" for _, _, c, i, t in rows) and len(rows) == 3 * 40
+        assert wanted in (None, rows)
+        wanted = rows
+        plain = search(q, both, 4, carry=["text"], max_broadcast=blocks)
+        assert plain.count() == 4 * 40 and plain.select("qid", "text").distinct().count() == 4 * 40
+
+
+def test_only_keys_move(data):
     _, _, q, r = data
-    with_bucket(r.select("id", "embedding"), 4).write.partitionBy("bucket").parquet(str(tmp_path / "b"))
-    stored = spark.read.parquet(str(tmp_path / "b"))
-    hits = nearest_probed(q.where("qid < 2"), stored, 5, 4, 0)
-    assert "PartitionFilters: [bucket" in hits._jdf.queryExecution().executedPlan().toString()
-    same(collected(hits), collected(nearest_probed(q.where("qid < 2"), r, 5, 4, 0)))
+    plan = nearest(q, r.withColumn("text", F.lit("long")), 3)._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window ") :]
+    assert "MapInArrow" in window and "text" not in window.split("MapInArrow")[0].split("Join")[-1]
 
 
 def test_score_threshold_comes_after_the_rank(spark):

@@ -1,9 +1,11 @@
 import io
+import os
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from textquarry.sources import files
 from textquarry.sources.files import SUPPORTED_SUFFIXES, extract_files, is_supported, list_files, scan_files
 from textquarry.sources.records import scan_csv_records, scan_json_lines
 
@@ -137,3 +139,41 @@ def test_record_scans(spark, tmp_path):
     assert [r["text"] for r in scan_json_lines(spark, str(tmp_path / "r.jsonl")).collect()] == ["x 1", "True"]
     (tmp_path / "r.csv").write_text('name,age\nAlice,30\n"B, ""b""",\n')
     assert [r["text"] for r in scan_csv_records(spark, str(tmp_path / "r.csv")).collect()] == ["name, age", "Alice, 30", 'B, "b", ']
+
+
+def test_ragged_records(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('1,2,3,4,5\n1,2\n\n"a,b",c\n' + "x" * 200_000 + ",y\n")
+    got = [r["text"] for r in scan_csv_records(spark, str(tmp_path / "r.csv")).collect()]
+    assert got == ["1, 2, 3, 4, 5", "1, 2", "", "a,b, c", "x" * 200_000 + ", y"]
+
+
+def test_hard_files_end_no_job(spark):
+    deep = "[" * 200_000
+    rows = [("/a.csv", b'"' + b"z" * 200_000), ("/b.jsonl", f'{deep}\n{{"a": "ok"}}'.encode()), ("/c.json", deep.encode())]
+    got = {r["path"]: r for r in extract_files(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert got["/a.csv"]["text"] == "z" * 200_000 and got["/a.csv"]["error"] is None
+    assert (got["/b.jsonl"]["text"], got["/b.jsonl"]["error"]) == ("ok", None)
+    assert got["/c.json"]["error"] == "invalid JSON"
+
+
+def test_registered_extractor(spark, monkeypatch):
+    monkeypatch.setattr(files, "EXTRACTORS", {})
+
+    def backwards(content):
+        text = F.reverse(content.cast("string"))
+        fields = {"text": text, "title": F.lit("T"), "author": F.lit(""), "created": F.lit(""), "error": F.when(text == "", "nothing")}
+        return F.struct(*[c.cast("string").alias(n) for n, c in fields.items()])
+
+    files.register_extractor(backwards, ".rev", ".TXT")
+    df = spark.createDataFrame([("/a.rev", b"abc"), ("/b.txt", b"xy"), ("/c.md", b"md"), ("/d.rev", b"")], "path string, content binary")
+    got = {r["path"]: (r["text"], r["doc_title"], r["error"]) for r in extract_files(df).collect()}
+    assert got == {"/a.rev": ("cba", "T", None), "/b.txt": ("yx", "T", None), "/c.md": ("md", "", None), "/d.rev": ("", "T", "nothing")}
+    assert df.where(files.is_supported(F.col("path"))).count() == 4
+
+
+def test_paths_are_read_by_request_alone(spark, tmp_path):
+    for name in ("a.txt", "b.txt", "c.bin"):
+        (tmp_path / name).write_text(name)
+    wanted = spark.createDataFrame([(str(tmp_path / n),) for n in ("a.txt", "c.bin", "gone.txt")], "path string")
+    got = {os.path.basename(r["path"]): (r["skip_reason"], r["content"] and bytes(r["content"])) for r in files.scan_paths(wanted, list_files(spark, str(tmp_path))).collect()}
+    assert got == {"a.txt": (None, b"a.txt"), "c.bin": ("extract_error: unsupported format", None), "gone.txt": ("extract_error: file not found", None)}

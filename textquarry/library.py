@@ -177,15 +177,17 @@ class TextLibrary:
         k: int = 5,
         where: Mapping | None = None,
         min_score: float | None = None,
+        approximate: bool = False,
     ) -> DataFrame:
         """Ranked hits for one text, a list of texts, or a table of ``qid, query_text``.
 
         One name searches that collection, which must exist; a list merges the ones that exist. Queries are embedded
-        by the model of the collection; merged collections must share theirs.
+        by the model of the collection; merged collections must share theirs. One collection can be searched
+        approximately.
         """
         if isinstance(name, str):
             model = self._get(name)["embedding_model"] or DEFAULT_MODEL
-            return search(self._queries(queries, model), self.chunks(name), k=k, where=where, min_score=min_score)
+            return search(self._queries(queries, model), self.chunks(name), k=k, where=where, min_score=min_score, approximate=approximate)
         models = coll.embedding_models(self.collections().where(F.col("name").isin(list(name)))).collect()
         if len(models) > 1:
             raise ValueError(f"collections of different models: {[m[0] for m in models]}")

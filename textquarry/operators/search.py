@@ -12,6 +12,7 @@ from textquarry.functions.filters import compile_where
 from textquarry.functions.validation import check_min_score, check_top_k
 from textquarry.functions.vectors import score, shown_distance
 from textquarry.operators import collections as coll
+from textquarry.operators.approximate import nearest_probed
 from textquarry.operators.hits import answer_context, answer_prompt
 from textquarry.operators.nearest import MAX_BROADCAST_QUERIES, nearest
 from textquarry.schema import HIT_DEFAULTS, hit_field
@@ -58,10 +59,11 @@ def search(
     collections: DataFrame | None = None,
     carry: Sequence[str] | None = None,
     max_broadcast: int = MAX_BROADCAST_QUERIES,
+    approximate: bool = False,
 ) -> DataFrame:
     """The ``k`` best chunks of every query, nearest first: ``qid, rank, id, distance, score`` and the carried columns.
 
-    ``min_score`` cuts the ranked list by the rounded score; it never changes which chunks are ranked.
+    With ``approximate``, only the buckets near a query are searched (see ``operators.approximate``). ``min_score`` cuts the ranked list by the rounded score; it never changes which chunks are ranked.
     """
     check_top_k(k)
     check_min_score(min_score)
@@ -72,9 +74,14 @@ def search(
     carry = _carried(chunks, carry)
     # An id is unique within its collection only.
     place = ["collection"] if "collection" in chunks.columns and "collection" not in carry else []
-    candidates = _candidates(chunks, where, [*place, *carry])
+    bucket = ["bucket"] if approximate and "bucket" in chunks.columns else []
+    candidates = _candidates(chunks, where, [*place, *bucket, *carry])
     key = ["id", *[c for c in candidates.columns if c == "collection"]]
-    hits = _scored(nearest(queries, candidates, k, max_broadcast=max_broadcast, key=key))
+    if approximate:
+        found = nearest_probed(queries, candidates, k, key=key)
+        hits = _scored(found.join(candidates.drop("embedding"), key))
+    else:
+        hits = _scored(nearest(queries, candidates, k, max_broadcast=max_broadcast, key=key))
     if min_score is not None:
         hits = hits.where(F.col("score") >= min_score)
     return hits.select("qid", "rank", "id", "distance", "score", *carry)

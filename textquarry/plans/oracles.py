@@ -216,7 +216,7 @@ def merged(hits: str, names: list[str], columns: str = "", cut: str = "true") ->
     ) WHERE {cut}"""
 
 
-# Sides of four hyperplanes; a query sees the buckets that differ from its own in at most one side.
+# Sides of four hyperplanes; a query sees the buckets that differ from its own in at most two sides.
 BUCKET = " + ".join(
     f"""CASE WHEN list_inner_product(v, list_transform(range(64), lambda i:
         CASE WHEN md5('{j}:' || i) < '8' THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END)) >= 0 THEN {1 << j} ELSE 0 END"""
@@ -225,7 +225,7 @@ BUCKET = " + ".join(
 PROBED = f"""WITH {VECTORS},
     buckets AS (SELECT vec_id, {BUCKET} AS b FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)),
     near AS (SELECT p.* FROM pairs p JOIN buckets x ON x.vec_id = p.qid JOIN buckets y ON y.vec_id = p.id
-             WHERE bit_count(xor(x.b, y.b)) <= 1),
+             WHERE bit_count(xor(x.b, y.b)) <= 2),
     short AS (SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT qid FROM near GROUP BY qid HAVING count(*) >= 5)),
     seen AS (SELECT * FROM near WHERE qid NOT IN (SELECT vec_id FROM short)
              UNION ALL SELECT * FROM pairs WHERE qid IN (SELECT vec_id FROM short)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +22,19 @@ ARCHIVE_SUFFIXES = (".docx", ".pptx", ".xlsx", ".epub", ".odt")
 SUPPORTED_SUFFIXES = (*TEXT_SUFFIXES, ".csv", ".json", ".jsonl", *HTML_SUFFIXES, *ARCHIVE_SUFFIXES)
 
 
+# Further formats by suffix: bytes to a struct of text, title, author, created and error.
+EXTRACTORS: dict[str, Callable[[Column], Column]] = {}
+EXTRACTED = ("text", "title", "author", "created", "error")
+
+
+def register_extractor(extractor: Callable[[Column], Column], *suffixes: str) -> None:
+    """Read files of further suffixes (``.xyz``) with a column function, which gets a null for files of other kinds. It
+    returns a struct with the fields ``EXTRACTED``, all strings; it comes before the built-in way for its suffixes."""
+    EXTRACTORS.update(dict.fromkeys((s.lower() for s in suffixes), extractor))
+
+
 def is_supported(path: Column) -> Column:
-    return suffix(path).isin(*SUPPORTED_SUFFIXES)
+    return suffix(path).isin(*SUPPORTED_SUFFIXES, *EXTRACTORS)
 
 
 def _plain_path(path: Column) -> Column:
@@ -101,20 +114,31 @@ def extract_files(files: DataFrame) -> DataFrame:
         .when(kind == ".csv", F.col("_csv.text"))
         .when(kind.isin(*ARCHIVE_SUFFIXES), archive["text"])
     )
+    given = F.lit(None).cast("struct<text:string,title:string,author:string,created:string,error:string>")
+    for extractor in dict.fromkeys(EXTRACTORS.values()):
+        own = of(*[s for s, e in EXTRACTORS.items() if e is extractor])
+        given = F.when(own.isNotNull(), F.struct(*[extractor(own)[f].alias(f) for f in EXTRACTED])).otherwise(given)
+    other = kind.isin(*EXTRACTORS) if EXTRACTORS else F.lit(False)
+    text = F.when(other, given["text"]).otherwise(text)
     error = (
         F.when(F.col("content").isNull(), F.lit("file not found"))
+        .when(other, given["error"])
         .when(~kind.isin(*SUPPORTED_SUFFIXES), F.lit("unsupported format"))
         .when((kind == ".json") & F.col("_json").isNull(), F.lit("invalid JSON"))
         .when(kind == ".jsonl", F.col("_jsonl.error"))
         .when(kind == ".csv", F.col("_csv.error"))
         .when(kind.isin(*ARCHIVE_SUFFIXES), archive["error"])
     )
-    html_only = kind.isin(*HTML_SUFFIXES)
+    html_only = kind.isin(*HTML_SUFFIXES) & ~other
+
+    def about(field: str, of_page: Column) -> Column:
+        return F.when(html_only, of_page).otherwise(F.coalesce(given[field], archive[field], F.lit("")))
+
     return parsed.select(
         *keep,
         text.alias("text"),
-        F.when(html_only, tx.html_title(page)).otherwise(F.coalesce(archive["title"], F.lit(""))).alias("doc_title"),
-        F.when(html_only, tx.html_author(page)).otherwise(F.coalesce(archive["author"], F.lit(""))).alias("doc_author"),
-        F.when(html_only, F.lit("")).otherwise(F.coalesce(archive["created"], F.lit(""))).alias("doc_created"),
+        about("title", tx.html_title(page)).alias("doc_title"),
+        about("author", tx.html_author(page)).alias("doc_author"),
+        about("created", F.lit("")).alias("doc_created"),
         error.alias("error"),
     )
