@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,3 +240,12 @@ def test_recent_distinct(spark):
     log = spark.createDataFrame([("u", "x", 1), ("u", "y", 2), ("u", "x", 3), ("u", "z", 0)], "user string, text string, ts long")
     got = ht.recent_distinct(log, "user", "text", "ts", cap=2).orderBy("position").collect()
     assert [(r["text"], r["last_used"]) for r in got] == [("x", 3), ("y", 2)]
+
+
+def test_answers_by_a_generator_of_ones_own(spark):
+    @F.pandas_udf("string")
+    def shout(prompts: pd.Series) -> pd.Series:
+        return prompts.str.upper()
+
+    prompts = spark.createDataFrame([(1, "ctx", "why?"), (2, "ctx", None)], "qid long, context string, prompt string")
+    assert {r["qid"]: r["answer"] for r in ht.generate_answers(prompts, shout).collect()} == {1: "WHY?", 2: None}

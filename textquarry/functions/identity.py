@@ -17,10 +17,6 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1 << 30)).otherwise(path)
 
 
-def row_source(store: str, table: str) -> str:
-    """Source name of a table: ``store::table``."""
-    return f"{store}::{table}"
-
 
 def row_chunk_id(source: Column, row_id: Column, chunk: Column) -> Column:
     """Id of a row chunk: MD5 of ``sqlite::store::table::row::chunk``."""

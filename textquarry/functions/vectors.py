@@ -10,14 +10,6 @@ COMPARE_DIGITS = 9
 SHOWN_DIGITS = 4
 
 
-def squared_l2(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance of two arrays, in double."""
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))),
-        F.lit(0.0),
-        lambda total, term: total + term,
-    )
-
 
 def shown_distance(distance: Column) -> Column:
     return F.round(distance, SHOWN_DIGITS)

@@ -165,7 +165,3 @@ def describe(collections: DataFrame, name: str, text: str) -> DataFrame:
     check_description(text)
     require(collections, name)
     return collections.withColumn("description", F.when(F.col("name") == name, F.lit(text)).otherwise(F.col("description")))
-
-
-def empty_collections(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], COLLECTION)

@@ -106,7 +106,3 @@ def vector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "label",
         F.concat(F.lit("label_"), F.col("label").cast("string")).alias("collection"),
     )
-
-
-def empty_collections(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], COLLECTION)

@@ -171,6 +171,9 @@ CHANGES = f"""{walk('old', STORED)}, {walk('new', DOCS)},
         FROM judged LEFT JOIN counted ON counted.k = judged.doc_id
     )"""
 
+TITLE_TAG = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"
+PAGE_ROWS = f"SELECT page_id AS k, {page_text('html')} AS t, {strip(entities(TITLE_TAG))} AS title FROM pages"
+
 # Some documents replaced by what is hard to read; JSON that cannot be read has no text.
 POISON_ROWS = """SELECT doc_id AS k, CASE doc_id % 50 WHEN 0 THEN '.csv' WHEN 1 THEN '.json' WHEN 2 THEN '.jsonl' ELSE '.md' END AS kind,
     CASE doc_id % 50 WHEN 0 THEN repeat('x', 200000) WHEN 1 THEN '' WHEN 2 THEN repeat('y', 60) ELSE text END AS t FROM documents"""
@@ -394,6 +397,11 @@ ORACLES: dict[str, str] = {
     "ingest_incremental": f"""{recursive(AFTER)} SELECT * FROM after""",
     "ingest_rows": f"""SELECT id, row_id, row_hash, text, n_chunks
         FROM ({row_chunks(f'SELECT o_orderkey AS k, {ORDERS} AS t FROM orders', 'shop::orders')})""",
+    "page_chunks": f"""{recursive(walk('pc', PAGE_ROWS))}
+        SELECT '/pages/' || pc.k || '.html' AS source, pc.chunk, r.title AS doc_title, '' AS doc_author, '' AS doc_created, md5(pc.text) AS text_md5
+        FROM pc JOIN ({PAGE_ROWS}) r ON r.k = pc.k""",
+    "where_sources_table": corpus_sql("""SELECT id, source, chunk FROM corpus WHERE source IN
+        (SELECT source FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE toxic = 1)"""),
     "row_ingest": row_chunks(f"SELECT p_partkey AS k, {PART} AS t FROM part", "shop::part"),
     "row_ingest_short": row_chunks(f"SELECT n_nationkey AS k, {row_text('n_name', 'n_regionkey')} AS t FROM nation", "shop::nation")
     + " UNION ALL "

@@ -16,7 +16,7 @@ from textquarry.functions import identity as ident
 from textquarry.functions import text as tx
 from textquarry.functions.chunking import ChunkOptions
 from textquarry.functions.embedding import DEFAULT_MODEL, embed
-from textquarry.functions.filters import compile_where, source_contains
+from textquarry.functions.filters import compile_where, of_sources, source_contains
 from textquarry.functions.vectors import score, shown_distance
 from textquarry.operators import changes as ch
 from textquarry.operators import collections as coll
@@ -361,6 +361,23 @@ def row_ingest(spark, sf):
     return _row_chunks(spark, sf, "part", "p_partkey")
 
 
+@query
+def where_sources_table(spark, sf):
+    """Chunks of the sources that a table names, of any number."""
+    wanted = table(spark, sf, "labels").where("toxic = 1").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return of_sources(src.corpus(spark, sf), wanted.select("source")).select("id", "source", "chunk")
+
+
+@query
+def page_chunks(spark, sf):
+    """Pages as files: every chunk carries the title, author and date of its page."""
+    pages = table(spark, sf, "pages")
+    path = F.concat(F.lit("/pages/"), F.col("page_id").cast("string"), F.lit(".html"))
+    files = spread(pages.select(path.alias("path"), F.col("html").cast("binary").alias("content")))
+    run = ingest_files(files, "pages")
+    return run.chunks.select("source", "chunk", "doc_title", "doc_author", "doc_created", F.md5("text").alias("text_md5"))
+
+
 @query
 def row_ingest_short(spark, sf):
     """Rows whose text is below the minimum are kept as one chunk each."""

@@ -43,13 +43,6 @@ COLLECTION = T.StructType(
     ]
 )
 
-FILE = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("content", T.BinaryType()),
-    ]
-)
-
 # Values a hit falls back to when a chunk does not carry the field.
 HIT_DEFAULTS = {
     "source": "",

@@ -78,15 +78,10 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give an input smaller than one split per core enough partitions for a Python stage.
+    """Deal out an input that has fewer splits than there are cores, for a Python stage behind it.
 
-    A large scan already has more splits than cores and is left as it is: moving its text through a shuffle would
-    cost more than it gains. A small file (one row group) would otherwise run in one task.
+    A small file (one row group) would otherwise run in one task. An input with a split for every core is left as it is,
+    so what moves here is less than one split per core. For inputs that are scans, whose splits are known without a job.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = 128 * 1024 * 1024
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= cores * split:
-        return df
-    return df.repartition(cores, *keys)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
