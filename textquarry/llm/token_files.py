@@ -83,18 +83,18 @@ class WordIds:
         self.counts = np.zeros(len(self.ends), np.int64)  # of all ids given out; whoever reads them sets them back
         self.memo_words = memo_words
         self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(0, np.uint32)
+        self.ids, self.used = np.zeros(0, np.uint32), 0
         self.begin = self.length = self.met = np.zeros(0, np.int64)
 
     def forget(self) -> None:
         """Keep the words met most often since the last time, at most half of the memo."""
-        keep = np.flatnonzero(self.met > 1)
+        keep = np.flatnonzero(self.met[: len(self.known)] > 1)
         if len(keep) > self.memo_words // 2:
             keep = np.sort(keep[np.argsort(-self.met[keep], kind="stable")[: self.memo_words // 2]])
         names = list(self.known)
         ids, length = self._ids_of(keep), self.length[keep]
         self.known = {names[i]: n for n, i in enumerate(keep.tolist())}
-        self.ids, self.length, self.begin = ids, length, np.cumsum(length) - length
+        self.ids, self.used, self.length, self.begin = ids, len(ids), length, np.cumsum(length) - length
         self.met = np.zeros(len(keep), np.int64)
 
     def _ids_of(self, at: np.ndarray) -> np.ndarray:
@@ -104,12 +104,16 @@ class WordIds:
 
     def _add(self, words: list[bytes], parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """``parts``: ids and lengths of the words, some words each."""
-        length = np.concatenate([n for _, n in parts])
-        self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(length) - length))
-        self.length = np.concatenate((self.length, length))
-        self.ids = np.concatenate((self.ids, *[ids for ids, _ in parts]))
-        self.met = np.concatenate((self.met, np.zeros(len(words), np.int64)))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        ids, length = np.concatenate([i for i, _ in parts]), np.concatenate([n for _, n in parts])
+        n, end = len(self.known), len(self.known) + len(words)
+        while end > len(self.length):  # room for as many again: adding costs no copy most of the time
+            self.begin, self.length, self.met = (np.concatenate((a, np.zeros(len(a) + 1024, a.dtype))) for a in (self.begin, self.length, self.met))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids) + 4096, self.ids.dtype)))
+        self.begin[n:end], self.length[n:end], self.met[n:end] = self.used + np.cumsum(length) - length, length, 0
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.known.update(zip(words, range(n, end)))
 
     def _encode_pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         text = b" ".join(words).decode("utf-8")
@@ -165,10 +169,9 @@ class WordIds:
             self.learn(unknown)
             number[new] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(new))
         at = number[coded.indices.to_numpy()]
-        seen = np.bincount(at, minlength=len(self.known))
-        self.met += seen
-        used = np.flatnonzero(seen)
-        of = np.bincount(self._ids_of(used), np.repeat(seen[used], self.length[used]), minlength=len(self.ends))
+        seen = np.bincount(coded.indices.to_numpy(), minlength=len(words))
+        self.met[number] += seen
+        of = np.bincount(self._ids_of(number), np.repeat(seen, self.length[number]), minlength=len(self.ends))
         self.counts += of.astype(np.int64)
         self.counts[END_ID] += len(texts)
         # The end ids are put in by position: after each text's words.
@@ -187,7 +190,7 @@ def id_type(tokenizer_json: str) -> str:
 _TOKENIZERS: dict[int, WordIds] = {}
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", memo_words: int = 600_000) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", memo_words: int = 500_000) -> DataFrame:
     """``doc_id, tag, n_tokens, ids`` (little-endian ids, see ``id_type``) of every document; the tokenizer's file is read here.
 
     Every task ends with a row that is no document: ``counts`` has how often it gave out each id."""
@@ -204,7 +207,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text
         words.counts[:] = 0
         names = ["doc_id", "tag", "n_tokens", "ids", "counts"]
         for whole in batches:
-            rows = max(1, whole.num_rows * (12 << 20) // max(whole.nbytes, 12 << 20))
+            rows = max(1, whole.num_rows * (4 << 20) // max(whole.nbytes, 4 << 20))
             for i in range(0, whole.num_rows, rows):
                 batch = whole.slice(i, rows)
                 ids, n = words.encode(batch.column(1))
