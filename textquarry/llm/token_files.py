@@ -84,7 +84,7 @@ class WordIds:
         self.memo_words = memo_words
         self.known: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(0, np.uint32), 0
-        self.begin = self.length = self.met = np.zeros(0, np.int64)
+        self.begin = self.length = self.met = np.zeros(0, np.int32)
 
     def forget(self) -> None:
         """Keep the words met most often since the last time, at most half of the memo."""
@@ -94,13 +94,16 @@ class WordIds:
         names = list(self.known)
         ids, length = self._ids_of(keep), self.length[keep]
         self.known = {names[i]: n for n, i in enumerate(keep.tolist())}
-        self.ids, self.used, self.length, self.begin = ids, len(ids), length, np.cumsum(length) - length
-        self.met = np.zeros(len(keep), np.int64)
+        self.ids, self.used, self.length = ids, len(ids), length
+        self.begin = (np.cumsum(length, dtype=np.int64) - length).astype(np.int32)
+        self.met = np.zeros(len(keep), np.int32)
 
     def _ids_of(self, at: np.ndarray) -> np.ndarray:
         length = self.length[at]
-        done = np.cumsum(length)
-        return self.ids[np.arange(int(done[-1]) if len(at) else 0) + np.repeat(self.begin[at] - done + length, length)]
+        done = np.cumsum(length, dtype=np.int64)
+        place = np.repeat((self.begin[at] - done + length).astype(np.int32), length)
+        place += np.arange(len(place), dtype=np.int32)
+        return self.ids[place]
 
     def _add(self, words: list[bytes], parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """``parts``: ids and lengths of the words, some words each."""
@@ -148,7 +151,7 @@ class WordIds:
             number = self.known.__getitem__
             pair = np.array([list(map(number, stems)), list(map(number, tails))], np.int64).T
             joined = [a + b for a, b in zip(stems, tails)]
-            self._add(joined, [(self._ids_of(pair.ravel()), self.length[pair].sum(axis=1))])
+            self._add(joined, [(self._ids_of(pair.ravel()), self.length[pair].sum(axis=1, dtype=np.int64))])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id behind each, and how many each has. Arrow cuts the texts to words and finds the different
@@ -157,17 +160,19 @@ class WordIds:
         plain = plain.take(pa.array(np.arange(len(plain))))  # a copy: Arrow's case folding gives wrong offsets for part of an array
         if not pc.any(pc.match_substring(plain, "<|")).as_py():  # special tokens are found before the tokenizer folds its input
             plain = pc.ascii_lower(plain)
+        # Signs behind an ASCII letter or digit at the end of a word are a piece of their own: a space there changes no id.
+        plain = pc.replace_substring_regex(plain, pattern=r"([0-9A-Za-z])([" + TAIL.decode() + r"]+)(\s)", replacement=r"\1 \2\3")
         split = pc.ascii_split_whitespace(plain)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.cast(pa.large_binary()).to_pylist()
         if len(self.known) > self.memo_words:
             self.forget()
-        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int32, len(words))
         new = np.flatnonzero(number < 0)
         if len(new):
             unknown = [words[i] for i in new.tolist()]
             self.learn(unknown)
-            number[new] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(new))
+            number[new] = np.fromiter(map(self.known.__getitem__, unknown), np.int32, len(new))
         at = number[coded.indices.to_numpy()]
         seen = np.bincount(coded.indices.to_numpy(), minlength=len(words))
         self.met[number] += seen
@@ -175,7 +180,7 @@ class WordIds:
         self.counts += of.astype(np.int64)
         self.counts[END_ID] += len(texts)
         # The end ids are put in by position: after each text's words.
-        done = np.concatenate(([0], np.cumsum(self.length[at])))
+        done = np.concatenate(([0], np.cumsum(self.length[at], dtype=np.int64)))
         ends = done[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
         return np.insert(self._ids_of(at), ends, END_ID), np.diff(np.concatenate(([0], ends))) + 1
 
@@ -190,7 +195,7 @@ def id_type(tokenizer_json: str) -> str:
 _TOKENIZERS: dict[int, WordIds] = {}
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", memo_words: int = 500_000) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", memo_words: int = 300_000) -> DataFrame:
     """``doc_id, tag, n_tokens, ids`` (little-endian ids, see ``id_type``) of every document; the tokenizer's file is read here.
 
     Every task ends with a row that is no document: ``counts`` has how often it gave out each id."""
