@@ -18,7 +18,7 @@ SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     # Long texts: cap an Arrow batch by rows and by bytes, so that a Python worker holds a few MB at a time.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 * 1024 * 1024),
 }
 
 
