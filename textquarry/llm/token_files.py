@@ -195,7 +195,7 @@ def id_type(tokenizer_json: str) -> str:
 _TOKENIZERS: dict[int, WordIds] = {}
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", memo_words: int = 300_000) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", memo_words: int = 200_000) -> DataFrame:
     """``doc_id, tag, n_tokens, ids`` (little-endian ids, see ``id_type``) of every document; the tokenizer's file is read here.
 
     Every task ends with a row that is no document: ``counts`` has how often it gave out each id."""
@@ -212,7 +212,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text
         words.counts[:] = 0
         names = ["doc_id", "tag", "n_tokens", "ids", "counts"]
         for whole in batches:
-            rows = max(1, whole.num_rows * (4 << 20) // max(whole.nbytes, 4 << 20))
+            rows = max(1, whole.num_rows * (3 << 20) // max(whole.nbytes, 3 << 20))
             for i in range(0, whole.num_rows, rows):
                 batch = whole.slice(i, rows)
                 ids, n = words.encode(batch.column(1))
@@ -221,6 +221,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text
                 packed = pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
                 none = pa.nulls(batch.num_rows, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), packed, none], names)
+                pa.default_memory_pool().release_unused()
         last = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([words.counts], pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(last, names)
 
