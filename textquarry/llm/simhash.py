@@ -260,7 +260,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     prints = stored(fingerprints(docs), "fingerprints")
     groups = grouped(prints.select("doc_id", "fp")).select("fp", "root")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
-    stay = prints.join(groups, "fp").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.tag").alias("tag_"), F.coalesce("best.doc_id", F.lit(0)).alias("id_"))
+    return staying(docs, prints.join(groups, "fp").groupBy("root").agg(F.min(order).alias("best")))
+
+
+def staying(docs: DataFrame, best: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``best`` names by id and text tag, one of repeated equal rows."""
+    stay = best.select(F.col("best.tag").alias("tag_"), F.coalesce("best.doc_id", F.lit(0)).alias("id_"))
     key = F.col("doc_id").cast("long")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(key, F.lit(0)).alias("id_"), F.xxhash64(key, F.col("text")).alias("tag_"))
     return rows.join(stay, ["id_", "tag_"], "left_semi").dropDuplicates(["id_", "tag_"]).select("row.*")
