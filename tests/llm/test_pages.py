@@ -62,6 +62,20 @@ def test_layouts(page, want):
     assert main_text(page) == want.strip()
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<div style='overflow:hidden' title=\"the hidden gem\"><p>{PROSE}</p></div>", PROSE),
+    (f"<div data-id='menu' data-class=ad title='class=ad'><p>{PROSE}</p></div>", PROSE),
+    (f"<div class='page has-sidebar no-comments'><section id=related-work><p>{PROSE}</p></section></div>", PROSE),
+    (f"<ul><li class=ad>buy<li>{PROSE}<li>{PROSE}</ul><p>{PROSE}</p>", PROSE * 3),
+    (f"<div><div><p class=notice>mind</div><p>{PROSE}</p><p>{PROSE}</p></div>", PROSE * 2),
+    (f"<div><p class=notice>mind<p>{PROSE}<p>{PROSE}</div>", PROSE * 2),
+    (f"<div><p>{PROSE}</p><figure><img src=x><figcaption>A caption</figcaption></figure><p>{PROSE}</p></div>", f"{PROSE}A caption {PROSE}"),
+    (f"<div class='wide AD'><div class=x>buy</div><p>no</div><p>{PROSE}</p><div hidden>no</div>", PROSE),
+])
+def test_only_boilerplate_is_dropped(page, want):
+    assert main_text(page) == want.strip()
+
+
 def test_broken_markup_never_fails():
     rng = random.Random(3)
     bits = ["<p>", "</p>", "<div class='x'>", "</div>", "<a href=\"", "\">", "<!--", "-->", "<", ">", "text ", "<script>", "</script>", "<b", "&amp;", "&#x;", "</article>", "<article>", "'", "<nav>", "</nav>"]

@@ -11,7 +11,8 @@ and first if sums tie; the least density on its path to the body is the threshol
 links goes.
 
 What is never an article is left out before counting: scripts, styles, forms, navigation, footers, asides, page headers, and
-elements whose class, id or role names a menu, sidebar, notice, advert or reader comments. Character references are decoded, white
+elements with a class, id or role that is the name of a menu, sidebar, notice, advert or reader comments; they end where the markup
+ends them, also without a tag of their own. Character references are decoded, white
 space within a block becomes one space, and blocks are joined by one space in page order. Nothing is capped.
 
 One page is one row of one Arrow batch; pages do not move. Nulls: a null page has no text; null ids and urls are carried. Repeated
@@ -33,7 +34,7 @@ from textquarry.llm.common import map_batches
 # HTML's elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
-DROPPED = RAW | frozenset("head nav footer aside form button select option fieldset menu dialog object canvas audio video figcaption".split())
+DROPPED = RAW | frozenset("head nav footer aside form button select option fieldset menu dialog object canvas audio video".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr big".split())
 CLOSES = {
     "p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
@@ -45,7 +46,7 @@ CLOSES = {
     "th": frozenset(["td", "th", "tr"]),
     "option": frozenset(["option"]),
 }
-# Names, as whole parts of a class, id or role, of what is no article.
+# Names, as whole words of a class, id or role, of what is no article.
 BOILERPLATE = frozenset(
     "ad ads advert advertisement advertising sponsor sponsored promo banner popup modal cookie cookies consent notice alert newsletter subscribe"
     " nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead pagination pager toolbar share sharing social related"
@@ -55,8 +56,7 @@ BOILERPLATE = frozenset(
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S
 )
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_PART = re.compile(r"[A-Za-z]+")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 
 
 class Node:
@@ -70,12 +70,16 @@ class Node:
 
 
 def _is_boilerplate(attributes: str) -> bool:
-    for name, *values in _NAMES.findall(attributes):
-        value = "".join(values).lower()
-        name = name.lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+    """Attributes are read one by one, their values as wholes; of repeated ones the first counts."""
+    seen = set()
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).lower()
+        if name in seen:
+            continue
+        seen.add(name)
+        if name == "hidden" or (name == "aria-hidden" and value.strip() == "true"):
             return True
-        if name in ("class", "id", "role") and not BOILERPLATE.isdisjoint(_PART.findall(value)):
+        if name in ("class", "id", "role") and not BOILERPLATE.isdisjoint(value.split()):
             return True
     return False
 
@@ -83,7 +87,7 @@ def _is_boilerplate(attributes: str) -> bool:
 def parse(source: str) -> Node:
     """The tree of a page below its body, without what is dropped."""
     root = Node("body", None)
-    here, at, skip, depth, end = root, 0, "", 0, len(source)
+    here, at, skip, end = root, 0, [], len(source)  # skip: tags open within a dropped element, itself first
     raw_end = None
     while at < end:
         if raw_end:  # the inside of a script or the like is no markup
@@ -101,16 +105,24 @@ def parse(source: str) -> Node:
         if not tag:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if skip:  # within a dropped element: only its own kind is counted
-            if tag == skip:
-                depth += -1 if closing else 1
-                if not depth:
-                    skip = ""
-            elif tag in RAW and not closing:
-                raw_end = tag
-            elif closing and tag in ("body", "html"):
-                skip = ""
+        if skip and closing:
+            if tag in skip:
+                while skip.pop() != tag:
+                    pass
+                continue
+            if not _inside(here, (tag,)) and tag not in ("body", "html"):
+                continue
+            skip = []  # the end of what the dropped element lies in
+        if skip and tag in RAW:
+            raw_end = tag if not attributes.endswith("/") or tag not in ("svg", "math") else None
             continue
+        if skip:
+            while skip and tag in CLOSES.get(skip[-1], ()):
+                skip.pop()
+            if skip:
+                if tag not in VOID:
+                    skip.append(tag)
+                continue
         if closing:
             node = here
             while node.parent is not None and node.tag != tag:
@@ -131,7 +143,7 @@ def parse(source: str) -> Node:
             continue
         page_header = tag == "header" and not _inside(here, ("article", "main"))
         if tag not in VOID and (tag in DROPPED or page_header or _is_boilerplate(attributes)):
-            skip, depth = tag, 1
+            skip = [tag]
             if tag not in INLINE:
                 here.parts.append(Node("br", here))
             continue
