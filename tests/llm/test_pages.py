@@ -76,6 +76,16 @@ def test_only_boilerplate_is_dropped(page, want):
     assert main_text(page) == want.strip()
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<div class=top><article><p>Short teaser here.</p></article></div><div class=text><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div>", PROSE * 3),
+    (f"<div><article><p>{PROSE * 2}</p><p>{PROSE}</p></article><article><p>{PROSE}</p></article></div>", PROSE * 4),
+    (f"<article><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></article><article><p>{PROSE}</p><p>{PROSE}</p></article>", PROSE * 6),
+    (f"<div><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></div><div><p>{PROSE}</p><p>{PROSE}</p></div>", PROSE * 2),
+])
+def test_article_tags_do_not_decide(page, want):
+    assert main_text(page) == want.strip()
+
+
 def test_broken_markup_never_fails():
     rng = random.Random(3)
     bits = ["<p>", "</p>", "<div class='x'>", "</div>", "<a href=\"", "\">", "<!--", "-->", "<", ">", "text ", "<script>", "</script>", "<b", "&amp;", "&#x;", "</article>", "<article>", "'", "<nav>", "</nav>"]

@@ -6,9 +6,11 @@ tags below it. Its composite density is
     C / T * log_b( C / LC * T / LT ),   b = ln( C / (C - LC) * LC + LC_body / C_body * C + e )
 
 with every zero count taken as one: many characters per tag, and few of them in links. A node's sum adds up the densities of its
-children (and, for text it holds itself, of that text as one child). The subtree of the greatest sum is the article, the smallest
-and first if sums tie; the least density on its path to the body is the threshold, and a child below it whose characters are mostly
-links goes.
+children (and, for text it holds itself, of that text as one child). The subtree of the greatest sum, over all nodes, is the
+article (of equal sums an <article> or <main>, then the outermost and first); the least density on its path to the body is the
+threshold. Where the article is in several parts, every other subtree as dense as the threshold gives its own subtree of the greatest
+sum, in page order; an <article> brings those beside it that are not mostly links, as densities grow with length. A child below the
+threshold whose characters are mostly links goes.
 
 What is never an article is left out before counting: scripts, styles, forms, navigation, footers, asides, page headers, and
 elements with a class, id or role that is the name of a menu, sidebar, notice, advert or reader comments; they end where the markup
@@ -168,7 +170,7 @@ def _ordered(root: Node) -> list[Node]:
     while todo:
         node = todo.pop()
         out.append(node)
-        todo += [p for p in node.parts if isinstance(p, Node)]
+        todo += [p for p in reversed(node.parts) if isinstance(p, Node)]
     return out
 
 
@@ -205,28 +207,60 @@ def _count(root: Node) -> list[Node]:
     return nodes
 
 
-def _pick(root: Node) -> tuple[Node, float]:
-    """The subtree of the greatest sum of densities, and the least density on its path to the body."""
+def _order(node: Node) -> tuple[float, bool]:
+    return node.total, node.tag in ("article", "main")
+
+
+def _pick(root: Node) -> tuple[list[Node], float]:
+    """The subtrees that hold the article, in page order, and the least density on the path of the greatest sum to the body.
+
+    The subtree of the greatest sum comes first; then, from the body down, so does that of every node which is as dense as the
+    threshold, where none has been taken yet.
+    """
     nodes = _count(root)
-    marked = [n for n in nodes if n.tag in ("article", "main") and n.chars] or nodes
-    best = max(marked, key=lambda n: n.total)
-    # A container whose one child has all of its text adds nothing: its parent is taken while all text stays within.
-    while best.parent is not None and best.tag not in ("article", "main") and best.tag in INLINE | {"p", "h1", "h2", "h3", "h4", "li"}:
-        best = best.parent
+    tops: dict[Node, Node] = {}
+    for node in reversed(nodes):
+        tops[node] = max([node, *(tops[p] for p in node.parts if isinstance(p, Node))], key=_order)
+    best = tops[root]
     threshold, node = best.density, best
     while node is not None:
         threshold = min(threshold, node.density)
         node = node.parent
-    return best, threshold
+    taken, covered = {}, set()  # covered: ancestors of what is taken
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node in taken or not node.chars or node.density < threshold:
+            continue
+        top = tops[node] if node not in covered else None
+        # A container whose one child has all of its text adds nothing: its parent is taken while all text stays within.
+        while top is not None and top is not node and top.tag in INLINE | {"p", "h1", "h2", "h3", "h4", "li"}:
+            top = top.parent
+        if top is not None and top not in covered:
+            taken[top] = None
+            if top.tag == "article" and top.parent is not None:
+                beside = (p for p in top.parent.parts if isinstance(p, Node) and p.tag == "article" and p not in covered)
+                taken.update((p, None) for p in beside if 2 * p.link_chars <= p.chars)
+            up = top.parent
+            while up is not None and up not in covered:
+                covered.add(up)
+                up = up.parent
+        if node not in taken:
+            todo += reversed([p for p in node.parts if isinstance(p, Node)])
+    return [n for n in nodes if n in taken], threshold
 
 
 def main_text(source: str | None) -> str:
     """The article of a page as one line of text."""
     if not source:
         return ""
-    best, threshold = _pick(parse(source))
+    root = parse(source)
+    picked, threshold = _pick(root)
     blocks: list[str] = []
-    todo: list[Node | str | None] = [best]
+    todo: list[Node | str | None] = []
+    for node in reversed(picked):
+        todo += [None, node]
+    tops = set(picked)
     while todo:
         part = todo.pop()
         if part is None:
@@ -234,7 +268,7 @@ def main_text(source: str | None) -> str:
         elif isinstance(part, str):
             blocks.append(part)
         else:
-            if part is not best and part.tag not in INLINE and part.density < threshold and 2 * part.link_chars > part.chars:
+            if part not in tops and part.tag not in INLINE and part.density < threshold and 2 * part.link_chars > part.chars:
                 blocks.append(" ")
                 continue
             block = part.tag not in INLINE
