@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from test_simhash import plain_components, plain_fingerprint
+from test_near_copies import plain_kept
 from textquarry.llm import mixing
 from textquarry.llm.common import stored
 
@@ -53,9 +53,8 @@ def test_quality_stage(stages):
 
 def test_near_duplicate_stage(stages):
     _, before, after = stages[1]
-    all_rows = rows(before)
-    groups = plain_components([plain_fingerprint(r[1]) for r in all_rows])
-    assert rows(after) == [r for i, r in enumerate(all_rows) if groups[i] == i]
+    kept = set(plain_kept(rows(before)))
+    assert rows(after) == [r for r in rows(before) if r[0] in kept]
 
 
 def test_decontamination_stage(spark, stages):
