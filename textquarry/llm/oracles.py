@@ -144,10 +144,54 @@ FROM said LEFT JOIN (SELECT host, coalesce(sum(score) FILTER (kind = 0), 0) AS t
     return first + rules + each + last
 
 
+def _merkle(levels: int = 24, top: int = 8) -> str:
+    """The levels of all trees one after the other, of up to 2 ** levels leaves each, then those of the tree over 2 ** top of them."""
+    field = lambda c: f"coalesce(octet_length(encode(({c})::VARCHAR)) || ':' || ({c}), '-')"
+    row = lambda n: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", n, "text"))) + ")"
+
+    def climb(name: str, levels: int) -> str:
+        """``name_k``: the nodes of level k (tree, i, digest d, the tree's nodes n), up to the root."""
+        return "".join(
+            f""",
+{name}_{k} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM (SELECT tree, i // 2 AS i,
+       CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM {name}_{k - 1} GROUP BY tree, i // 2))"""
+            for k in range(1, levels + 1)
+        )
+
+    def along(name: str, start: str, out: str, levels: int) -> str:
+        """``out_k``: digest ``f`` and siblings ``p`` of every row of ``start`` (r, tree, i, f, p) after level k."""
+        return f""",
+{out}_0 AS MATERIALIZED ({start})""" + "".join(
+            f""",
+{out}_{k} AS MATERIALIZED (SELECT x.r, x.tree, x.i // 2 AS i, CASE WHEN h.n = 1 THEN f WHEN o.d IS NULL THEN sha256(f)
+       WHEN x.i % 2 = 1 THEN sha256(o.d || f) ELSE sha256(f || o.d) END AS f, p || coalesce(o.d, '') AS p
+       FROM {out}_{k - 1} AS x JOIN (SELECT tree, any_value(n) AS n FROM {name}_{k - 1} GROUP BY tree) AS h USING (tree)
+       LEFT JOIN {name}_{k - 1} AS o ON o.tree = x.tree AND o.i = xor(x.i, 1))"""
+            for k in range(1, levels + 1)
+        )
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS tree, {row("n_chars")} AS leaf,
+     CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+              lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+              lambda c, e: CASE WHEN e < 0 THEN xor(c >> 1, 3988292384 * (c & 1)) ELSE xor(c, e) END), 4294967295) % 7 = 0
+          THEN {row("n_chars + 1")} END AS said FROM documents),
+l_0 AS MATERIALIZED (SELECT r, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i, leaf AS d,
+       count(*) OVER (PARTITION BY tree) AS n FROM d){climb("l", levels)},
+s AS (SELECT tree AS part, d FROM l_{levels}),
+t_0 AS MATERIALIZED (SELECT '' AS tree, part, row_number() OVER (ORDER BY part) - 1 AS i, d, count(*) OVER () AS n FROM s){climb("t", top)}
+{along("l", "SELECT r, tree, i, coalesce(said, d) AS f, '' AS p FROM l_0 JOIN d USING (r, tree)", "a", levels)}
+{along("t", f"SELECT r, '' AS tree, t_0.i, f, p FROM a_{levels} AS a JOIN t_0 ON t_0.part = a.tree", "b", top)}
+SELECT doc_id, leaf, s.d AS subroot, t.d AS root, sha256(p) AS proof_sha256, f AS folded_root, f = t.d AS verified
+FROM d JOIN s ON s.part = d.tree JOIN b_{top} AS b USING (r), t_{top} AS t
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_link_trust": _trust(),
     "op3_decontaminate": DECONTAMINATE,
     "op5_quality_rules": QUALITY,
     "op7_substring_dedup": REPEATS,
     "op9_secrets": SECRETS,
+    "op12_merkle_manifest": _merkle(),
 }

@@ -11,6 +11,7 @@ from textquarry.llm.common import table
 from textquarry.llm.decontaminate import find_contamination
 from textquarry.llm.html_density import extract_main_text
 from textquarry.llm.link_trust import judge_urls
+from textquarry.llm.merkle_manifest import audit
 from textquarry.llm.mixing import DOMAINS, copies, mixing_rates
 from textquarry.llm.quality import judge
 from textquarry.llm.secrets import report
@@ -85,3 +86,8 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
