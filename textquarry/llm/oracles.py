@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from textquarry.llm.license_templates import BASE_PHRASES, TEMPLATES, parse
 from textquarry.llm.secrets import BASE_RULES, MORE_RULES
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -187,11 +188,48 @@ FROM d JOIN s ON s.part = d.tree JOIN b_{top} AS b USING (r), t_{top} AS t
 """
 
 
+def _licenses() -> str:
+    """Templates as regular expressions over the words, each followed by a space."""
+
+    def pattern(nodes: list) -> str:
+        out = ""
+        for kind, value in nodes:
+            if kind == "word":
+                out += value + " "
+            elif kind == "any":
+                out += f"(?:[^ ]+ ){{0,{value}}}"
+            elif kind == "one":
+                out += "(?:" + "|".join("".join(w + " " for w in way) for way in value) + ")"
+            else:
+                out += "(?:" + pattern(value) + ")?"
+        return out
+
+    def starts(phrase: str) -> str:
+        return "(" + " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(phrase.split(), 1)) + ")"
+
+    every = " OR ".join(starts(p) for _, p in BASE_PHRASES)
+    base = ", ".join(f"CASE WHEN contains(line, ' {p} ') THEN '{label}' END" for label, p in BASE_PHRASES)
+    more = ", ".join(f"CASE WHEN regexp_matches(line, ' {pattern(parse(m))}') THEN '{label}' END" for label, m in TEMPLATES)
+    named = lambda c: f"array_to_string(list_sort(list_distinct({c})), ',')"
+    return rf"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+m AS (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS line,
+             list_filter(range(len(ws)), lambda i: {every}) AS places FROM w),
+l AS (SELECT *, list_filter([{base}], lambda x: x IS NOT NULL) AS base, list_filter([{more}], lambda x: x IS NOT NULL) AS more FROM m)
+SELECT doc_id, len(ws)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
+       {named("base")} AS base_labels, {named("list_concat(base, more)")} AS labels,
+       CASE WHEN len(more) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM l
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_link_trust": _trust(),
     "op3_decontaminate": DECONTAMINATE,
     "op5_quality_rules": QUALITY,
     "op7_substring_dedup": REPEATS,
     "op9_secrets": SECRETS,
+    "op11_license_templates": _licenses(),
     "op12_merkle_manifest": _merkle(),
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textquarry.llm.common import table
 from textquarry.llm.decontaminate import find_contamination
 from textquarry.llm.html_density import extract_main_text
+from textquarry.llm.license_templates import report as license_report
 from textquarry.llm.link_trust import judge_urls
 from textquarry.llm.merkle_manifest import audit
 from textquarry.llm.mixing import DOMAINS, copies, mixing_rates
@@ -18,6 +19,7 @@ from textquarry.llm.secrets import report
 from textquarry.llm.sharding import assign_shards
 from textquarry.llm.simhash import near_duplicates
 from textquarry.llm.suffix_trees import remove_repeats
+from textquarry.llm.token_alignment import align
 from textquarry.llm.token_files import read_token_files, write_token_files
 from textquarry.session import apply_defaults, scratch_path
 
@@ -91,3 +93,16 @@ def op1_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align(table(spark, sf_dir, "documents"), *paths)
