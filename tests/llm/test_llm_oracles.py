@@ -25,7 +25,7 @@ ODD = [
 ITEMS = [(1, "That and onesen erblest it hein ti inenan eranenes whou therouou thon"), (2, "short item"), (3, None), (4, "..."), (None, "x y"), (5, "x y")]
 
 
-@pytest.mark.parametrize("name", ["op3_decontaminate", "op5_quality_rules", "op7_substring_dedup", "op9_secrets"])
+@pytest.mark.parametrize("name", ["op3_decontaminate", "op5_quality_rules", "op7_substring_dedup", "op9_secrets", "op11_license_templates", "op12_merkle_manifest"])
 def test_odd_rows_agree_with_sql_and_empty_tables_are_empty(spark, tmp_path, name):
     full = [(d, t, "en", s, 0, 1, 2) for d, t, s in ODD]
     docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, n_words int, id int").repartition(3)

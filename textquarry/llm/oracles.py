@@ -173,7 +173,7 @@ def _merkle(levels: int = 24, top: int = 8) -> str:
 
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS tree, {row("n_chars")} AS leaf,
-     CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+     CASE WHEN doc_id IS NOT NULL AND xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
               lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
               lambda c, e: CASE WHEN e < 0 THEN xor(c >> 1, 3988292384 * (c & 1)) ELSE xor(c, e) END), 4294967295) % 7 = 0
           THEN {row("n_chars + 1")} END AS said FROM documents),
