@@ -71,16 +71,19 @@ def _sentence_groups(parts, opts: ChunkOptions) -> Iterator[str]:
         return [text] if group and len(text) >= opts.min_chunk_size else []
 
     group: list[str] = []
+    filled = 0  # characters of the group, a separator each
     for part in parts:
         if len(part) > opts.chunk_size:
             yield from joined(group)
             yield from _windows(" ".join(part.split()), opts)
-            group = []
+            group, filled = [], 0
             continue
-        if group and sum(len(s) + 1 for s in group) + len(part) + 1 > opts.chunk_size:
+        if group and filled + len(part) + 1 > opts.chunk_size:
             yield from joined(group)
             group = _tail(group, opts.overlap)
+            filled = sum(len(s) + 1 for s in group)
         group.append(part)
+        filled += len(part) + 1
     yield from joined(group)
 
 

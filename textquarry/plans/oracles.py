@@ -570,9 +570,9 @@ ORACLES: dict[str, str] = {
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_used DESC, event_type) AS position
         FROM (SELECT user_id, event_type, max(ts) AS last_used FROM events GROUP BY ALL)) WHERE position <= 3""",
     "throttle_window": """SELECT event_type AS folder, time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour AS emitted_at,
-        count(*) AS changes FROM events GROUP BY ALL""",
+        count(*) AS changes, count(DISTINCT event_id) AS paths FROM events GROUP BY ALL""",
     "throttle_stream": """SELECT event_type AS folder, time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour AS emitted_at,
-        count(*) AS changes FROM events GROUP BY ALL""",
+        count(*) AS changes, count(DISTINCT event_id) AS paths FROM events GROUP BY ALL""",
     "stream_ingest": f"""{recursive(AFTER)} SELECT id, source, chunk, text_md5 FROM after""",
     "store_replay": f"""{recursive(AFTER)} SELECT a.* FROM after a WHERE a.source NOT LIKE '/corpus/src4/%'""",
 }

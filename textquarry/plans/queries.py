@@ -800,7 +800,7 @@ def _changes(events):
 
 @query
 def throttle_window(spark, sf):
-    return throttle_windows(_changes(table(spark, sf, "events")), "1 hour").select("folder", "emitted_at", "changes")
+    return throttle_windows(_changes(table(spark, sf, "events")), "1 hour")
 
 
 def _stream_of(spark, sf, name):
@@ -813,9 +813,9 @@ def _stream_of(spark, sf, name):
 def throttle_stream(spark, sf):
     """The same by a stream, with the windows that its watermark leaves open."""
     out = scratch_path(spark, "windows")
-    windows = throttle_windows(_changes(_stream_of(spark, sf, "events")), "1 hour", "0 seconds").select("folder", "emitted_at", "changes")
+    windows = throttle_windows(_changes(_stream_of(spark, sf, "events")), "1 hour", "0 seconds")
     write_windows(windows, out, scratch_path(spark, "windows-log"), {"availableNow": True}).awaitTermination()
-    return latest_windows(spark.read.schema("folder string, emitted_at timestamp, changes long, epoch int").parquet(out))
+    return latest_windows(spark.read.schema("folder string, emitted_at timestamp, path string, changes long, epoch int").parquet(out))
 
 
 @query

@@ -13,15 +13,26 @@ def _timed(changes: DataFrame) -> DataFrame:
     return changes.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def throttle_windows(changes: DataFrame, interval: str = "3 seconds", delay: str = "10 seconds") -> DataFrame:
-    """``folder, emitted_at, changes, paths`` per tumbling window of event time: counts that combine before the
-    shuffle, so a busy folder does not gather in one task."""
+def path_windows(changes: DataFrame, interval: str = "3 seconds", delay: str = "10 seconds") -> DataFrame:
+    """``folder, emitted_at, path, changes`` per tumbling window of event time. Counts combine before the shuffle, and a busy folder
+    is spread over its paths."""
     if changes.isStreaming:
         changes = _timed(changes).withWatermark("ts", delay)
-    windowed = changes.groupBy(F.window("ts", interval).alias("w"), "folder").agg(
-        F.count(F.lit(1)).alias("changes"), F.approx_count_distinct("path").alias("paths")
-    )
-    return windowed.select("folder", F.col("w.end").alias("emitted_at"), "changes", "paths")
+    windowed = changes.groupBy(F.window("ts", interval).alias("w"), "folder", "path").agg(F.count(F.lit(1)).alias("changes"))
+    return windowed.select("folder", F.col("w.end").alias("emitted_at"), "path", "changes")
+
+
+def fold_paths(windows: DataFrame) -> DataFrame:
+    """``folder, emitted_at, changes, paths``: the rows of ``path_windows`` by window, with the exact number of paths (a null is none).
+    A path is one row by now, so both numbers are plain sums that combine before the shuffle."""
+    return windows.groupBy("folder", "emitted_at").agg(F.sum("changes").alias("changes"), F.count("path").alias("paths"))
+
+
+def throttle_windows(changes: DataFrame, interval: str = "3 seconds", delay: str = "10 seconds") -> DataFrame:
+    """``folder, emitted_at, changes, paths`` per window. Of a stream, the windows by path: ``write_windows`` keeps those, and
+    ``latest_windows`` folds them."""
+    windows = path_windows(changes, interval, delay)
+    return windows if changes.isStreaming else fold_paths(windows)
 
 
 def stamp_windows(changes: DataFrame, interval: str = "3 seconds") -> DataFrame:
@@ -53,10 +64,9 @@ def write_windows(windows: DataFrame, path: str, checkpoint: str, trigger: dict
 
 
 def latest_windows(written: DataFrame) -> DataFrame:
-    """The last state of every window that ``write_windows`` kept."""
-    values = [c for c in written.columns if c not in ("folder", "emitted_at", "epoch")]
-    last = F.max(F.struct("epoch", *values)).alias("last")
-    return written.groupBy("folder", "emitted_at").agg(last).select("folder", "emitted_at", *[f"last.{c}" for c in values])
+    """The last state of every window that ``write_windows`` kept: of each path its last count, summed by window."""
+    last = F.max_by("changes", "epoch").alias("changes")
+    return fold_paths(written.groupBy("folder", "emitted_at", "path").agg(last))
 
 
 def every(spark, work: Callable[[], None], checkpoint: str, interval: str) -> StreamingQuery:
