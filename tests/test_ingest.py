@@ -210,6 +210,12 @@ def test_skip_reasons_are_capped(spark, n, listed, last):
     assert len(got) == listed and (got[-1] if got else None) == last
 
 
+def test_skipped_rows_are_all_there(spark):
+    got = oc.skipped_rows(outcomes_of(spark, 3000).repartition(4)).collect()
+    assert len(got) == 2000 and {r["skip_reason"] for r in got} == {"empty"}
+    assert oc.skipped_rows(outcomes_of(spark, 0)).count() == 0
+
+
 @pytest.mark.parametrize("blocks", [2, 16])
 def test_progress_is_a_running_total(spark, blocks):
     got = oc.ingest_progress(outcomes_of(spark, 500).repartition(7), blocks).orderBy("seq").collect()

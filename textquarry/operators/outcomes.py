@@ -28,7 +28,7 @@ def ingest_summary(outcomes: DataFrame) -> DataFrame:
 def skip_reasons(outcomes: DataFrame, limit: int = SKIP_REASON_LIMIT) -> DataFrame:
     """The first ``limit`` reasons in order as ``name: reason``, and one marker if there are more.
 
-    The sort stops at ``limit + 1`` rows in each task, so only that many ever reach the list. The outcomes are written
+    The sort stops at ``limit + 1`` rows in each task, so only that many ever reach the list (``skipped_rows`` has them all). The outcomes are written
     first: their filter would be pushed down, and the extraction behind it run twice.
     """
     skipped = materialize(outcomes).where("coalesce(skip_reason, '') <> ''")
@@ -45,6 +45,11 @@ def skip_reasons(outcomes: DataFrame, limit: int = SKIP_REASON_LIMIT) -> DataFra
     )
 
 
+def skipped_rows(outcomes: DataFrame) -> DataFrame:
+    """All skipped sources, ``seq, name, skip_reason`` a row each: no list and no limit, so any number of them will do."""
+    return outcomes.where("coalesce(skip_reason, '') <> ''").select("seq", "name", "skip_reason")
+
+
 def ingest_report(outcomes: DataFrame) -> DataFrame:
     """The summary and the capped list of skip reasons in one row."""
     outcomes = materialize(outcomes)
