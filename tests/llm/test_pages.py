@@ -1,9 +1,11 @@
+import math
 import random
+import time
 from html.parser import HTMLParser
 
 import pytest
 
-from textquarry.llm.html_density import extract_main_text, main_text
+from textquarry.llm.html_density import MATH, Node, _count, extract_main_text, main_text, parse
 from textquarry.llm.link_trust import TrustOptions, judge_urls
 from textquarry.llm.queries import QUERIES
 
@@ -86,6 +88,126 @@ def test_article_tags_do_not_decide(page, want):
     assert main_text(page) == want.strip()
 
 
+NAMES = "cookie-banner comment-list ad-slot site-nav related-posts comments-area advert-box newsletter-signup social-share adSlot".split()
+
+
+@pytest.mark.parametrize("name", [*NAMES, "comment_list", "div-comment-12"])
+@pytest.mark.parametrize("kind", ["class", "id"])
+def test_compound_names_of_boilerplate_are_dropped(name, kind):
+    block = f"<div {kind}='{name}'><p>{PROSE * 5}</p><p>{PROSE * 5}</p></div>"
+    assert main_text(f"<article><h1>Title</h1><p>{PROSE}</p>{block}<p>{PROSE}</p></article>") == f"Title {PROSE}{PROSE}".strip()
+    assert main_text(f"<div><div><p>{PROSE}</p><p>{PROSE}</p></div>{block}</div>") == f"{PROSE}{PROSE}".strip()
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div class=content-sidebar-wrap><div class=text><p>{PROSE}</p></div></div>", PROSE),
+    (f"<h1>Title</h1><div class=content-sidebar-wrap><div class=text><p>{PROSE}</p></div></div>", f"Title {PROSE}"),
+    (f"<div class=content-sidebar-wrap><main><p>{PROSE}</p></main><div class=comment-list><p>{PROSE}</p></div></div>", PROSE),
+    (f"<div class=ad-free><div class=comments-open><h2 id=share-prices>Prices</h2><p>{PROSE}</p></div></div>", f"Prices {PROSE}"),
+    (f"<div><p>{PROSE}</p><p>{PROSE}</p><div class=related-work><p>{PROSE}</p></div><div class=related-reading-tips><a href=1>{PROSE}</a></div></div>", PROSE * 3),
+    (f"<article><p>Short one.</p></article><div class=comment-list><p>{PROSE}</p></div>", "Short one."),
+])
+def test_compound_names_alone_do_not_decide(page, want):
+    assert main_text(page) == want.strip()
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body><h1>Headline</h1><p class=lead>In short.</p><div><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div></body>", f"Headline In short. {PROSE * 3}"),
+    (f"<body><div class=title><h1>Headline</h1></div><div class=byline>By A</div><div><p>{PROSE}</p><p>{PROSE}</p></div></body>", f"Headline By A {PROSE * 2}"),
+    (f"<body><p class=lead>In short.</p><div><p>{PROSE}</p><p>{PROSE}</p></div></body>", f"In short. {PROSE * 2}"),
+    (f"<body><div><a href=1>Home</a></div><h1>Headline</h1><ul><li><a href=2>x</a></ul><div><p>{PROSE}</p><p>{PROSE}</p></div></body>", f"Headline {PROSE * 2}"),
+    (f"<article><h1>Headline</h1><div><p>{PROSE}</p><p>{PROSE}</p></div></article>", f"Headline {PROSE * 2}"),
+])
+def test_headline_and_lead_belong_to_the_article(page, want):
+    assert main_text(page) == want.strip()
+
+
+def test_formulas_are_text():
+    formula = "<math><mi>x</mi><mo>=</mo><msup><mi>y</mi><mn>2</mn></msup><mi/><annotation encoding=tex>x=y^2</annotation></math>"
+    assert main_text(f"<div><p>{PROSE}with {formula} in it</p><p>{PROSE}</p></div>") == f"{PROSE}with x=y2 in it {PROSE}".strip()
+
+
+N = 100_000
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<div><p>" + PROSE + "</x>" * N, PROSE),
+    ("<div>" * 1000 + PROSE + "</x>" * N, PROSE),
+    (f"<div>{PROSE}" + "<div>" * N + "<header>x</header>" * N, PROSE),
+    (f"<p>{PROSE}</p>" + '<a "' * N, None),
+    (f"<p>{PROSE}</p>" + '<a x="' * (N + 1), None),
+    (f"<p>{PROSE}</p>" + "<a x=\"'>" * (N + 1), None),
+    (f"<p>{PROSE}</p>" + "<b c='>" * (N + 1), None),
+    (f"<p>{PROSE}</p><nav>" + "<i>" * N + "</u>" * N, PROSE),
+    (f"<p>{PROSE}</p><nav>" + "<i>" * N + "</i>" * N, PROSE),
+    ("<div class=ad-x>" * N + PROSE, PROSE),
+    ("<div>" + f"<article><a href=1>{PROSE}</a></article>" * (N // 10) + "</div>", None),
+    ("<script></script" * N, None),
+], ids=range(12))
+def test_odd_pages_take_linear_time(page, want):
+    start = time.process_time()
+    got = main_text(page)
+    assert time.process_time() - start < 5
+    assert want is None or got == want.strip()
+
+
+def test_an_open_quote_hides_no_text():
+    assert main_text(f"<p title=don't>{PROSE}it isn't</p>") == f"{PROSE}it isn't"
+    assert main_text(f'<p title="x>{PROSE}</p><p>{PROSE}</p>') == f"{PROSE}{PROSE}".strip()
+
+
+def plain_density(node, ratio):
+    """Characters, link characters, tags, link tags, density and sum of a node, by the formula, from the leaves up."""
+    c = lc = t = lt = own = 0
+    total = 0.0
+    for part in node.parts:
+        if isinstance(part, Node):
+            below = plain_density(part, ratio)
+            c, lc, total = c + below[0], lc + below[1], total + below[4]
+            if part.tag not in MATH and part.tag != "br":
+                t, lt = t + below[2] + 1, lt + below[3] + (part.tag == "a")
+        else:
+            own += len(part.strip())
+    c += own
+    if node.tag == "a":
+        lc = c
+
+    def density(c, lc, t, lt):
+        if c == 0:
+            return 0.0
+        one = lambda x: x or 1
+        base = math.log(c / one(c - lc) * lc + ratio * c + math.e)
+        arg = math.log(max(1.0, c / one(lc) * one(t) / one(lt)))
+        return c / one(t) * (arg if base <= 1 + 1e-12 else arg / math.log(base))
+
+    return c, lc, t, lt, density(c, lc, t, lt), total + density(own, own if node.tag == "a" else 0, 0, 0)
+
+
+def test_densities_and_sums_are_those_of_the_formula():
+    rng = random.Random(11)
+
+    def markup(depth):
+        tag = rng.choice(["div", "section", "a", "b", "span", "ul", "h2", "mi"])
+        return f"<{tag}>{inner(depth)}</{tag}>"
+
+    def inner(depth):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            parts.append("word " * rng.randrange(12))
+            if depth:
+                parts.append(markup(depth - 1))
+        return "".join(parts)
+
+    for _ in range(200):
+        root = parse(inner(4))
+        nodes = _count(root)
+        ratio = root.link_chars / max(root.chars, 1)
+        for node in nodes:
+            c, lc, t, lt, density, total = plain_density(node, ratio)
+            assert (node.chars, node.link_chars, node.tags, node.link_tags) == (c, lc, t, lt)
+            assert node.density == pytest.approx(density) and node.total == pytest.approx(total)
+
+
 def test_broken_markup_never_fails():
     rng = random.Random(3)
     bits = ["<p>", "</p>", "<div class='x'>", "</div>", "<a href=\"", "\">", "<!--", "-->", "<", ">", "text ", "<script>", "</script>", "<b", "&amp;", "&#x;", "</article>", "<article>", "'", "<nav>", "</nav>"]
