@@ -262,13 +262,17 @@ def plain_scores(pages, rules, options):
         for (a, _), n in way.items():
             every[a] = every.get(a, 0) + n
         score = dict(seed)
-        for _ in range(options.max_rounds):
+        for _ in range(200):
             new = dict(seed)
             for (a, b), n in way.items():
                 new[b] = new.get(b, 0) + options.damping * score.get(a, 0) * n / every[a]
             score = new
-        for h, s in score.items():
-            out.setdefault(h, [0, 0])[kind] = s
+        most = {h: 1.0 for h, x in seed.items() if x > 0}
+        for (a, b), n in way.items():
+            most[b] = most.get(b, 0) + options.damping * n / every[a]
+        for h, x in score.items():
+            if x:
+                out.setdefault(h, [0, 0])[kind] = x / most[h]
     return says, out
 
 
@@ -283,15 +287,50 @@ def test_hosts_are_judged_by_their_links(spark):
         pages.append((i, f"http://{host}/{rng.choice('xyz')}", [rng.choice(near) for _ in range(rng.randrange(4))]))
     link = lambda to: rng.choice([f'<a href="http://{to}/a">', f"<A HREF='//{to}?q'>", f"<a class=b href=https://{to}>"])
     df = spark.createDataFrame([(i, u, " ".join(map(link, ls))) for i, u, ls in pages], "page_id long, url string, html string").repartition(3)
-    options = TrustOptions(max_rounds=12, tolerance=0.0, threshold=0.6)
+    options = TrustOptions(threshold=0.3)
     says, scores = plain_scores(pages, rules, options)
     got = {r.page_id: r for r in judge_urls(df, rules, options).collect()}
     hit = set()
     for i, url, _ in pages:
         host = url.split("://")[1].split("/")[0]
         if got[i].rule is None:
-            trust, distrust = scores[host]
-            want = "block" if distrust >= 0.6 and distrust > trust else "allow"
+            trust, distrust = scores.get(host, (0, 0))
+            want = "block" if distrust >= 0.3 and distrust > trust else "allow"
             assert got[i].verdict == want
             hit.add(want)
     assert hit == {"allow", "block"}
+
+
+def judged(spark, rows, rules=(("bad.evil/", "block"), ("good.fine/", "allow")), options=TrustOptions()):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    return {r.host: r.verdict for r in judge_urls(df, rules, options).collect()}
+
+
+def test_verdicts_do_not_depend_on_how_many_link_to_a_blocked_host(spark):
+    link = "<a href=http://bad.evil/1>x</a>"
+    for m in (1, 2, 50):
+        rows = [("http://bad.evil/1", "")] + [(f"http://l{i}.example/", link) for i in range(m)]
+        rows.append(("http://clean.example/", link + "<a href=http://good.fine/>y</a>" * 60))
+        got = judged(spark, rows + [("http://good.fine/1", "")])
+        assert {v for h, v in got.items() if h.startswith("l")} == {"block"} and got["clean.example"] == "allow" and got["good.fine"] == "allow"
+
+
+def test_rounds_go_on_until_a_cycle_is_settled(spark):
+    from textquarry.llm.link_trust import propagate
+
+    seeds = spark.createDataFrame([("a", 0, 1.0)], "host string, kind int, seed double")
+    edges = spark.createDataFrame([("a", "b", 3), ("b", "a", 1)], "src string, dst string, n long")
+    got = {(r.host, r.kind): r.score for r in propagate(seeds, edges, TrustOptions(tolerance=1e-3)).collect()}
+    exact = 1 / (1 - 0.85**2)
+    assert got["a", 0] == pytest.approx(exact, rel=1e-2) and got["b", 0] == pytest.approx(0.85 * exact, rel=1e-2)
+    with pytest.raises(ValueError):
+        TrustOptions(damping=1.0)
+
+
+def test_only_links_of_the_page_count(spark):
+    bad = "//bad.evil/1"
+    none = [f"<!-- <a href={bad}> -->", f"<script>'<a href={bad}>'</script>", f"<style><a href={bad}></style>", f"<link href={bad}>", f"<a data-href={bad}>", f"<!-- <a href={bad}>"]
+    some = [f"<a class='x'href='{bad}'>", f"<AREA HREF = \"{bad}\">", f"<!-- x --><a\n href={bad}>", f"<script></script><a href={bad}>"]
+    rows = [("http://bad.evil/1", "")] + [(f"http://n{i}.x/", h) for i, h in enumerate(none)] + [(f"http://s{i}.x/", h) for i, h in enumerate(some)]
+    got = judged(spark, rows)
+    assert {h for h, v in got.items() if v == "block"} == {"bad.evil", *(f"s{i}.x" for i in range(len(some)))}

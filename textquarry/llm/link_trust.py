@@ -8,8 +8,17 @@ the links, so it reaches those who link to blocked hosts:
 
     score(h) = seed(h) + damping * sum over g -> h of score(g) * (share of g's links that go to h)
 
-Scores grow from round to round, so their total shows how far they still move. A host is blocked if its distrust is at least
-``threshold`` and above its trust. Each round is written to the shared folder.
+Scores grow from round to round, so their total shows how far they still move: rounds go on until it grows by no more than
+``tolerance`` of itself, which takes at most log(tolerance) / log(damping) of them, whatever the graph. Each round is written to the
+shared folder.
+
+A score is divided among all neighbours, so it shrinks as a graph grows. Verdicts go by relative scores: a score over the most that
+the host could have received, were all its neighbours' scores one (and its seed one, where it has one). A host is blocked if its
+relative distrust is at least ``threshold`` and above its relative trust: one that links to blocked hosts alone is, however many
+others do so too.
+
+Links are the ``href`` of <a> and <area> tags to an address with a host, outside of comments, scripts and styles; a tag is read up to
+the next ``<`` or ``>``, and references within a host are not decoded.
 
 Built-in functions throughout; urls and html are read once each and never move, only host pairs and counts do. Nulls: a null url, or
 one without ``://``, has an empty host and path, fits no rule and is allowed; null html has no links. Repeated rows are judged and
@@ -29,7 +38,8 @@ from textquarry.llm.common import stored
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
+_NO_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script|\z)|<style\b.*?(?:</style|\z)"
+_LINK = r"""(?i)<(?:a|area)\s(?:[^<>]*?[\s"'/])?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
 
 @dataclass(frozen=True)
@@ -37,7 +47,10 @@ class TrustOptions:
     damping: float = 0.85
     threshold: float = 0.5
     tolerance: float = 1e-6
-    max_rounds: int = 30
+
+    def __post_init__(self):
+        if not (0 <= self.damping < 1 and 0 < self.tolerance < 1):
+            raise ValueError("damping has to be in [0, 1), tolerance in (0, 1)")
 
 
 def _lower(host: Column) -> Column:
@@ -71,14 +84,14 @@ def rule_verdict(rule: Column, rules: tuple[tuple[str, str], ...]) -> Column:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """``src, dst, n``: links between different hosts, from the whole html of every page. ``pages``: ``host, html``."""
-    links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), F.lit(1))
+    links = F.regexp_extract_all(F.regexp_replace(F.coalesce("html", F.lit("")), _NO_MARKUP, " "), F.lit(_LINK), F.lit(1))
     each = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(links).alias("dst"))
     each = each.select("src", _lower(F.col("dst")).alias("dst")).where("src <> dst")
     return each.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, options: TrustOptions = TrustOptions()) -> DataFrame:
-    """``host, kind, score``. ``seeds``: ``host, kind, seed``, kind 0 for trust and 1 for distrust. ``edges``: ``src, dst, n``."""
+    """``host, kind, score, most``, the last being what the score could be at most. ``seeds``: ``host, kind, seed``, kind 0 for trust and 1 for distrust. ``edges``: ``src, dst, n``."""
     forth = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), "n", F.lit(0).alias("kind"))
     back = edges.select(F.col("dst").alias("host"), F.col("src").alias("to"), "n", F.lit(1).alias("kind"))
     steps = stored(forth.unionByName(back), "steps")
@@ -88,14 +101,16 @@ def propagate(seeds: DataFrame, edges: DataFrame, options: TrustOptions = TrustO
     seeds = stored(seeds.where("seed > 0"), "seeds")
     start = seeds.select("host", "kind", F.col("seed").alias("score"))
     scores, total = start, start.agg(F.sum("score")).first()[0] or 0.0
-    for _ in range(options.max_rounds):
+    while True:
         moved = steps.join(scores, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("score") * F.col("share")).alias("score"))
         scores = stored(start.unionByName(moved).groupBy("host", "kind").agg(F.sum("score").alias("score")), "scores")
         now = scores.agg(F.sum("score")).first()[0] or 0.0
         if now - total <= options.tolerance * max(total, 1e-300):
             break
         total = now
-    return scores
+    most = start.select("host", "kind", F.lit(1.0).alias("most")).unionByName(steps.select(F.col("to").alias("host"), "kind", F.col("share").alias("most")))
+    each = scores.withColumn("most", F.lit(0.0)).unionByName(most.withColumn("score", F.lit(0.0)))
+    return each.groupBy("host", "kind").agg(F.sum("score").alias("score"), F.sum("most").alias("most"))
 
 
 def judge_urls(
@@ -112,9 +127,8 @@ def judge_urls(
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("allowed").alias("k")), F.struct(F.lit(1).alias("kind"), F.col("blocked").alias("k")))
     seeds = counts.select("host", "n", F.explode(kinds).alias("s")).select("host", "s.kind", (F.col("s.k") / F.col("n")).alias("seed"))
     scores = propagate(seeds, host_edges(named.select("host", "html")), options)
-    both = scores.groupBy("host").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("score")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == 1, F.col("score")).otherwise(0.0)).alias("distrust")
-    )
+    share = lambda kind: F.max(F.when(F.col("kind") == kind, F.try_divide("score", "most")).otherwise(0.0))
+    both = scores.groupBy("host").agg(share(0).alias("trust"), share(1).alias("distrust"))
     blocked = (F.col("distrust") >= options.threshold) & (F.col("distrust") > F.col("trust"))
     verdicts = stored(both.where(blocked).select("host", F.lit("block").alias("host_says")), "blocked-hosts")
     joined = said.join(verdicts, "host", "left")

@@ -108,8 +108,8 @@ FROM d LEFT JOIN a USING (r)
 
 
 
-def _trust(rounds: int = 30) -> str:
-    """Rules by case, longest first, and the rounds of trust and distrust one after the other."""
+def _trust(rounds: int = 86) -> str:
+    """Rules by case, longest first, and the rounds of trust and distrust one after the other, until 0.85 ** rounds < 1e-6."""
     fits = lambda domain, path: f"(host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '{path}')"
     first = r"""
 WITH u AS (SELECT row_number() OVER () AS r, page_id, html,
@@ -124,8 +124,9 @@ said AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
 seeds AS (SELECT host, kind, CASE kind WHEN 0 THEN allowed ELSE blocked END / n AS score
           FROM (SELECT host, count(*) AS n, count(*) FILTER (said = 'allow') AS allowed, count(*) FILTER (said = 'block') AS blocked
                 FROM said WHERE host <> '' GROUP BY host), (VALUES (0), (1)) AS k(kind)),
-links AS (SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''),
-                 '(?i)\\bhref\\s*=\\s*["'']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\\s<>]+)', 1)),
+links AS (SELECT host AS src, translate(unnest(regexp_extract_all(regexp_replace(coalesce(html, ''),
+                 '(?is)<!--.*?(?:-->|\\z)|<script\\b.*?(?:</script|\\z)|<style\\b.*?(?:</style|\\z)', ' ', 'g'),
+                 '(?i)<(?:a|area)\\s(?:[^<>]*?[\\s"''/])?href\\s*=\\s*["'']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\\s<>]+)', 1)),
                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM u WHERE host <> ''),
 e AS (SELECT src, dst, count(*) AS n FROM links WHERE src <> dst GROUP BY ALL),
 both_ways AS (SELECT src AS host, dst AS towards, n, 0 AS kind FROM e UNION ALL SELECT dst, src, n, 1 FROM e),
@@ -137,10 +138,12 @@ s{i} AS MATERIALIZED (SELECT host, kind, sum(score) AS score FROM (SELECT host,
        SELECT towards, s.kind, s.score * share FROM s{i - 1} AS s JOIN steps USING (host, kind)) GROUP BY host, kind)"""
         for i in range(1, rounds + 1)
     )
-    last = f"""
+    last = f""",
+most AS (SELECT host, kind, sum(most) AS most FROM (SELECT host, kind, 1::DOUBLE AS most FROM seeds WHERE score > 0
+                                                    UNION ALL SELECT towards, kind, share FROM steps) GROUP BY host, kind)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN distrust >= 0.5 AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
-FROM said LEFT JOIN (SELECT host, coalesce(sum(score) FILTER (kind = 0), 0) AS trust, coalesce(sum(score) FILTER (kind = 1), 0) AS distrust
-                     FROM s{rounds} GROUP BY host) USING (host)
+FROM said LEFT JOIN (SELECT host, coalesce(max(score / most) FILTER (kind = 0), 0) AS trust, coalesce(max(score / most) FILTER (kind = 1), 0) AS distrust
+                     FROM s{rounds} JOIN most USING (host, kind) GROUP BY host) USING (host)
 """
     return first + rules + each + last
 
