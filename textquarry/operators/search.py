@@ -14,6 +14,7 @@ from textquarry.functions.vectors import score, shown_distance
 from textquarry.operators import collections as coll
 from textquarry.operators.approximate import nearest_probed
 from textquarry.operators.hits import answer_context, answer_prompt
+from textquarry.operators.inverted_file import InvertedFile, nearest_filed
 from textquarry.operators.nearest import MAX_BROADCAST_QUERIES, nearest
 from textquarry.schema import HIT_DEFAULTS, hit_field
 
@@ -59,11 +60,12 @@ def search(
     collections: DataFrame | None = None,
     carry: Sequence[str] | None = None,
     max_broadcast: int = MAX_BROADCAST_QUERIES,
-    approximate: bool = False,
+    approximate: bool | InvertedFile = False,
 ) -> DataFrame:
     """The ``k`` best chunks of every query, nearest first: ``qid, rank, id, distance, score`` and the carried columns.
 
-    With ``approximate``, only the buckets near a query are searched (see ``operators.approximate``). ``min_score`` cuts the ranked list by the rounded score; it never changes which chunks are ranked.
+    With a trained index as ``approximate``, only the cells near a query are searched (see ``operators.inverted_file``), with
+    ``True`` the buckets of fixed hyperplanes (see ``operators.approximate``). ``min_score`` cuts the ranked list by the rounded score; it never changes which chunks are ranked.
     """
     check_top_k(k)
     check_min_score(min_score)
@@ -74,11 +76,13 @@ def search(
     carry = _carried(chunks, carry)
     # An id is unique within its collection only.
     place = ["collection"] if "collection" in chunks.columns and "collection" not in carry else []
-    bucket = ["bucket"] if approximate and "bucket" in chunks.columns else []
+    filed = "cell" if isinstance(approximate, InvertedFile) else "bucket"
+    bucket = [filed] if approximate and filed in chunks.columns else []
     candidates = _candidates(chunks, where, [*place, *bucket, *carry])
     key = ["id", *[c for c in candidates.columns if c == "collection"]]
     if approximate:
-        found = nearest_probed(queries, candidates, k, key=key)
+        filed = isinstance(approximate, InvertedFile)
+        found = nearest_filed(queries, candidates, approximate, k, key) if filed else nearest_probed(queries, candidates, k, key=key)
         hits = _scored(found.join(candidates.drop("embedding"), key))
     else:
         hits = _scored(nearest(queries, candidates, k, max_broadcast=max_broadcast, key=key))

@@ -492,6 +492,8 @@ ORACLES: dict[str, str] = {
     "knn_lsh": f"{PROBED} SELECT * FROM found",
     "knn_lsh_recall": f"""{PROBED} SELECT b.qid, count(f.id) AS found, count(*) AS wanted
         FROM best b LEFT JOIN found f ON f.qid = b.qid AND f.id = b.id GROUP BY b.qid""",
+    "knn_ivf_recall": f"""WITH {VECTORS}, best AS (SELECT * FROM ({ranked('pairs', '')}) WHERE rank <= 5)
+        SELECT count(DISTINCT qid) AS queries, count(*) AS wanted, true AS reached FROM best""",
     "embed_hash": f"""WITH {cells('x', DOCS)}
         SELECT k AS doc_id, CAST(dim AS INTEGER) AS dim, round(weight, 6) AS weight FROM x""",
     "search_text": text_search("SELECT * FROM hits"),

@@ -24,6 +24,7 @@ from textquarry.operators import hits as ht
 from textquarry.operators import outcomes as oc
 from textquarry.operators.approximate import nearest_probed, recall
 from textquarry.operators.ingest import IngestOptions, ingest_files, ingest_table, known_files, known_rows, table_texts
+from textquarry.operators.inverted_file import nearest_filed, train
 from textquarry.operators.nearest import nearest
 from textquarry.operators.search import contexts, contexts_many, search, search_many
 from textquarry.plans import inputs as src
@@ -664,6 +665,21 @@ def knn_lsh_recall(spark, sf):
     return recall(nearest_probed(queries, rows, k=5), nearest(queries, rows.select("id", "embedding"), 5))
 
 
+@query
+def knn_ivf(spark, sf):
+    """Hits by an inverted file that is trained on the rows."""
+    queries, rows = _vectors(spark, sf)
+    return search(queries, rows, k=5, carry=["label"], approximate=train(rows, k=5))
+
+
+@query
+def knn_ivf_recall(spark, sf):
+    """How many neighbours were asked for, and whether nine tenths of them or more were found."""
+    queries, rows = _vectors(spark, sf)
+    each = recall(nearest_filed(queries, rows, train(rows, k=5), 5), nearest(queries, rows.select("id", "embedding"), 5))
+    return each.agg(F.count(F.lit(1)).alias("queries"), F.sum("wanted").alias("wanted"), (F.sum("found") >= F.sum("wanted") * 0.9).alias("reached"))
+
+
 @query
 def embed_hash(spark, sf):
     """Non-zero cells of the built-in embedding of every document."""
