@@ -56,14 +56,8 @@ def test_flatten_json(spark, value, text):
 
 
 def test_flatten_json_depth_and_errors(spark):
-    deep = "x"
-    for _ in range(70):
-        deep = [deep]
-    assert one(spark, tx.flatten_json, json.dumps(deep)) == ""
-    shallow = "x"
-    for _ in range(64):
-        shallow = [shallow]
-    assert one(spark, tx.flatten_json, json.dumps(shallow)) == "x"
+    for levels in (70, 1000):
+        assert one(spark, tx.flatten_json, "[" * levels + '"x", 1' + "]" * levels) == "x 1"
     assert one(spark, tx.flatten_json, "{not json") is None
 
 
@@ -156,4 +150,5 @@ def test_scalars_of_a_very_deep_value():
     value = "x"
     for _ in range(100_000):
         value = [value]
-    assert tx.scalars(value) == ""
+    assert tx.scalars(value) == "x"
+    assert tx.scalars(value, max_depth=64) == "" and tx.scalars([[["x"]]], max_depth=3) == "x" and tx.scalars([[["x"]]], max_depth=2) == ""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+import math
 import string
 
 import pandas as pd
@@ -108,7 +109,7 @@ def _outside_dropped(marked: Column) -> Column:
     its name and all in it, one without a start tag is passed over, and an element that never ends holds the rest.
     """
     pieces = F.split(marked, f"(?=[{_OPEN}{_CLOSE}])", -1)
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("kept"))
+    start = F.struct(F.lit("").alias("open"), F.lit("").alias("kept"))
 
     def step(state: Column, piece: Column) -> Column:
         name = F.substring(piece, 2, 1)
@@ -119,10 +120,15 @@ def _outside_dropped(marked: Column) -> Column:
             .when(closing & F.contains(state["open"], name), popped)
             .otherwise(state["open"])
         )
-        text = F.when(opening | closing, F.substr(piece, F.lit(3))).otherwise(piece)
-        return F.struct(stack.alias("open"), F.when(stack == "", F.concat(state["kept"], F.array(text))).otherwise(state["kept"]).alias("kept"))
+        return F.struct(stack.alias("open"), F.concat(state["kept"], F.when(stack == "", "1").otherwise("0")).alias("kept"))
 
-    return F.array_join(F.aggregate(pieces, start, step)["kept"], _NODE)
+    def text(piece: Column, flag: Column) -> Column:
+        marked_piece = F.startswith(piece, F.lit(_OPEN)) | F.startswith(piece, F.lit(_CLOSE))
+        return F.when(flag == "1", F.when(marked_piece, F.substr(piece, F.lit(3))).otherwise(piece))
+
+    # The fold leaves a flag per piece, and the join passes over nulls, so pieces are not copied from step to step.
+    flags = F.split(F.aggregate(pieces, start, step)["kept"], "")
+    return F.array_join(F.zip_with(pieces, flags, text), _NODE)
 
 
 def html_to_text(page: Column) -> Column:
@@ -157,28 +163,26 @@ def created_at(doc_created: Column) -> Column:
 
 # --- JSON ---------------------------------------------------------------------------------------------------------
 
-MAX_JSON_DEPTH = 64
-
-
-def scalars(document) -> str:
-    """Text of a parsed JSON value: its scalars in order, joined by a space. A null in an array, an empty array or object
-    and whatever lies deeper than ``MAX_JSON_DEPTH`` count as an empty scalar; nulls of an object are left out."""
+def scalars(document, max_depth: float = math.inf) -> str:
+    """Text of a parsed JSON value: its scalars in order, joined by a space. A null in an array, an empty array or object and
+    whatever lies deeper than ``max_depth`` count as an empty scalar; nulls of an object are left out."""
     found: list[str] = []
     waiting = [(document, 0)]  # last in, first out: members go in backwards
     while waiting:
         value, depth = waiting.pop()
         members = [v for v in value.values() if v is not None] if isinstance(value, dict) else value
-        if isinstance(members, list) and members and depth <= MAX_JSON_DEPTH:
+        if isinstance(members, list) and members and depth <= max_depth:
             waiting += [(v, depth + 1) for v in reversed(members)]
         else:
-            blank = value is None or depth > MAX_JSON_DEPTH or isinstance(members, list)
+            blank = value is None or depth > max_depth or isinstance(members, list)
             found.append("" if blank else str(value))
     return " ".join(found)
 
 
 @F.pandas_udf(T.StringType())
 def flatten_json(docs: pd.Series) -> pd.Series:
-    """Every scalar of a JSON text in document order; null for text that is not JSON."""
+    """Every scalar of a JSON text in document order, at any depth that the parser reads (thousands of levels); null for text that is
+    not JSON or nested deeper."""
 
     def flatten(doc):
         try:
