@@ -1,8 +1,11 @@
+import os
+
 import pytest
 
 from textquarry.errors import CollectionExistsError, CollectionNotFoundError, SourceNotFoundError
 from textquarry.library import TextLibrary
 from textquarry.operators.ingest import IngestOptions
+from textquarry.sources.files import stored_path
 
 
 def test_life_of_a_collection(spark, tmp_path):
@@ -48,7 +51,12 @@ def test_life_of_a_collection(spark, tmp_path):
     live = spark.createDataFrame([(str(docs / "fox.txt"),)], "source string")
     assert tuple(lib.purge("journal", live).first()) == (2, 1)
     assert [r["source"] for r in lib.sources("journal").collect()] == [str(docs / "fox.txt")]
-    gone = lib.delete_sources("journal", [str(docs / "fox.txt"), "/none"])
+    plain = lib.query("fox", "journal", k=1)
+    filed = lib.query("fox", "journal", k=1, approximate=lib.train_index("journal"))
+    assert filed.select("id", "score").collect() == plain.select("id", "score").collect() != []
+    relative = os.path.relpath(docs / "fox.txt")
+    gone = lib.delete_sources("journal", [relative, "/none"])
+    assert {r["source"]: r["chunks_deleted"] for r in gone.collect()} == {relative: 1, "/none": 0}
     assert sorted(r["chunks_deleted"] for r in gone.collect()) == [0, 1]
     assert lib.source_counts("journal").count() == 0 and lib.query("fox", "journal").count() == 0
 
@@ -79,3 +87,9 @@ def test_watched_collection(spark, tmp_path):
     (docs / "a.txt").write_text("other " * 20)
     assert lib.reconcile(str(docs), "seen").first()["sources_ingested"] == 1
     assert lib.chunks("seen").first()["text"].startswith("other")
+
+
+def test_paths_are_named_as_they_are_stored():
+    assert stored_path("file:///a/b/../c.txt") == stored_path("file:/a/c.txt") == stored_path("/a/./c.txt") == "/a/c.txt"
+    assert stored_path("c.txt") == os.path.join(os.getcwd(), "c.txt")
+    assert stored_path("hdfs://x/c.txt") == "hdfs://x/c.txt" and stored_path("/db::t") == "/db::t"

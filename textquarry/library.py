@@ -26,12 +26,13 @@ from textquarry.operators import collections as coll
 from textquarry.operators.changes import purge_counts, stale_sources
 from textquarry.operators.hits import answer_context, answer_prompt
 from textquarry.operators.ingest import Ingest, IngestOptions, ingest_files, ingest_table
+from textquarry.operators.inverted_file import InvertedFile, train
 from textquarry.operators.outcomes import ingest_report
 from textquarry.operators.search import embed_queries, search, search_many
 from textquarry.schema import conform
 from textquarry.session import apply_defaults, materialize
 from textquarry.sinks.store import ChunkStore
-from textquarry.sources.files import list_files, scan_files, scan_paths
+from textquarry.sources.files import list_files, scan_files, scan_paths, stored_path
 from textquarry.sources.tables import open_table
 from textquarry.streaming.watch import follow_folder, reconcile, watch_folder
 
@@ -177,13 +178,13 @@ class TextLibrary:
         k: int = 5,
         where: Mapping | None = None,
         min_score: float | None = None,
-        approximate: bool = False,
+        approximate: bool | InvertedFile = False,
     ) -> DataFrame:
         """Ranked hits for one text, a list of texts, or a table of ``qid, query_text``.
 
         One name searches that collection, which must exist; a list merges the ones that exist. Queries are embedded
         by the model of the collection; merged collections must share theirs. One collection can be searched
-        approximately.
+        approximately, best by an index that ``train_index`` made.
         """
         if isinstance(name, str):
             model = self._get(name)["embedding_model"] or DEFAULT_MODEL
@@ -194,6 +195,11 @@ class TextLibrary:
         model = models[0][0] if models else DEFAULT_MODEL
         return search_many(self._queries(queries, model), self.chunks(*name), name, k=k, where=where, min_score=min_score)
 
+    def train_index(self, name: str, k: int = 5, recall: float = 0.9) -> InvertedFile:
+        """An index for ``query(approximate=…)`` over the collection as it is now; keep it with its ``save``."""
+        self._get(name)
+        return train(self.chunks(name), k, recall)
+
     def request(self, text: str, name: str | Sequence[str], k: int = 5, where: Mapping | None = None, min_score: float | None = None) -> DataFrame:
         """``query`` for one text from outside, within the limits on the text, the number of results and the filter."""
         check_request(text, k, where)
@@ -220,12 +226,19 @@ class TextLibrary:
         return coll.stats_of(self.chunks(name), self.collections(), name)
 
     def delete_sources(self, name: str, gone: DataFrame | Sequence[str]) -> DataFrame:
-        """Drop sources as they are stored; returns the chunks dropped per source."""
+        """Drop sources; returns the chunks dropped per source, 0 where nothing was stored for it.
+
+        A table names sources as they are stored. In a list, a path may also be relative or with ``file:``.
+        """
         found = self._get(name)
-        if not isinstance(gone, DataFrame):
-            gone = self.spark.createDataFrame([(s,) for s in gone], "source string")
-        counts = materialize(coll.deletion_counts(self.chunks(name), name, gone))
-        self.store.remove(found["id"], gone)
+        if isinstance(gone, DataFrame):
+            asked = gone.select("source", F.col("source").alias("asked")).distinct()
+        else:
+            names = [(kept, s) for s in dict.fromkeys(gone) for kept in dict.fromkeys([s, stored_path(s)])]
+            asked = self.spark.createDataFrame(names, "source string, asked string")
+        each = coll.deletion_counts(self.chunks(name), name, asked).join(asked, "source")
+        counts = materialize(each.groupBy(F.col("asked").alias("source")).agg(F.sum("chunks_deleted").alias("chunks_deleted")))
+        self.store.remove(found["id"], asked)
         return counts
 
     def purge(self, name: str, live: DataFrame) -> DataFrame:

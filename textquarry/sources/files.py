@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -42,6 +44,13 @@ def _plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def stored_path(source: str) -> str:
+    """A local path as a collection stores it: absolute, without scheme. Tables (``::``) and other schemes stay."""
+    if "::" in source or re.match(r"(?!file:)[A-Za-z][A-Za-z0-9+.-]+:", source):
+        return source
+    return os.path.abspath(re.sub(r"^file:/+", "/", source))
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every file below ``folder``: ``path, modified, length, content``. Unused columns are never read.
 
