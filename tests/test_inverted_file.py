@@ -95,6 +95,19 @@ def test_blocks_of_queries_give_the_same(spark, clustered, monkeypatch):
     assert rows() == whole
 
 
+def test_a_task_gives_k_hits_per_query_however_many_cells_it_probes(spark, clustered):
+    from textquarry.operators.inverted_file import probed_cells
+    from textquarry.operators.nearest import _nearest_broadcast
+
+    index = InvertedFile(train(clustered).centroids, 100.0)  # every cell is probed
+    rows = with_cell(clustered, index).where("cell IS NOT NULL").select("id", "embedding", "cell").coalesce(2)
+    sizes = {r.cell: r["count"] for r in rows.groupBy("cell").count().collect()}
+    queries = probed_cells(asked(clustered), index, sizes, 5).withColumnRenamed("cells", "cell")
+    assert queries.select(F.min(F.size("cell"))).first()[0] == len(sizes) > 20
+    hits = _nearest_broadcast(queries.toArrow(), queries, rows, 5, None, "cell", ["id"])
+    assert hits.count() <= 2 * 5 * queries.count()
+
+
 def test_odd_tables(spark, clustered):
     none = clustered.limit(0)
     index = train(none)

@@ -249,3 +249,51 @@ def test_answers_by_a_generator_of_ones_own(spark):
 
     prompts = spark.createDataFrame([(1, "ctx", "why?"), (2, "ctx", None)], "qid long, context string, prompt string")
     assert {r["qid"]: r["answer"] for r in ht.generate_answers(prompts, shout).collect()} == {1: "WHY?", 2: None}
+
+
+def test_more_blocks_are_no_more_jobs(spark, data):
+    """Rows are packed once, and every block of queries meets them in the same job."""
+    _, _, q, r = data
+
+    def jobs(blocks, **kwargs):
+        spark.sparkContext.setJobGroup(f"blocks-{blocks}-{len(kwargs)}", "")
+        try:
+            nearest(q, r.select("id", "embedding", "label"), 3, max_broadcast=blocks, **kwargs).collect()
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"blocks-{blocks}-{len(kwargs)}"))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    assert jobs(2) <= jobs(20) + 2
+    assert jobs(2, group="label") <= jobs(20, group="label") + 2
+
+
+def test_scores_out_of_the_range_of_single_floats(spark):
+    """What single floats cannot tell apart is measured in double precision; a row that is no number hides no other."""
+    rng = np.random.default_rng(7)
+    for centre, width in ((1000.0, 0.01), (1e20, 1e18), (0.0, 1e-6)):
+        v = centre + rng.normal(size=(200, 8)) * width
+        rows = spark.createDataFrame([(f"{i:04d}", x.tolist()) for i, x in enumerate(v)] + [("nan", [float("nan")] * 8)], "id string, embedding array<double>")
+        q = rows.where("id < '0020'").select(F.col("id").alias("qid"), "embedding")
+        for blocks in (1000, 7):
+            got = {(h.qid, h["rank"]): h for h in nearest(q, rows.repartition(3), 4, max_broadcast=blocks).collect()}
+            assert len(got) == 80
+            for i in range(20):
+                far = np.sort(((v - v[i]) ** 2).sum(1))
+                for n in range(4):
+                    assert abs(got[f"{i:04d}", n + 1].distance - far[n]) <= max(1e-8, 1e-9 * centre**2)
+
+
+def test_scores_are_held_in_small_pieces():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from textquarry.operators.nearest import _Best
+
+    rng = np.random.default_rng(3)
+    best, vectors = _Best(rng.normal(size=(4096, 16)), 5, ["id"]), rng.normal(size=(4000, 16))
+    tracemalloc.start()
+    best.offer(vectors, pa.table({"id": np.arange(4000)}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20

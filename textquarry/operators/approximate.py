@@ -72,11 +72,11 @@ def nearest_probed(
     rows = (rows if stored else with_bucket(rows, bits)).select(*keys, "embedding", "bucket")
     patterns = F.array(*[F.lit(p) for p in probes(bits, radius)])
     probing = with_bucket(queries.select("qid", "embedding"), bits).select(
-        "qid", "embedding", F.explode(F.transform(patterns, lambda p: F.col("bucket").bitwiseXOR(p))).alias("bucket")
+        "qid", "embedding", F.transform(patterns, lambda p: F.col("bucket").bitwiseXOR(p)).alias("bucket")
     )
     probed = rows
     if stored:
-        probed = rows.where(F.col("bucket").isin([r[0] for r in probing.select("bucket").distinct().collect()]))
+        probed = rows.where(F.col("bucket").isin([r[0] for r in probing.select(F.explode("bucket")).distinct().collect()]))
     shown = ["qid", *keys, "distance", "rank"]
     # Written once: which queries came short and their hits are both read from it.
     found = materialize(nearest(probing, probed, k, probe="bucket", key=keys).select(*shown))

@@ -20,13 +20,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +36,7 @@ SAMPLE_PER_CELL = 16
 MAX_CELLS = 1024
 ROUNDS = 20
 SLACK = 0.03  # share of neighbours aimed at above the wanted one, for what a sample cannot tell
-MAX_HELD = 1_000_000  # hits that one task may hold: k per query and probed cell
+MAX_HELD = 1_000_000  # probed cells that one block of queries may name
 
 
 @dataclass(frozen=True, eq=False)
@@ -164,43 +162,11 @@ def probed_cells(queries: DataFrame, index: InvertedFile, sizes: dict[int, int],
     return queries.select("qid", "embedding").mapInArrow(choose, schema)
 
 
-def _search(held: pa.Table, rows: DataFrame, k: int, key: list[str]) -> DataFrame:
-    """Hits of one block of queries: k per task, query and probed cell, still to be ranked."""
-    schema = T.StructType([held_field(rows, held), T.StructField("distance", T.DoubleType()), *[f for f in rows.schema.fields if f.name in key]])
-    shape = exact._arrow_schema(schema)
-    matrix, qids = exact._vectors(held.column("embedding")), held.column("qid").combine_chunks()
-    cells = held.column("cells").combine_chunks()
-    lengths = pc.list_value_length(cells).to_numpy(zero_copy_only=False)
-    asking = np.repeat(np.arange(len(matrix)), lengths)
-    flat = cells.flatten().to_numpy(zero_copy_only=False)
-    by_cell = {int(c): asking[flat == c] for c in np.unique(flat)}
-    shared = rows.sparkSession.sparkContext.broadcast((matrix, qids, by_cell))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, qids, by_cell = shared.value
-        best: dict[int, exact._Best] = {}
-        for batch in batches:
-            for cell, part in exact._parts(exact._embedded(batch), "cell"):
-                if cell in by_cell and part.num_rows:
-                    if cell not in best:
-                        best[cell] = exact._Best(matrix[by_cell[cell]], k, key)
-                    best[cell].offer(exact._vectors(part.column("embedding")), part.drop_columns(["embedding", "cell"]))
-        for cell, state in best.items():
-            yield from exact._emit(state, qids.take(pa.array(by_cell[cell])), shape)
-
-    return rows.where(F.col("cell").isin(sorted(by_cell))).mapInArrow(work, schema)
-
-
-def held_field(rows: DataFrame, held: pa.Table) -> T.StructField:
-    from pyspark.sql.pandas.types import from_arrow_type
-
-    return T.StructField("qid", from_arrow_type(held.schema.field("qid").type))
-
-
 def nearest_filed(queries: DataFrame, rows: DataFrame, index: InvertedFile, k: int, key: Sequence[str] = ("id",)) -> DataFrame:
     """The ``k`` nearest rows among the probed cells of every query: ``qid``, the ``key`` of the row, ``distance, rank``.
 
-    ``rows`` may come with their ``cell``. Queries go out in blocks bounded by their number and by the hits that they can make.
+    ``rows`` may come with their ``cell``. A task holds k hits per query, however many cells the query probes. Queries go
+    out in blocks bounded by their number and by the cells that they name (see ``operators.nearest``).
     """
     keys = list(dict.fromkeys(["id", *key]))
     filed = (rows if "cell" in rows.columns else materialize(with_cell(rows.select(*keys, "embedding"), index))).select(*keys, "embedding", "cell")
@@ -208,15 +174,9 @@ def nearest_filed(queries: DataFrame, rows: DataFrame, index: InvertedFile, k: i
     sizes = {r.cell: r["n"] for r in filed.where("cell IS NOT NULL").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     probing = materialize(probed_cells(queries, index, sizes, k))
     many = probing.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("cells")).alias("probes")).first()
-    blocks = max(1, math.ceil(many["n"] / exact.MAX_BROADCAST_QUERIES), math.ceil((many["probes"] or 0) * k / MAX_HELD))
-    order = Window.partitionBy("qid").orderBy("distance", *keys)
-
-    def ranked(held: pa.Table) -> DataFrame:
-        return _search(held, filed, k, keys).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-    if blocks == 1:
-        found = ranked(probing.toArrow())
-    else:
-        parts = (probing.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) for i in range(blocks))
-        found = reduce(DataFrame.unionByName, [materialize(ranked(p.toArrow())) for p in parts])
+    block = max(1, min(exact.MAX_BROADCAST_QUERIES, MAX_HELD * many["n"] // max(1, many["probes"] or 0)))
+    probed = {r[0] for r in probing.select(F.explode("cells")).distinct().collect()}
+    if probed < sizes.keys():
+        filed = filed.where(F.col("cell").isin(sorted(probed)))
+    found = exact.nearest(probing.withColumnRenamed("cells", "cell"), filed, k, probe="cell", max_broadcast=block, key=keys)
     return found.select("qid", *keys, "distance", "rank")

@@ -1,18 +1,20 @@
 """Exact nearest neighbours of a batch of queries, without ever forming the pairs as rows.
 
-Each task streams its chunks through Arrow batches, computes one block of distances at a time as a matrix product and
+Each task streams its chunks through Arrow batches, computes one block of scores at a time as a matrix product and
 keeps only the k best per query, so a task emits k rows per query whatever the size of the corpus. A window then ranks
 these few rows. Ties are broken by id everywhere, so the result does not depend on the partitioning.
 
-A query batch is sent to the tasks only after its size has been checked. A larger one is cut into blocks, each sent in
-turn; a query's hits come from its own block alone, so the result is the same.
+Scores are single floats with a bound on their error: what they cannot rule out is measured in double precision, and
+that distance alone decides.
+
+A query batch is sent to the tasks only after its size has been checked. Of a larger one, blocks of queries and blocks of
+rows are packed by the executors, and every block of queries meets every block of rows in one cartesian product of
+blocks: rows and queries move once, and the driver sees neither.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textquarry.functions.vectors import COMPARE_DIGITS
-from textquarry.session import materialize
+from textquarry.session import apply_defaults, materialize
 
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 128 * 1024 * 1024
 MAX_HELD_HITS = 200_000  # k hits per query that one task may hold
-BLOCK_CELLS = 4_000_000  # distances computed at a time
+BLOCK_CELLS = 1_000_000  # scores computed at a time
+BLOCK_ROWS = 4096  # rows packed to one block, if they hold no more than
+BLOCK_BYTES = 2 * 1024 * 1024
+DENSE = 32  # rows per probed value below which a batch is multiplied whole
 
 
 class _Best:
@@ -37,29 +42,80 @@ class _Best:
         self.queries, self.k = queries, k
         self.ties = ["id", *[c for c in key if c != "id"]]
         self.lengths = np.einsum("ij,ij->i", queries, queries)
-        self.limit = np.full(len(queries), np.inf)  # distance of the k-th best so far
+        # A row's score, its product with the query less half its square, is the greater the nearer it is.
+        self.sides = {np.float64: np.concatenate((queries, np.ones((len(queries), 1))), axis=1)}
+        self.norms = np.sqrt(self.lengths + 1.0)
+        self.limit = np.full(len(queries), np.inf)  # at least the distance of the k-th best so far
         self.query = np.empty(0, dtype=np.int64)
         self.distance = np.empty(0)
         self.rows: pa.Table | None = None
+        self.pending: list[tuple[np.ndarray, np.ndarray, pa.Table]] = []
+        self.waiting = 0
 
-    def offer(self, vectors: np.ndarray, rows: pa.Table) -> None:
-        step = max(1, BLOCK_CELLS // max(1, len(self.queries)))
+    def offer(self, vectors: np.ndarray, rows: pa.Table, among: np.ndarray | None = None, seen: np.ndarray | None = None) -> None:
+        """``among``: the queries that look at these rows; ``seen``: for every query, at which of them it looks."""
+        step = max(1, BLOCK_CELLS // max(1, len(self.queries) if among is None else len(among)))
         for at in range(0, len(vectors), step):
-            self._offer_block(vectors[at : at + step], rows.slice(at, step))
-
-    def _offer_block(self, vectors: np.ndarray, rows: pa.Table) -> None:
-        lengths = np.einsum("ij,ij->i", vectors, vectors)
-        cells = lengths[:, None] + self.lengths[None, :] - 2.0 * (vectors @ self.queries.T)
-        cells = np.round(np.maximum(cells, 0.0), COMPARE_DIGITS)
-        if len(vectors) >= self.k:
-            self.limit = np.minimum(self.limit, np.partition(cells, self.k - 1, axis=0)[self.k - 1])
-        at, query = np.nonzero(cells <= self.limit[None, :])
+            self._offer_block(vectors[at : at + step], rows.slice(at, step), among, None if seen is None else seen[:, at : at + step])
+
+    def _scores(self, kind: type, vectors: np.ndarray, lengths: np.ndarray, norm: float, among: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and by how much each query's may be off."""
+        if kind not in self.sides:
+            self.sides[kind] = self.sides[np.float64].astype(kind)
+        scores = self.sides[kind][among] @ np.concatenate((vectors, -0.5 * lengths[:, None]), axis=1).astype(kind).T
+        return scores, (vectors.shape[1] + 10) * float(np.finfo(kind).eps) * norm * self.norms[among] + 0.1**COMPARE_DIGITS
+
+    def _offer_block(self, vectors: np.ndarray, rows: pa.Table, among: np.ndarray | None, seen: np.ndarray | None) -> None:
+        asking = slice(None) if among is None else among
+        lengths, own = np.einsum("ij,ij->i", vectors, vectors), self.lengths[asking]
+        squares = lengths + lengths * lengths / 4
+        real = np.isfinite(squares)
+        norm = float(np.sqrt(np.max(squares[real], initial=0.0)))
+        single = real.all() and norm < 1e15 and np.max(self.norms, initial=0.0) < 1e15
+        for kind in (np.float32, np.float64) if single else (np.float64,):
+            scores, off = self._scores(kind, vectors, lengths, norm, asking)
+            if not single:
+                real = np.isfinite(scores)
+                seen = real if seen is None else seen & real
+            if seen is not None:
+                scores[~seen] = -np.inf
+            limit = self.limit[asking].copy()
+            fresh = np.flatnonzero(np.isinf(limit))
+            if len(fresh) and len(vectors) >= self.k:
+                kth = np.partition(scores[fresh], len(vectors) - self.k, axis=1)[:, len(vectors) - self.k].astype(np.float64)
+                limit[fresh] = own[fresh] - 2 * (kth - off[fresh])
+            least = np.nextafter(((own - limit) / 2 - off).astype(kind), kind(-np.inf))
+            near = scores >= least[:, None]
+            if seen is not None:
+                near &= seen
+            if np.count_nonzero(near) * 16 <= near.size:
+                break  # else single floats may tell too little
+        query, at = np.divmod(np.flatnonzero(near), len(vectors))
+        self.limit[asking] = limit
         if not len(at):
             return
-        found = rows.take(pa.array(at))
-        table = found if self.rows is None else pa.concat_tables([self.rows, found])
-        query = np.concatenate([self.query, query])
-        distance = np.concatenate([self.distance, cells[at, query[len(self.query) :]]])
+        distance = np.empty(len(at))
+        step = max(1, BLOCK_CELLS // max(1, vectors.shape[1]))
+        query = query if among is None else among[query]
+        for i in range(0, len(at), step):
+            q, r = query[i : i + step], at[i : i + step]
+            distance[i : i + step] = lengths[r] + self.lengths[q] - 2.0 * np.einsum("ij,ij->i", vectors[r], self.queries[q])
+        distance = np.round(np.maximum(distance, 0.0), COMPARE_DIGITS)
+        near = np.flatnonzero(distance <= self.limit[query])
+        if len(near):
+            self.pending.append((query[near], distance[near], rows.take(pa.array(at[near]))))
+            self.waiting += len(near)
+            if self.waiting > max(BLOCK_ROWS, self.k * len(self.queries)):
+                self.merge()
+
+    def merge(self) -> None:
+        """Take in what waits."""
+        if not self.pending:
+            return
+        table = pa.concat_tables([*([] if self.rows is None else [self.rows]), *[rows for _, _, rows in self.pending]])
+        query = np.concatenate([self.query, *[q for q, _, _ in self.pending]])
+        distance = np.concatenate([self.distance, *[d for _, d, _ in self.pending]])
+        self.pending, self.waiting = [], 0
         ties = [pc.rank(table.column(c), tiebreaker="dense").to_numpy() for c in reversed(self.ties)]
         order = np.lexsort((*ties, distance, query))
         starts = np.searchsorted(query[order], np.arange(len(self.queries)))
@@ -85,6 +141,7 @@ def _embedded(batch: pa.RecordBatch) -> pa.Table:
 
 
 def _emit(best: _Best, qids: pa.Array, shape: pa.Schema) -> Iterator[pa.RecordBatch]:
+    best.merge()
     if best.rows is None:
         return
     table = best.rows.append_column("qid", qids.take(pa.array(best.query)))
@@ -92,9 +149,8 @@ def _emit(best: _Best, qids: pa.Array, shape: pa.Schema) -> Iterator[pa.RecordBa
     yield from table.select(shape.names).cast(shape).to_batches()
 
 
-def _hit_schema(queries: DataFrame, rows: DataFrame) -> T.StructType:
-    fields = [f for f in rows.schema.fields if f.name != "embedding"]
-    return T.StructType([queries.schema["qid"], T.StructField("distance", T.DoubleType()), *fields])
+def _hit_schema(queries: DataFrame, rows: DataFrame, names: list[str]) -> T.StructType:
+    return T.StructType([queries.schema["qid"], T.StructField("distance", T.DoubleType()), *[rows.schema[c] for c in names]])
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -112,30 +168,163 @@ def _parts(table: pa.Table, column: str | None) -> Iterator[tuple[object, pa.Tab
         yield value, table.filter(pc.equal(table.column(column), value))
 
 
+class _Asked:
+    """A block of queries, and which of them look into each value of the probed column."""
+
+    def __init__(self, table: pa.Table, probe: str | None):
+        self.matrix, self.qids = _vectors(table.column("embedding")), table.column("qid").combine_chunks()
+        self.looks: dict[object, np.ndarray] | None = None
+        if probe is not None:
+            lists = table.column(probe).combine_chunks()
+            number = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            coded = lists.flatten().dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(codes, kind="stable")
+            who = np.repeat(np.arange(len(number)), number)[order]
+            cuts = np.searchsorted(codes[order], np.arange(1, len(coded.dictionary)))
+            self.looks = dict(zip(coded.dictionary.to_pylist(), np.split(who, cuts), strict=True)) if len(codes) else {}
+
+
+class _Run:
+    """The k best of a block of queries, within each group if there are groups."""
+
+    def __init__(self, asked: _Asked, k: int, group: str | None, probe: str | None, key: list[str]):
+        self.asked, self.k, self.group, self.probe, self.key = asked, k, group, probe, key
+        self.best: dict[object, _Best] = {}
+
+    def offer(self, table: pa.Table) -> None:
+        if not len(self.asked.matrix):
+            return
+        for value, part in _parts(table, self.group):
+            if part.num_rows:
+                if value not in self.best:
+                    self.best[value] = _Best(self.asked.matrix, self.k, self.key)
+                self._offer(self.best[value], part)
+
+    def _offer(self, best: _Best, part: pa.Table) -> None:
+        if self.probe is None:
+            best.offer(_vectors(part.column("embedding")), part.select(self.key))
+            return
+        looks, values = self.asked.looks, pc.unique(part.column(self.probe)).to_pylist()
+        values = [v for v in values if v in looks]
+        if not values:
+            return
+        if part.num_rows >= DENSE * len(values):
+            for value in values:
+                some = part.filter(pc.equal(part.column(self.probe), value))
+                best.offer(_vectors(some.column("embedding")), some.select(self.key), looks[value])
+            return
+        # Few rows of each of many values: one product, of which a query sees the rows of its values.
+        place = pc.index_in(part.column(self.probe), pa.array(values, part.schema.field(self.probe).type))
+        some, place = part.filter(pc.is_valid(place)), pc.drop_null(place).to_numpy()
+        open_to = np.zeros((len(self.asked.matrix), len(values)), bool)
+        for i, value in enumerate(values):
+            open_to[looks[value], i] = True
+        rows = max(1, BLOCK_CELLS // len(open_to))
+        for i in range(0, some.num_rows, rows):
+            few = some.slice(i, rows)
+            best.offer(_vectors(few.column("embedding")), few.select(self.key), seen=open_to[:, place[i : i + rows]])
+
+    def hits(self, shape: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for best in self.best.values():
+            yield from _emit(best, self.asked.qids, shape)
+
+
 def _nearest_broadcast(
     held: pa.Table, queries: DataFrame, rows: DataFrame, k: int, group: str | None, probe: str | None, key: list[str]
 ) -> DataFrame:
-    schema = _hit_schema(queries, rows)
+    schema = _hit_schema(queries, rows, key)
     shape = _arrow_schema(schema)
-    # With ``probe``, the queries that look into each of its values; else all of them under None.
-    sets = {v: (_vectors(q.column("embedding")), q.column("qid").combine_chunks()) for v, q in _parts(held, probe)}
-    shared = rows.sparkSession.sparkContext.broadcast(sets)
+    shared = rows.sparkSession.sparkContext.broadcast(_Asked(held, probe))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict = {}
+        run = _Run(shared.value, k, group, probe, key)
         for batch in batches:
-            for value, part in _parts(_embedded(batch), group or probe):
-                matrix, _ = shared.value.get(value if probe else None, (None, None))
-                if matrix is None or not len(matrix) or not part.num_rows:
-                    continue
-                state = best.get(value) or best.setdefault(value, _Best(matrix, k, key))
-                state.offer(_vectors(part.column("embedding")), part.drop_columns(["embedding"]))
-        for value, state in best.items():
-            yield from _emit(state, shared.value[value if probe else None][1], shape)
+            run.offer(_embedded(batch))
+        yield from run.hits(shape)
 
     return rows.mapInArrow(search, schema)
 
 
+def _read(block: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(block.as_buffer()).read_all()
+
+
+def _packed(df: DataFrame, rows: int, probe: str | None, values: T.DataType | None) -> DataFrame:
+    """Blocks of up to ``rows`` rows with a vector as Arrow streams: ``block``, a number for it, and the values it looks into or holds."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def out() -> pa.RecordBatch:
+            table = pa.concat_tables(held).combine_chunks()
+            held.clear()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            made = {"block": pa.array([sink.getvalue().to_pybytes()], pa.binary())}
+            if probe is not None:
+                column = table.column(probe).combine_chunks()
+                flat = column.flatten() if pa.types.is_list(column.type) else column
+                made["sees"] = pa.array([pc.drop_null(pc.unique(flat)).to_pylist()], pa.list_(flat.type))
+            return pa.RecordBatch.from_pydict(made)
+
+        for batch in batches:
+            table = _embedded(batch)
+            if not table.num_rows:
+                continue
+            most = max(1, min(rows, BLOCK_BYTES * table.num_rows // max(1, table.nbytes)))
+            at = 0
+            while at < table.num_rows:
+                part = table.slice(at, max(1, most - sum(t.num_rows for t in held)))
+                held.append(part)
+                at += part.num_rows
+                if sum(t.num_rows for t in held) >= most:
+                    yield out()
+        if held:
+            yield out()
+
+    fields = [T.StructField("block", T.BinaryType())]
+    if probe is not None:
+        fields.append(T.StructField("sees", T.ArrayType(values)))
+    return df.mapInArrow(pack, T.StructType(fields))
+
+
+def _nearest_blocked(
+    queries: DataFrame, rows: DataFrame, k: int, group: str | None, probe: str | None, key: list[str], block: int
+) -> DataFrame:
+    """The same of any number of queries. A task has some blocks of queries, one after the other, and some blocks of rows for each."""
+    spark = apply_defaults(rows.sparkSession)
+    schema = _hit_schema(queries, rows, key)
+    shape = _arrow_schema(schema)
+    cores = spark.sparkContext.defaultParallelism
+    if probe is not None:  # near each other, so that few blocks of rows concern a block of queries
+        queries = queries.repartitionByRange(cores, F.col(probe)[0], "qid").sortWithinPartitions(F.col(probe)[0])
+        rows = rows.where(F.col(probe).isNotNull()).repartitionByRange(cores, probe, *key).sortWithinPartitions(probe)
+    else:
+        queries = queries.repartition(cores)
+    values = rows.schema[probe].dataType if probe is not None else None
+    asked = materialize(_packed(queries, block, probe, values).withColumn("number", F.monotonically_increasing_id()))
+    filed = materialize(_packed(rows, BLOCK_ROWS, probe, values))
+    asked = asked.select("number", F.col("block").alias("asked"), *([F.col("sees").alias("looks")] if probe is not None else []))
+    meets = F.arrays_overlap("looks", "sees") if probe is not None else F.lit(True)
+    pairs = asked.join(filed.hint("shuffle_replicate_nl"), meets, "inner").select("number", "asked", "block")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, run = None, None
+        for batch in batches:
+            for i, number in enumerate(batch.column("number").to_pylist()):
+                if number != at:
+                    if run is not None:
+                        yield from run.hits(shape)
+                    at, run = number, _Run(_Asked(_read(batch.column("asked")[i]), probe), k, group, probe, key)
+                run.offer(_read(batch.column("block")[i]))
+        if run is not None:
+            yield from run.hits(shape)
+
+    return pairs.mapInArrow(search, schema)
+
+
 def nearest(
     queries: DataFrame,
     rows: DataFrame,
@@ -149,14 +338,14 @@ def nearest(
     """The ``k`` nearest rows of every query by squared Euclidean distance, ties by id.
 
     ``queries`` has ``qid, embedding``; ``rows`` has ``id, embedding`` and the columns to carry along. With ``group``,
-    the k nearest within each of its values, of which there are about ``n_groups``. With ``probe``, a column of both
-    sides, a query sees only the rows of its values, and has one row per value. Adds ``qid, distance, rank``.
+    the k nearest within each of its values, of which there are about ``n_groups``. With ``probe``, a column of the
+    rows of which ``queries`` has an array, a query sees only the rows of its values. Adds ``qid, distance, rank``.
 
     ``key`` (and ``group``) names a row: only it, the distance and the query move. The carried columns are joined to
     the ranked hits by it, so a row's text is read for hits alone.
 
-    A task holds k hits per query and group, so queries come in blocks of a bounded number and size. Each block is one
-    pass over the rows, which do not move; with several, the hits of each are written before the next is sent.
+    A task holds k hits per query and group, so queries come in blocks of a bounded number and size: one is sent to all
+    tasks, several meet the packed rows block by block, within one job.
     """
     queries = queries.select("qid", "embedding", *([probe] if probe else []))
     rows = rows.where(F.col(group).isNotNull()) if group else rows
@@ -167,18 +356,14 @@ def nearest(
     if held.nbytes > MAX_BROADCAST_BYTES:
         block = max(1, min(block, held.num_rows * MAX_BROADCAST_BYTES // held.nbytes))
     order = Window.partitionBy("qid", *([group] if group else [])).orderBy("distance", "id", *[n for n in names if n != "id"])
-
-    def ranked(part: pa.Table) -> DataFrame:
-        part = part.filter(pc.is_valid(part.column("embedding")))
-        hits = _nearest_broadcast(part, queries, lean, k, group, probe, names)
-        return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
     if held.num_rows <= block:
-        best = ranked(held)
+        held = held.filter(pc.is_valid(held.column("embedding")))
+        hits = _nearest_broadcast(held, queries, lean, k, group, probe, names)
     else:
-        n = math.ceil(queries.count() / block)
-        parts = (queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n))
-        best = reduce(DataFrame.unionByName, [materialize(ranked(part.toArrow())) for part in parts])
+        hits = _nearest_blocked(queries, lean, k, group, probe, names, block)
+    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if held.num_rows > block:
+        best = materialize(best)
     carried = [c for c in rows.columns if c not in ("embedding", probe, *names)]
     if not carried:
         return best
