@@ -79,3 +79,23 @@ def test_candidates_reach_nearly_all_pairs_at_the_threshold():
         every += 1
         found += bool(set(k) & set(m)) and ((f ^ g) & (1 << 64) - 1).bit_count() <= near_copies.FAR
     assert found >= 398
+
+
+def test_pigeonring_finds_near_copies_that_share_no_band(spark, make):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(5000)}" for _ in range(6000)]
+    texts = [" ".join(words), *(changed(rng, words, 1) for _ in range(3)), " ".join(f"v{i}" for i in range(6000)), None]
+    docs = make(list(enumerate(texts)))
+    tags = {r[0]: r[1] for r in near_copies._texts(docs).select("id_", "tag_").collect()}
+    rows, fps = [], []
+    for i, text in enumerate(texts):
+        hashes = near_copies.shingles(near_copies.tokens_of(text))
+        fps.append(near_copies.sketch(hashes)[0])
+        rows.append((near_copies._node(near_copies.tokens_of(text)), i, tags[i], len(hashes), fps[-1], [i]))  # a key of its own
+    differ = [((fps[0] ^ fp) & (1 << 64) - 1).bit_count() for fp in fps]
+    assert max(differ[:4]) <= 4 < differ[4]
+    links = near_copies.similar(docs, spark.createDataFrame(rows, "node long, id_ long, tag_ long, n long, fp long, keys array<long>"))
+    groups = {r["node"]: r["root"] for r in near_copies.components(links).select("node", F.col("root")).collect()}
+    assert set(groups) == {r[0] for r in rows[:4]} and len(set(groups.values())) == 1

@@ -1,9 +1,10 @@
 """Near copies by resemblance: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
 
-A 64-bit SimHash cannot name such pairs by itself: at a similarity of 0.8 two fingerprints differ in about ten bits, too many for keys
-that must agree. So candidates come from bands of least hashes: a document has ``BANDS`` keys of ``ROWS`` least shingle hashes each,
+Candidates come from two sides. Fingerprints of four or fewer differing bits are found by pigeonring keys, chain budgets and Hamming
+check (see ``simhash.links``). At a similarity of 0.8, though, two fingerprints differ in about ten bits, too many for keys that must
+agree; such pairs come from bands of least hashes: a document has ``BANDS`` keys of ``ROWS`` least shingle hashes each,
 and a pair at similarity s shares a key with probability 1 - (1 - s^ROWS)^BANDS, which is 0.99997 at 0.8. Candidates whose sizes rule
-0.8 out, or whose SimHash fingerprints differ in more than ``FAR`` bits (expected are 10 of 64, with a deviation of 3), are not looked
+0.8 out, or whose fingerprints differ in more than ``FAR`` bits (expected are 10 of 64, with a deviation of 3), are not looked
 at; all others are compared by their exact sets. Only pairs that pass link, and groups are connected by links.
 
 Equal token sequences are one node, so a group of copies of any size is one row here. First every node is compared with one leader of
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm.common import map_batches, stored
 from textquarry.llm.components import components
-from textquarry.llm.simhash import LOWER, staying
+from textquarry.llm.simhash import LOWER, links as fingerprint_links, staying
 
 SHINGLE = 5
 SIMILAR = (4, 5)
@@ -152,6 +153,17 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(key, F.lit(0)).alias("id_"), F.xxhash64(key, F.col("text")).alias("tag_"), F.col("text").alias("body"))
 
 
+def pigeonring(nodes: DataFrame) -> DataFrame:
+    """``(u, v)``: candidates by fingerprint. Equal ones meet at the least node; those of ``BUDGET`` or fewer differing bits are connected
+    by links between these. Nodes without words have no fingerprint of their own."""
+    worded = nodes.where("n > 0").select("node", "fp")
+    heads = stored(worded.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    equal = worded.join(heads, "fp").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
+    u, v = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head")) for c in "uv")
+    near = fingerprint_links(heads.select("fp")).join(u, "u").join(v, "v")
+    return stored(equal.unionByName(near.select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))), "pigeonring")
+
+
 def similar(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(u, v)``: links that connect what all pairs of similar nodes connect. ``nodes``: ``node, id_, tag_, n, fp, keys``."""
     filed = nodes.select(F.explode("keys").alias("key"), "node", "n", "fp")
@@ -159,8 +171,11 @@ def similar(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     leader = F.min(F.struct("node", "n", "fp")).over(within)
     shared = stored(filed.withColumn("leader", leader).withColumn("size", F.count(F.lit(1)).over(within)).where("size > 1"), "shared")
     near = shared.where("node <> leader.node").where(_may_be(F.col("n"), F.col("fp"), F.col("leader.n"), F.col("leader.fp")))
-    first = stored(near.groupBy(F.col("node").alias("v")).agg(F.min("leader.node").alias("u")).select("u", "v"), "pairs")
-    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("id_", "tag_")
+    close = pigeonring(nodes)
+    first = near.groupBy(F.col("node").alias("v")).agg(F.min("leader.node").alias("u")).select("u", "v")
+    first = stored(first.unionByName(close).distinct(), "pairs")
+    paired = shared.select("node").unionByName(close.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
+    wanted = nodes.join(paired, "node", "left_semi").select("id_", "tag_")
     texts = _texts(docs).join(wanted, ["id_", "tag_"], "left_semi").select("body")
     sets = stored(map_batches(texts, _sets, "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
     links = stored(_verified(first, sets), "links")
@@ -180,7 +195,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     held = docs.select(key.alias("doc_id"), F.xxhash64(key, F.col("text")).alias("tag"), F.col("text").alias("body"))
     prints = map_batches(held, _sketches, "doc_id long, tag long, node long, n long, fp long, keys array<long>")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
-    best = stored(prints, "sketches").groupBy("node").agg(F.min(order).alias("best"), *[F.first(c).alias(c) for c in ("n", "fp", "keys")])
+    best = prints.groupBy("node").agg(F.min(order).alias("best"), *[F.first(c).alias(c) for c in ("n", "fp", "keys")])
     nodes = stored(best.select("*", F.coalesce("best.doc_id", F.lit(0)).alias("id_"), F.col("best.tag").alias("tag_")), "nodes")
     roots = components(similar(docs, nodes.select("node", "id_", "tag_", "n", "fp", "keys")))
     named = nodes.select("node", "best").join(roots, "node", "left").select("best", F.coalesce("root", "node").alias("root"))
