@@ -177,3 +177,17 @@ def test_paths_are_read_by_request_alone(spark, tmp_path):
     wanted = spark.createDataFrame([(str(tmp_path / n),) for n in ("a.txt", "c.bin", "gone.txt")], "path string")
     got = {os.path.basename(r["path"]): (r["skip_reason"], r["content"] and bytes(r["content"])) for r in files.scan_paths(wanted, list_files(spark, str(tmp_path))).collect()}
     assert got == {"a.txt": (None, b"a.txt"), "c.bin": ("extract_error: unsupported format", None), "gone.txt": ("extract_error: file not found", None)}
+
+
+def test_rows_without_copies_meet_no_table_of_copies(spark):
+    from textquarry.sources.tables import ROW_ID, scan_table
+
+    table = spark.range(500).select(F.col("id").alias("n"), (F.col("id") % 7).alias("m"))
+    rows = scan_table(table).rows
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.select(ROW_ID).distinct().count() == 500
+    twice = scan_table(table.unionByName(table.where("m = 3")).unionByName(table.where("n < 2"))).rows
+    ids = sorted(r[0] for r in twice.select(ROW_ID).collect())
+    plain = {r[0] for r in rows.select(ROW_ID).collect()}
+    assert len(set(ids)) == len(ids) == 500 + 71 + 2
+    assert {i.split("#")[0] for i in ids} == plain and sum(i.endswith("#1") for i in ids) == 73

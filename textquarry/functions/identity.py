@@ -33,9 +33,18 @@ def row_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
+def _row_json(*columns: Column) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def stable_row_id(*columns: Column) -> Column:
     """A key for rows without an id column: a hash of the row, the same on every run and every retry."""
-    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    return F.sha2(_row_json(*columns), 256)
+
+
+def row_mark(*columns: Column) -> Column:
+    """A short hash of the row: rows of one ``stable_row_id`` have one mark, but a mark may have several ids."""
+    return F.xxhash64(_row_json(*columns))
 
 
 def existence_key(source: Column) -> Column:
