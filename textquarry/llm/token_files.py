@@ -131,17 +131,18 @@ class WordIds:
 
     def learn(self, words: list[bytes], per_string: int = 1000) -> None:
         """Add words not known yet."""
-        whole, stems, tails = [], [], []
+        stems, tails, marked = [], [], set()
         for word in words:
-            stem = word.rstrip(TAIL)
-            if not stem or len(stem) == len(word) or not _ends_in_letter(stem):
-                whole.append(word)
-            else:
-                stems.append(stem)
-                tails.append(word[len(stem) :])
-        new = {*whole, *stems, *tails}.difference(self.known)
-        pieces = [word for word in new if word.isalpha() or _one_piece(word)]  # of bytes: ASCII letters
-        others = list(new.difference(pieces))
+            if word[-1] in TAIL:
+                stem = word.rstrip(TAIL)
+                if stem and _ends_in_letter(stem):
+                    stems.append(stem)
+                    tails.append(word[len(stem) :])
+                    marked.add(word)
+        new = words if not stems else {*marked.symmetric_difference(words), *stems, *tails}.difference(self.known)
+        pieces, others = [], []
+        for word in new:  # of bytes: ASCII letters
+            (pieces if word.isalpha() or _one_piece(word) else others).append(word)
         parts = [self._encode_pieces(pieces[i : i + per_string]) for i in range(0, len(pieces), per_string)]
         if others:
             parts.append(self._encode_each(others))
@@ -164,7 +165,7 @@ class WordIds:
         plain = pc.replace_substring_regex(plain, pattern=r"([0-9A-Za-z])([" + TAIL.decode() + r"]+)(\s)", replacement=r"\1 \2\3")
         split = pc.ascii_split_whitespace(plain)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > self.memo_words:
             self.forget()
         number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int32, len(words))
@@ -185,6 +186,12 @@ class WordIds:
         return np.insert(self._ids_of(at), ends, END_ID), np.diff(np.concatenate(([0], ends))) + 1
 
 
+def _values(column: pa.Array) -> np.ndarray:
+    """The bytes of a binary column without nulls, one value after the other."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+
+
 def id_type(tokenizer_json: str) -> str:
     """Numpy's name of the least little-endian type that holds every id of a tokenizer (and the end id)."""
     from tokenizers import Tokenizer
@@ -387,7 +394,7 @@ def write_token_files(
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 batch = whole.slice(i, 500)
-                flat = np.frombuffer(b"".join(batch.column(4).to_pylist()), kind)
+                flat = _values(batch.column(4)).view(kind)
                 payloads, points = pack(flat, batch.column(3).to_numpy(), codes, bits)
                 keys = zip(*(c.to_pylist() for c in batch.columns[:3]))
                 file = pa.array([bisect_right(bounds.value, _order(*k)) for k in keys], pa.int32())
