@@ -41,6 +41,17 @@ def test_odd_texts_round_trip(spark, make, tmp_path):
     assert got == plain(rows)
 
 
+def test_words_that_are_empty_or_signs_alone():
+    with open(PATH, encoding="utf-8") as f:
+        memo = tf.WordIds(f.read(), memo_words=1000)
+    texts = [" lead", "", "trail ", "...", "a... b?!", "x.", None]
+    ids, n = memo.encode(pa.array(texts))
+    want = [i for r in plain(list(enumerate(texts))) for i in r[4]]
+    assert ids.tolist() == want and len(n) == len(texts)
+    part = pa.array([b"xy", b"ab", b"", b"cdef"], pa.binary()).slice(1)
+    assert tf._values(part).tobytes() == b"abcdef"
+
+
 def test_null_and_repeated_ids_and_empty_tables(spark, make, tmp_path):
     rows = [(None, "b"), (5, "a b c"), (5, "a b c"), (5, "z"), (None, None), (2, "q")]
     tf.write_token_files(make(rows), str(tmp_path / "b"), PATH)

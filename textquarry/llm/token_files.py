@@ -133,7 +133,7 @@ class WordIds:
         """Add words not known yet."""
         stems, tails, marked = [], [], set()
         for word in words:
-            if word[-1] in TAIL:
+            if word[-1:] in TAIL:  # also of an empty word, whose stem is empty
                 stem = word.rstrip(TAIL)
                 if stem and _ends_in_letter(stem):
                     stems.append(stem)
