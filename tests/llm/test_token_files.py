@@ -132,3 +132,32 @@ def test_slices_are_encoded_like_whole_arrays():
     for whole in (texts, texts.cast(pa.large_string())):
         got = [memo.encode(whole.slice(i, 1))[0].tolist() for i in range(5)]
         assert sum(got, []) == memo.encode(whole)[0].tolist()
+
+
+def test_latin_words_are_not_folded_and_searched_by_the_library():
+    with open(PATH, encoding="utf-8") as f:
+        memo = tf.WordIds(f.read(), memo_words=1000)
+    texts = ["Ein Satz, Été: ÇA", None, "señor über ŒUVRE", "plain Words"]
+    want = [i for r in plain(list(enumerate(texts))) for i in r[4]]
+    memo.encode(pa.array([", . :"]))
+    memo.tokenizer = None  # not needed for words of letters, nor for the signs seen before
+    assert memo.encode(pa.array(texts))[0].tolist() == want
+
+
+def test_every_letter_and_sign_of_the_latin_blocks():
+    with open(PATH, encoding="utf-8") as f:
+        memo = tf.WordIds(f.read(), memo_words=5000)
+    others = [0x3A3, 0x3C2, 0x410, 0x958, 0x1E9E, 0x4E00, 0xAC00, 0x1112, 0x1161]
+    for first in range(1, 0x300, 0x40):
+        chars = [chr(c) for c in [*range(first, first + 0x40), *others]]
+        texts = [t for c in chars for t in (c, c + ".", f"a{c}b!? x", f".{c}", f"é.{c} {c}É...\u0301 ...", f"A{c}S <|endoftext|>.")]
+        texts += ["", None, "."]
+        want = [i for r in plain(list(enumerate(texts))) for i in r[4]]
+        assert memo.encode(pa.array(texts))[0].tolist() == want
+        assert memo.encode(pa.array([None, *texts]).slice(1))[0].tolist() == want
+
+
+def test_words_are_cut_at_white_space_and_before_signs():
+    words, before = tf.cut_words(pa.array(["x", "A b.  É?!\tİ. ", None, "", "... c.d. 1,", ".", "e"]).slice(1))
+    assert words.to_pylist() == ["a", "b", ".", "É", "?!", "İ.", "...", "c.d", ".", "1", ",", ".", "e"]
+    assert before.tolist() == [0, 6, 6, 6, 11, 12, 13]

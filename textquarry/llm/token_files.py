@@ -23,7 +23,7 @@ import os
 import unicodedata
 import zlib
 from bisect import bisect_right
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,54 @@ BLOCK_SCHEMA = (
 
 # Signs at the end of a word that this tokenizer splits off as one piece (an apostrophe may open a contraction).
 TAIL = b".,;:!?*#$%&|"
+# Letters of Latin blocks, composed, that fold to one letter each; so a word of them is one piece. Behind ASCII, those of
+# the first bytes C3 to C9 in UTF-8 without the signs of times and division and the dotted capital I, whose small form has two characters.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u027f"
+NO_LETTERS = ("\u00d7", "\u00f7", "\u0130")
+SPACE = b" \t\n\v\f\r"
+_KINDS = bytes(1 if b in SPACE else 2 if b in TAIL else 0 for b in range(256))
+_ALNUM = np.array([bytes([b]).isalnum() for b in range(256)])
+
+
+def _after_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a letter or digit of ASCII, or a letter of ``LATIN``, ends before the places ``at``, all above 0."""
+    last, lead = data[at - 1], data[np.maximum(at - 2, 0)]
+    latin = (last >= 0x80) & (last < 0xC0) & (lead >= 0xC3) & (lead <= 0xC9)
+    for sign in NO_LETTERS:
+        first, second = sign.encode()
+        latin &= (lead != first) | (last != second)
+    return _ALNUM[last] | latin
+
+
+def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (null: none), in lower case as to ASCII, and how many words come before each text and in all. Signs behind
+    a letter or digit at the end of a word are a word of their own: a space there changes no id."""
+    plain = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not len(plain):
+        return pa.array([], pa.string()), np.zeros(1, np.int64)
+    bound = np.frombuffer(plain.buffers()[1], np.int64)[plain.offset : plain.offset + len(plain) + 1]
+    raw = (plain.buffers()[2] or pa.py_buffer(b""))[int(bound[0]) : int(bound[-1])].to_pybytes()
+    bound = bound - bound[0]
+    if b"<|" not in raw:  # special tokens are found before the tokenizer folds its input
+        raw = raw.lower()
+    data, kind = np.frombuffer(raw, np.uint8), np.frombuffer(raw.translate(_KINDS) + b"\x01", np.uint8)
+    filled, edge = kind[:-1] != 1, np.zeros(len(kind), bool)
+    edge[bound] = True  # a text begins or ends
+    begins = filled.copy()
+    begins[1:] &= (kind[:-2] == 1) | edge[1:-1]
+    # Runs of signs that end a word, with a letter or digit of the same word before them.
+    step = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])) | edge)
+    run = np.flatnonzero(kind[step] == 2)
+    first, last = step[run], step[run + 1]
+    first = first[(edge[last] | (kind[last] == 1)) & ~edge[first]]
+    begins[first[_after_letter(data, first)]] = True
+    before = np.searchsorted(np.flatnonzero(begins), bound)
+    packed = raw.translate(None, SPACE)
+    small = len(packed) < 1 << 31
+    offsets = np.append(np.flatnonzero(begins[filled]), len(packed)).astype(np.int32 if small else np.int64)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(packed)]
+    words = pa.Array.from_buffers(pa.string() if small else pa.large_string(), len(offsets) - 1, buffers)
+    return words, before
 
 
 def _ends_in_letter(stem: bytes) -> bool:
@@ -68,15 +116,19 @@ def _one_piece(word: bytes) -> bool:
 class WordIds:
     """Ids of texts by their words. The library encodes what it has not seen yet: the stem of a word, and the signs behind it.
 
-    Words that one piece holds (letters in composed form) are encoded many to a string and cut apart behind the ids that end a word;
-    any other word is encoded by itself. At most about ``memo_words`` words are kept, those met again before the others.
+    Words that one piece holds (letters in composed form) are encoded many to a string and cut apart behind the ids that end a word,
+    Latin ones without the file's folding and searching, which leave them as they are; any other word is encoded by itself.
+    At most about ``memo_words`` words are kept, those met again before the others.
     """
 
     def __init__(self, tokenizer_json: str, memo_words: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.latin = Tokenizer.from_str(tokenizer_json)
+        self.latin.normalizer = normalizers.Sequence([])
+        self.latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -118,11 +170,28 @@ class WordIds:
         self.used += len(ids)
         self.known.update(zip(words, range(n, end)))
 
-    def _encode_pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        text = b" ".join(words).decode("utf-8")
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+    def _pieces_of(self, texts: list[str], tokenizer) -> np.ndarray:
+        coded = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(coded), np.uint32, sum(map(len, coded)))
+
+    def _lengths(self, ids: np.ndarray, words: int) -> np.ndarray | None:
+        """How many ids each word has, if the ids have as many ends of words as they should."""
         ends = np.flatnonzero(self.ends[ids])
-        return (ids, np.diff(np.concatenate(([-1], ends)))) if len(ends) == len(words) else self._encode_each(words)
+        return np.diff(np.concatenate(([-1], ends))) if len(ends) == words else None
+
+    def _encode_pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._pieces_of([b" ".join(words).decode("utf-8")], self.tokenizer)
+        length = self._lengths(ids, len(words))
+        return (ids, length) if length is not None else self._encode_each(words)
+
+    def learn_latin(self, words: pa.Array, names: list[bytes], per_string: int = 200) -> None:
+        """Add words of ``LATIN`` letters not known yet; ``names``: the same. The library need not compose or search them: spaces cut
+        them, and as each letter folds to one, ``str.lower`` folds them."""
+        cuts = pa.array([*range(0, len(words), per_string), len(words)], pa.int32())
+        texts = pc.binary_join(pa.ListArray.from_arrays(cuts, words.cast(pa.string())), " ").to_pylist()
+        ids = self._pieces_of([t.lower() for t in texts], self.latin)
+        length = self._lengths(ids, len(words))
+        self._add(names, [(ids, length) if length is not None else self._encode_each(names)])
 
     def _encode_each(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         coded = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)]
@@ -155,25 +224,23 @@ class WordIds:
             self._add(joined, [(self._ids_of(pair.ravel()), self.length[pair].sum(axis=1, dtype=np.int64))])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, the end id behind each, and how many each has. Arrow cuts the texts to words and finds the different
+        """Ids of all texts, the end id behind each, and how many each has. Numpy cuts the texts to words and Arrow finds the different
         ones, so Python sees each word once per batch."""
-        plain = pc.fill_null(texts.cast(pa.large_string()), "")
-        plain = plain.take(pa.array(np.arange(len(plain))))  # a copy: Arrow's case folding gives wrong offsets for part of an array
-        if not pc.any(pc.match_substring(plain, "<|")).as_py():  # special tokens are found before the tokenizer folds its input
-            plain = pc.ascii_lower(plain)
-        # Signs behind an ASCII letter or digit at the end of a word are a piece of their own: a space there changes no id.
-        plain = pc.replace_substring_regex(plain, pattern=r"([0-9A-Za-z])([" + TAIL.decode() + r"]+)(\s)", replacement=r"\1 \2\3")
-        split = pc.ascii_split_whitespace(plain)
-        coded = split.flatten().dictionary_encode()
+        cut, before = cut_words(texts)
+        coded = cut.dictionary_encode()
         words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > self.memo_words:
             self.forget()
         number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int32, len(words))
         new = np.flatnonzero(number < 0)
         if len(new):
-            unknown = [words[i] for i in new.tolist()]
-            self.learn(unknown)
-            number[new] = np.fromiter(map(self.known.__getitem__, unknown), np.int32, len(new))
+            unknown, names = coded.dictionary.take(pa.array(new)), [words[i] for i in new.tolist()]
+            latin = pc.match_substring_regex(unknown, f"^[{LATIN}]+$")
+            chosen = latin.to_numpy(zero_copy_only=False)
+            if chosen.any():
+                self.learn_latin(unknown.filter(latin), list(compress(names, chosen.tolist())))
+            self.learn(list(compress(names, (~chosen).tolist())))
+            number[new] = np.fromiter(map(self.known.__getitem__, names), np.int32, len(names))
         at = number[coded.indices.to_numpy()]
         seen = np.bincount(coded.indices.to_numpy(), minlength=len(words))
         self.met[number] += seen
@@ -182,7 +249,7 @@ class WordIds:
         self.counts[END_ID] += len(texts)
         # The end ids are put in by position: after each text's words.
         done = np.concatenate(([0], np.cumsum(self.length[at], dtype=np.int64)))
-        ends = done[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
+        ends = done[before[1:]]
         return np.insert(self._ids_of(at), ends, END_ID), np.diff(np.concatenate(([0], ends))) + 1
 
 
